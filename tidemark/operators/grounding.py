@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -155,10 +156,15 @@ def resolve(
     subject_map: DataFrame | None,
     targets: DataFrame,
     max_docs: int = DEFAULT_MAX_DOCS,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
-    """U1 then J4 then W1 then W2: (kept rows, notes)."""
-    lookup = looked_up(declared_ids(owners, subject_map), targets)
-    cited = citable(lookup, owners)
+    """U1 then J4 then W1 then W2: (kept rows, notes).
+
+    The lookup and the citable rows are each read more than once; `settle` may write
+    them out, so that the join behind them runs once.
+    """
+    lookup = settle(looked_up(declared_ids(owners, subject_map), targets))
+    cited = settle(citable(lookup, owners))
     kept = capped(cited, max_docs)
     return kept, resolution_notes(lookup, cited, kept, max_docs)
 

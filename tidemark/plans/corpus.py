@@ -8,6 +8,9 @@ system. `SQL` states the same thing for the check tool.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,12 @@ from tidemark.operators import changes as ch
 from tidemark.operators import concepts as cn
 from tidemark.operators import grounding as gr
 from tidemark.operators import prose
+from tidemark.session import settled
 
 ACTOR = "tidemark/test"
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,6 +37,7 @@ def page(n: Column) -> Column:
     return F.concat(F.lit("src"), text(n % 20), F.lit(":docs/"), text(n), F.lit(".md"))
 
 
+@cache
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents normalised but for the state-dependent fields; `n` is the source key."""
     d = table(spark, sf_dir, "documents").withColumn("n", F.col("doc_id"))
@@ -67,10 +73,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.canonical_documents(base(spark, sf_dir).where(F.col("n") % 19 != 0))
 
 
+@cache
 def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     rows = base(spark, sf_dir).where((n % 17 != 0) & (n % 20 < 10))
@@ -89,39 +97,62 @@ def light(df: DataFrame) -> DataFrame:
     return df.drop("text", "title", "structured", "opaque_keys")
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ch.overlay(light(mirror(spark, sf_dir)), light(fetch(spark, sf_dir)))
+@dataclass(frozen=True)
+class States:
+    """Mirror and fetch as written tables, the way a run finds them."""
 
+    docs: DataFrame
+    was: DataFrame
 
-def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, was = fetch(spark, sf_dir), mirror(spark, sf_dir)
-    return ch.known_paths(was, docs, ch.run_systems(docs), ch.diff(docs, was))
+    @property
+    def live(self) -> DataFrame:
+        return self.docs.where(~F.col("deleted"))
 
+    @property
+    def systems(self) -> DataFrame:
+        return ch.run_systems(self.docs)
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = fetch(spark, sf_dir).where(~F.col("deleted"))
-    return gr.resolve(owners, None, targets(spark, sf_dir))[0]
+    @property
+    def changes(self) -> DataFrame:
+        return ch.diff(self.docs, self.was)
 
+    @property
+    def targets(self) -> DataFrame:
+        return ch.overlay(light(self.was), light(self.docs))
 
-def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = fetch(spark, sf_dir).where(~F.col("deleted"))
-    return cn.assemble(
-        items, prose.verbatim_prose(items), known(spark, sf_dir), ACTOR, kept(spark, sf_dir)
-    )
+    @property
+    def known(self) -> DataFrame:
+        return ch.known_paths(self.was, self.docs, self.systems, self.changes)
 
+    @property
+    def kept(self) -> DataFrame:
+        return gr.resolve(self.live, None, self.targets, settle=settled)[0]
 
-def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineage as an earlier run left it: resolved against the mirror alone, for owners
-    whose number is no multiple of 15, with one stale hash for multiples of 40."""
-    was = mirror(spark, sf_dir)
-    before = gr.as_recorded(gr.resolve(was, None, light(was))[0])
-    n = F.regexp_extract("owner_id", r"docs/(\d+)\.md", 1).cast("bigint")
-    return before.where(n % 15 != 0).select(
-        "owner_id",
-        F.when(n % 40 == 0, F.transform_values("current", lambda _, v: F.lit("stale")))
-        .otherwise(F.col("current"))
-        .alias("recorded"),
-    )
+    @property
+    def recorded(self) -> DataFrame:
+        """Lineage as an earlier run left it: resolved against the mirror alone, for owners
+        whose number is no multiple of 15, with stale hashes for multiples of 40."""
+        before = gr.as_recorded(gr.resolve(self.was, None, light(self.was), settle=settled)[0])
+        n = F.regexp_extract("owner_id", r"docs/(\d+)\.md", 1).cast("bigint")
+        return before.where(n % 15 != 0).select(
+            "owner_id",
+            F.when(n % 40 == 0, F.transform_values("current", lambda _, v: F.lit("stale")))
+            .otherwise(F.col("current"))
+            .alias("recorded"),
+        )
+
+    @property
+    def assembled(self) -> DataFrame:
+        return cn.assemble(
+            self.live, prose.verbatim_prose(self.live), self.known, ACTOR, self.kept
+        )
+
+
+def states(spark: SparkSession, sf_dir: str, with_text: bool = False) -> States:
+    docs, was = fetch(spark, sf_dir), mirror(spark, sf_dir)
+    if not with_text:
+        docs, was = light(docs), light(was)
+    return States(settled(docs), settled(was))
 
 
 # ---------------------------------------------------------------- the same in SQL

@@ -89,7 +89,7 @@ def run_scope(spark, sf_dir):
 
 @query("U2_known_paths", with_states("SELECT path FROM known"))
 def known_paths(spark, sf_dir):
-    return corpus.known(spark, sf_dir)
+    return corpus.states(spark, sf_dir).known
 
 
 @query(
@@ -143,7 +143,10 @@ def fetch_contract(spark, sf_dir):
 @query("L2_stability", "SELECT ''::VARCHAR AS doc_id WHERE false")
 def stability(spark, sf_dir):
     """A10: two evaluations from two reads of the given table agree."""
-    return ch.stability_failures(corpus.fetch(spark, sf_dir), corpus.fetch(spark, sf_dir))
+    twice = [
+        ch.canonical_documents(corpus.base.__wrapped__(spark, sf_dir)) for _ in range(2)
+    ]
+    return ch.stability_failures(*twice)
 
 
 @query(

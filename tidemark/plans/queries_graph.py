@@ -12,6 +12,7 @@ from tidemark.operators import laws, prose, scope
 from tidemark.plans import corpus
 from tidemark.plans.corpus import sql_path, sql_resolution, with_states
 from tidemark.plans.registry import query
+from tidemark.session import settled
 
 _SETTLED = """settled AS (SELECT * FROM mirror WHERE system IN (SELECT system FROM fetched)
   AND did NOT IN (SELECT did FROM changes WHERE kind IN ('added', 'modified', 'removed')))"""
@@ -36,8 +37,8 @@ _WORK = """work AS (SELECT did, min(origin) AS origin FROM (
 
 
 def _parts(spark, sf_dir):
-    docs, was = corpus.fetch(spark, sf_dir), corpus.mirror(spark, sf_dir)
-    return docs, was, ch.run_systems(docs), ch.diff(docs, was)
+    st = corpus.states(spark, sf_dir)
+    return st, settled(st.changes)
 
 
 @query(
@@ -47,16 +48,16 @@ def _parts(spark, sf_dir):
     ),
 )
 def drift_candidates(spark, sf_dir):
-    docs, was, systems, changes = _parts(spark, sf_dir)
-    return scope.drift_candidates(was, docs, systems, changes).select(
+    st, changes = _parts(spark, sf_dir)
+    return scope.drift_candidates(st.was, st.docs, st.systems, changes).select(
         "doc_id", "content_hash", F.size("grounded_by").cast("bigint").alias("declared")
     )
 
 
 @query("J6_referrers", with_states("SELECT did AS doc_id FROM referrers", _SETTLED, _REFERRERS))
 def referrers(spark, sf_dir):
-    _, was, systems, changes = _parts(spark, sf_dir)
-    return scope.referrers(was, systems, changes)
+    st, changes = _parts(spark, sf_dir)
+    return scope.referrers(st.was, st.systems, changes)
 
 
 @query(
@@ -68,14 +69,13 @@ def referrers(spark, sf_dir):
     ),
 )
 def links(spark, sf_dir):
-    items = corpus.fetch(spark, sf_dir).where(~F.col("deleted"))
-    found = cn.resolved_links(items, corpus.known(spark, sf_dir))
+    st = corpus.states(spark, sf_dir)
+    found = cn.resolved_links(st.live, st.known)
     return found.select("doc_id", F.array_join("links", ",").alias("links"))
 
 
-def _linked_concepts(spark, sf_dir):
-    docs = corpus.fetch(spark, sf_dir).where(~F.col("deleted"))
-    return docs.select(
+def _linked_concepts(st):
+    return st.live.select(
         identity.concept_path(F.col("doc_id")).alias("path"),
         F.transform("relations", identity.concept_path).alias("links"),
     )
@@ -91,7 +91,8 @@ def _linked_concepts(spark, sf_dir):
     ),
 )
 def dangling_links(spark, sf_dir):
-    return laws.dangling_links(_linked_concepts(spark, sf_dir), corpus.known(spark, sf_dir))
+    st = corpus.states(spark, sf_dir)
+    return laws.dangling_links(_linked_concepts(st), st.known)
 
 
 def _contested(spark, sf_dir):
@@ -175,7 +176,7 @@ def subject_map_problems(spark, sf_dir):
     ),
 )
 def declared_ids(spark, sf_dir):
-    owners = corpus.fetch(spark, sf_dir).where(~F.col("deleted"))
+    owners = corpus.light(corpus.fetch(spark, sf_dir)).where(~F.col("deleted"))
     return gr.declared_ids(owners, _subject_map(spark, sf_dir))
 
 
@@ -183,8 +184,8 @@ _RES = sql_resolution("live", "overlay")
 
 
 def _owners_lookup(spark, sf_dir):
-    owners = corpus.fetch(spark, sf_dir).where(~F.col("deleted"))
-    return owners, gr.looked_up(gr.declared_ids(owners, None), corpus.targets(spark, sf_dir))
+    st = corpus.states(spark, sf_dir)
+    return st.live, gr.looked_up(gr.declared_ids(st.live, None), st.targets)
 
 
 @query(
@@ -210,7 +211,7 @@ def resource_dedupe(spark, sf_dir):
     with_states("SELECT owner_id, gid AS grounding_id, rank::INT AS rank FROM res_kept", _RES),
 )
 def grounding_cap(spark, sf_dir):
-    return corpus.kept(spark, sf_dir).select("owner_id", "grounding_id", "rank")
+    return corpus.states(spark, sf_dir).kept.select("owner_id", "grounding_id", "rank")
 
 
 @query(
@@ -224,15 +225,18 @@ def grounding_cap(spark, sf_dir):
     ),
 )
 def resolution_notes(spark, sf_dir):
-    owners = corpus.fetch(spark, sf_dir).where(~F.col("deleted"))
-    return gr.resolve(owners, None, corpus.targets(spark, sf_dir))[1]
+    st = corpus.states(spark, sf_dir)
+    return gr.resolve(st.live, None, st.targets, settle=settled)[1]
 
 
-def _drift(spark, sf_dir):
-    docs, was, systems, changes = _parts(spark, sf_dir)
-    candidates = scope.drift_candidates(was, docs, systems, changes)
-    kept, _ = gr.resolve(candidates, None, corpus.targets(spark, sf_dir))
-    return gr.drifted(candidates, corpus.recorded(spark, sf_dir), kept)
+def _resolved_candidates(st, changes):
+    candidates = settled(scope.drift_candidates(st.was, st.docs, st.systems, changes))
+    return candidates, gr.resolve(candidates, None, st.targets, settle=settled)[0]
+
+
+def _drift(st, changes):
+    candidates, kept = _resolved_candidates(st, changes)
+    return settled(gr.drifted(candidates, st.recorded, kept))
 
 
 _DRIFT_CTES = (_SETTLED, _SEEN, _RECORDED, _NOW)
@@ -241,7 +245,7 @@ _DRIFT_CTES = (_SETTLED, _SEEN, _RECORDED, _NOW)
 @query("J5_drift", with_states("SELECT did AS doc_id FROM drift", *_DRIFT_CTES))
 def drift(spark, sf_dir):
     """Resolved set or hashes differ from what lineage recorded."""
-    return _drift(spark, sf_dir)
+    return _drift(*_parts(spark, sf_dir))
 
 
 @query(
@@ -257,22 +261,20 @@ def drift(spark, sf_dir):
 )
 def set_drift(spark, sf_dir):
     """U4 alone: the set of ids moved, whatever their hashes say."""
-    docs, was, systems, changes = _parts(spark, sf_dir)
-    candidates = scope.drift_candidates(was, docs, systems, changes)
-    kept, _ = gr.resolve(candidates, None, corpus.targets(spark, sf_dir))
+    st, changes = _parts(spark, sf_dir)
+    candidates, kept = _resolved_candidates(st, changes)
     blank = F.lit("")
     flat = kept.withColumn("anchor", F.struct(blank.alias("content_hash")))
-    ids_only = corpus.recorded(spark, sf_dir).withColumn(
+    ids_only = st.recorded.withColumn(
         "recorded", F.transform_values("recorded", lambda _, v: blank)
     )
     return gr.drifted(candidates, ids_only, flat)
 
 
 def _work(spark, sf_dir):
-    docs, was, systems, changes = _parts(spark, sf_dir)
-    return scope.work_list(
-        changes, _drift(spark, sf_dir), scope.referrers(was, systems, changes)
-    ), changes
+    st, changes = _parts(spark, sf_dir)
+    referring = scope.referrers(st.was, st.systems, changes)
+    return scope.work_list(changes, _drift(st, changes), referring), changes
 
 
 _WORK_CTES = (*_DRIFT_CTES, _REFERRERS, _WORK)
@@ -307,9 +309,9 @@ def branch(spark, sf_dir):
     ),
 )
 def explanatory_notes(spark, sf_dir):
-    docs, was, systems, changes = _parts(spark, sf_dir)
-    found = _drift(spark, sf_dir)
-    referring = scope.referrers(was, systems, changes)
+    st, changes = _parts(spark, sf_dir)
+    found = _drift(st, changes)
+    referring = settled(scope.referrers(st.was, st.systems, changes))
     work = scope.work_list(changes, found, referring)
     produced = work.select(identity.concept_path(F.col("doc_id")).alias("path"))
     first, second = scope.explanatory_notes(found, referring, produced)
@@ -334,14 +336,14 @@ def explanatory_notes(spark, sf_dir):
 )
 def lineage_advance(spark, sf_dir):
     """Four outcomes: dropped by the generator (every 7th), resolved, unresolved, removed."""
-    owners = corpus.fetch(spark, sf_dir).where(~F.col("deleted"))
+    st = corpus.states(spark, sf_dir)
+    owners = st.live
     n = F.regexp_extract("doc_id", r"docs/(\d+)\.md", 1).cast("bigint")
     produced = owners.where(n % 7 != 0).select(identity.concept_path(F.col("doc_id")).alias("path"))
     decisions = gr.lineage_decisions(
-        owners, produced, gr.declared_ids(owners, None), corpus.kept(spark, sf_dir),
-        ch.removed_ids(corpus.changes(spark, sf_dir)),
+        owners, produced, gr.declared_ids(owners, None), st.kept, ch.removed_ids(st.changes)
     )
-    after = gr.advance_lineage(corpus.recorded(spark, sf_dir), decisions)
+    after = gr.advance_lineage(st.recorded, decisions)
     entries = F.transform(
         F.array_sort(F.map_entries("recorded")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
@@ -362,8 +364,8 @@ def lineage_advance(spark, sf_dir):
 )
 def grounding_blocks(spark, sf_dir):
     """A budget of 600 characters per owner, shared evenly by what grounds it."""
-    texts = ch.overlay(corpus.mirror(spark, sf_dir), corpus.fetch(spark, sf_dir))
-    blocks = prose.grounding_blocks(corpus.kept(spark, sf_dir), texts, 600)
+    st = corpus.states(spark, sf_dir, with_text=True)
+    blocks = prose.grounding_blocks(settled(st.kept), ch.overlay(st.was, st.docs), 600)
     after_lead = F.substr("block", F.instr("block", "--- "))
     return blocks.select(
         "doc_id", F.sha2(after_lead, 256).alias("parts_hash"),
@@ -381,6 +383,5 @@ def grounding_blocks(spark, sf_dir):
     ),
 )
 def next_hops(spark, sf_dir):
-    return gr.next_hops(
-        corpus.recorded(spark, sf_dir), ch.changed_ids(corpus.changes(spark, sf_dir))
-    )
+    st = corpus.states(spark, sf_dir)
+    return gr.next_hops(st.recorded, ch.changed_ids(st.changes))

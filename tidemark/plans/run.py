@@ -198,11 +198,13 @@ def run(
     mirror = state.mirror(version)
     own_mirror = state.mirror(version, system_names)
     light_docs = _light(docs)
-    targets = ch.overlay(_light(mirror), light_docs, fetched)
+    # identities of every system: read by collisions, drift and resolution
+    targets = staged("targets", ch.overlay(_light(mirror), light_docs, fetched))
 
     drift = None
     if scan:
         candidates = scope.drift_candidates(own_mirror, docs, systems, changes)
+        candidates = staged("candidates", candidates)
         kept_now, _ = gr.resolve(candidates, subject_map, targets, max_grounding_docs)
         drift = staged("drift", gr.drifted(candidates, lineage, kept_now))
     clock.mark("drift")
@@ -251,7 +253,10 @@ def run(
     kept = declared = None
     notes: list[DataFrame] = []
     if generator.grounds:
-        kept_df, resolve_notes = gr.resolve(items, subject_map, targets, max_grounding_docs)
+        pieces = iter(("lookup", "cited"))
+        kept_df, resolve_notes = gr.resolve(
+            items, subject_map, targets, max_grounding_docs, lambda df: staged(next(pieces), df)
+        )
         kept = staged("kept", kept_df)
         declared = gr.declared_ids(items, subject_map)
         notes.append(resolve_notes.select("note"))

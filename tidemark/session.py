@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,3 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts lineage: what reads it twice computes it once, a lost executor costs one stage,
+    and the reader prunes columns, which a checkpoint would not.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
