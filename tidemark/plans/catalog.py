@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     queries_changes,
+    queries_concepts,
     queries_graph,
 )
 from tidemark.plans.registry import ORACLES, QUERIES

@@ -108,7 +108,7 @@ def _faulty_fetch(spark, sf_dir):
     return ch.canonical_documents(
         rows.withColumn(
             "native_id",
-            F.when(n % 70 == 7, F.concat(F.lit("​"), F.repeat(F.lit(" "), F.col("n").cast("int"))))
+            F.when(n % 70 == 7, F.concat(F.lit("\u200b"), F.repeat(F.lit(" "), F.col("n").cast("int"))))
             .when((n % 50 == 0) & (n >= 20), prior)
             .otherwise(F.col("native_id")),
         ).withColumn("deleted", n % 13 == 0)
@@ -167,7 +167,7 @@ def text_canonical(spark, sf_dir):
         .when(n % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\r")))
         .otherwise(F.col("text"))
     )
-    raw = F.concat(F.when(n % 2 == 0, "﻿").otherwise(""), F.lit("  "), body, F.lit("\t\n"))
+    raw = F.concat(F.when(n % 2 == 0, "\ufeff").otherwise(""), F.lit("  "), body, F.lit("\t\n"))
     return d.select("doc_id", text.canonical_text(raw).alias("body"))
 
 
@@ -178,7 +178,7 @@ def text_canonical(spark, sf_dir):
 def encodings(spark, sf_dir):
     """Re-encoding a document is no change: its canonical text is the same."""
     d = corpus.table(spark, sf_dir, "documents")
-    windows = F.concat(F.lit("﻿"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    windows = F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
     same = text.canonical_text(windows) == text.canonical_text(F.col("text"))
     return d.agg(F.count(F.lit(1)).alias("docs"), F.count_if(~same).alias("different"))
 
@@ -215,9 +215,9 @@ def blank(spark, sf_dir):
     v = (
         F.when(t == 0, F.col("text"))
         .when(t == 1, "")
-        .when(t == 2, "​ ")
-        .when(t == 3, "⁠ \t")
-        .otherwise(F.concat(F.lit("​"), F.left("text", F.lit(1))))
+        .when(t == 2, "\u200b\u00a0")
+        .when(t == 3, "\u2060 \t")
+        .otherwise(F.concat(F.lit("\u200b"), F.left("text", F.lit(1))))
     )
     return c.select("conv_id", "turn", text.is_blank(v).alias("blank"))
 
