@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip
@@ -105,69 +105,76 @@ def escaped(segment: Column) -> Column:
     for ch in _CONTROLS:
         with_controls = F.replace(with_controls, F.lit(ch), F.lit(_hex(ch)))
     out = F.when(segment.rlike(r"[\x00-\x1f\x7f]"), with_controls).otherwise(out)
-    head = F.left(out, F.length(out) - 1)
-    return (
-        F.when(out.endswith("."), F.concat(head, F.lit("%2E")))
-        .when(out.endswith(" "), F.concat(head, F.lit("%20")))
-        .otherwise(out)
-    )
+    return F.regexp_replace(F.regexp_replace(out, r"\.\z", "%2E"), r" \z", "%20")
 
 
-def resolve_identity(raw: Column) -> Column:
-    """STRUCT<native_id, reject_reason, is_url>; exactly one of the first two is NULL.
+def with_identity(df: DataFrame, raw: str = "raw_id") -> DataFrame:
+    """Adds native_id, reject_reason and is_url; one of the first two is NULL.
 
     A URL keeps everything but its scheme; its host is lower-cased and marked with
     `@`, so that it never meets a plain path. Query and fragment travel, escaped, on
     the last segment. Distinct ids stay distinct through the final bundle path.
+
+    Written as successive projections, so that no step repeats the one before it.
     """
-    text = strip(raw)
-    as_url = _url_text(text)
-    url = is_url(raw)
+    none = F.array().cast("array<string>")
 
     def part(i: int) -> Column:
-        return F.regexp_extract(as_url, _URL, i)
-
-    authority = part(2)
-    at = F.length(authority) - F.length(F.substring_index(authority, "@", -1))
-    host = F.concat(
-        F.left(authority, at), F.lower(F.substr(authority, at + 1))
+        return F.regexp_extract("__url", _URL, i)
+
+    keep = df.columns
+    split = (
+        df.withColumns({"__text": strip(F.col(raw)), "is_url": is_url(F.col(raw))})
+        .withColumn("__url", F.when(F.col("is_url"), _url_text(F.col("__text"))).otherwise(""))
+        .select(
+            *keep, "is_url", "__text",
+            part(2).alias("__authority"),
+            F.when(F.col("is_url"), part(3)).otherwise(F.col("__text")).alias("__path"),
+            F.concat(
+                F.when(part(4) != "", F.concat(F.lit("?"), part(4))).otherwise(""),
+                F.when(part(5) != "", F.concat(F.lit("#"), part(5))).otherwise(""),
+            ).alias("__tail"),
+            F.substring_index(part(2), "@", -1).alias("__host"),
+        )
     )
-    path = F.when(url, part(3)).otherwise(text)
-    tail = F.when(
-        url,
-        F.concat(
-            F.when(part(4) != "", F.concat(F.lit("?"), part(4))).otherwise(""),
-            F.when(part(5) != "", F.concat(F.lit("#"), part(5))).otherwise(""),
-        ),
-    ).otherwise("")
-    segments = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
-    n = F.size(segments)
-    climbs = F.exists(segments, lambda s: s.rlike(r"(?i)^(\.|%2e){2}\z"))
-    last = F.when(n > 0, F.element_at(segments, -1))
-    stem = F.regexp_replace(last, rf"(?is)\.({'|'.join(DOCUMENT_EXTENSIONS)})\z", "")
-    full = (
-        F.when(n > 0, F.concat(F.slice(segments, 1, F.greatest(n - 1, F.lit(0))),
-                               F.array(F.concat(stem, tail))))
-        .when(tail != "", F.array(tail))
-        .otherwise(F.array().cast("array<string>"))
+    segments = F.filter(F.split("__path", "/"), lambda s: ~s.isin("", "."))
+    userinfo = F.left("__authority", F.length("__authority") - F.length("__host"))
+    cut = split.select(
+        *keep, "is_url", "__text", "__tail",
+        F.concat(F.lit("@"), escaped(F.concat(userinfo, F.lower("__host")))).alias("__head"),
+        segments.alias("__segments"),
+    )
+    stem = F.regexp_replace(
+        F.get("__segments", F.size("__segments") - 1),
+        rf"(?is)\.({'|'.join(DOCUMENT_EXTENSIONS)})\z", "",
     )
-    pieces = F.concat(
-        F.when(url, F.array(F.concat(F.lit("@"), escaped(host))))
-        .otherwise(F.array().cast("array<string>")),
-        F.transform(full, escaped),
+    stemmed = cut.withColumn("__stem", F.when(F.size("__segments") > 0, stem))
+    last = (
+        F.when(F.col("__stem").isNotNull(), F.array(F.concat("__stem", "__tail")))
+        .when(F.col("__tail") != "", F.array("__tail"))
+        .otherwise(none)
     )
-    slug = F.array_join(pieces, "/")
-    slug = F.when(
-        slug.endswith(".md"), F.concat(F.left(slug, F.length(slug) - 3), F.lit("%2Emd"))
-    ).otherwise(slug)
-    reason = (
-        F.when(raw.isNull() | (text == ""), "document id is empty")
+    leading = F.slice("__segments", 1, F.greatest(F.size("__segments") - 1, F.lit(0)))
+    pieced = stemmed.withColumn(
+        "__pieces",
+        F.concat(
+            F.when(F.col("is_url"), F.array("__head")).otherwise(none),
+            F.transform(F.concat(leading, last), escaped),
+        ),
+    ).withColumn("__slug", F.array_join("__pieces", "/"))
+    climbs = F.exists("__segments", lambda s: s.rlike(r"(?i)^(\.|%2e){2}\z"))
+    judged = pieced.withColumn(
+        "reject_reason",
+        F.when(F.col(raw).isNull() | (F.col("__text") == ""), "document id is empty")
         .when(climbs, "document id escapes the bundle")
-        .when((n > 0) & (stem == ""), "document id has no content beyond its extension")
-        .when(F.size(pieces) == 0, "document id has no path content")
+        .when(F.col("__stem") == "", "document id has no content beyond its extension")
+        .when(F.size("__pieces") == 0, "document id has no path content"),
     )
-    return F.struct(
-        F.when(reason.isNull(), slug).alias("native_id"),
-        reason.alias("reject_reason"),
-        url.alias("is_url"),
+    # a slug that ends in .md would lose it once more in the bundle path
+    settled = F.regexp_replace("__slug", r"\.md\z", "%2Emd")
+    return judged.select(
+        *keep,
+        F.when(F.col("reject_reason").isNull(), settled).alias("native_id"),
+        "reject_reason",
+        "is_url",
     )
