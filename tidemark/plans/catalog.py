@@ -1,6 +1,7 @@
 """Every registered query; importing the modules fills the registry."""
 
 from tidemark.plans import (  # noqa: F401
+    queries_catalog,
     queries_changes,
     queries_concepts,
     queries_graph,
