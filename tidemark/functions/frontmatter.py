@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,10 +18,9 @@ from tidemark.functions.instants import iso
 
 _FENCED = r"(?s)^---(.*?)\n---(.*)\z"
 
-# Java regex has no cheap test for "not printable in YAML", so the characters that a
-# YAML reader refuses or folds are listed: C1 controls, line separators, the BOM.
-_YAML_UNSAFE = "[\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff]"
-_YAML_ESCAPES = [chr(i) for i in range(0x7F, 0xA0)] + list("\u2028\u2029\ufeff\ufffe\uffff")
+# Characters that a YAML reader refuses or folds, though JSON allows them
+# raw: C1 controls, the Unicode line separators, the byte-order mark, non-characters.
+_YAML_UNSAFE = "[\\x7f-\\x9f\\u2028\\u2029\\ufeff\\ufffe\\uffff]"
 
 
 def split_front_matter(text: Column) -> Column:
@@ -121,11 +120,18 @@ def without_keys(front: Column, keys: Iterable[str]) -> Column:
 
 
 def yaml_safe(quoted: Column) -> Column:
-    """JSON text with the characters that a YAML reader would refuse or fold escaped."""
-    safe = quoted
-    for ch in _YAML_ESCAPES:
-        safe = F.replace(safe, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
-    return F.when(quoted.rlike(_YAML_UNSAFE), safe).otherwise(quoted)
+    """Quoted JSON strings with the characters a YAML reader would not keep escaped."""
+    escaped = F.array_join(
+        F.transform(
+            F.split(quoted, ""),
+            lambda c: F.when(
+                c.rlike(_YAML_UNSAFE),
+                F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0")),
+            ).otherwise(c),
+        ),
+        "",
+    )
+    return F.when(quoted.rlike(_YAML_UNSAFE), escaped).otherwise(quoted)
 
 
 def yaml_quoted(s: Column) -> Column:
@@ -133,11 +139,7 @@ def yaml_quoted(s: Column) -> Column:
     return yaml_safe(json_string(F.coalesce(s, F.lit(""))))
 
 
-def _yaml_lines(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.concat(F.lit("- "), yaml_quoted(v), F.lit("\n"))), "")
-
-
-def render(
+def head(
     *,
     type_: Column,
     title: Column,
@@ -147,47 +149,50 @@ def render(
     facets: Column,
     sources: Column,
     links: Column,
-    body: Column,
 ) -> Column:
-    """Front matter in fixed key order, the title heading, then the body."""
-    facet_lines = F.array_join(
-        F.transform(
-            F.array_sort(
-                F.transform(
-                    F.map_entries(facets),
-                    lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")),
-                )
-            ),
-            lambda e: F.concat(yaml_quoted(e["k"]), F.lit(": "), yaml_safe(e["v"]), F.lit("\n")),
+    """The lines between the fences, in fixed key order."""
+
+    def q(c: Column) -> Column:
+        return json_string(F.coalesce(c, F.lit("")))
+
+    def lines(items: Column, one: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(items, one), "")
+
+    newline = F.lit("\n")
+    facet_lines = lines(
+        F.array_sort(
+            F.transform(
+                F.map_entries(facets),
+                lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")),
+            )
         ),
-        "",
+        lambda e: F.concat(q(e["k"]), F.lit(": "), e["v"], newline),
     )
-    source_lines = F.array_join(
-        F.transform(
-            sources,
-            lambda s: F.concat(
-                F.lit("- id: "), yaml_quoted(s["id"]),
-                F.lit("\n  resource: "), yaml_quoted(s["resource"]),
-                F.lit("\n  content_hash: "), yaml_quoted(s["content_hash"]),
-                F.lit("\n"),
-            ),
+    source_lines = lines(
+        sources,
+        lambda s: F.concat(
+            F.lit("- id: "), q(s["id"]),
+            F.lit("\n  resource: "), q(s["resource"]),
+            F.lit("\n  content_hash: "), q(s["content_hash"]),
+            newline,
         ),
-        "",
     )
-    stamp = F.when(
-        generated_at.isNotNull(), F.concat(F.lit("  at: "), yaml_quoted(iso(generated_at)), F.lit("\n"))
-    ).otherwise("")
-    source_block = F.when(
-        F.size(sources) > 0, F.concat(F.lit("sources:\n"), source_lines)
-    ).otherwise("sources: []\n")
-    link_block = F.when(
-        F.size(links) > 0, F.concat(F.lit("links:\n"), _yaml_lines(links))
-    ).otherwise("")
+    link_lines = lines(links, lambda v: F.concat(F.lit("- "), q(v), newline))
+    return F.concat(
+        F.lit("type: "), q(type_),
+        F.lit("\ntitle: "), q(title),
+        F.lit("\ndescription: "), q(description),
+        F.lit("\ngenerated:\n  by: "), q(generated_by),
+        newline,
+        F.when(generated_at.isNotNull(), F.concat(F.lit("  at: "), q(iso(generated_at)), newline)).otherwise(""),
+        facet_lines,
+        F.when(F.size(sources) > 0, F.concat(F.lit("sources:\n"), source_lines)).otherwise("sources: []\n"),
+        F.when(F.size(links) > 0, F.concat(F.lit("links:\n"), link_lines)).otherwise(""),
+    )
+
+
+def rendered(front: Column, title: Column, body: Column) -> Column:
+    """Fenced front matter, the title heading, then the body."""
     return F.concat(
-        F.lit("---\ntype: "), yaml_quoted(type_),
-        F.lit("\ntitle: "), yaml_quoted(title),
-        F.lit("\ndescription: "), yaml_quoted(description),
-        F.lit("\ngenerated:\n  by: "), yaml_quoted(generated_by),
-        F.lit("\n"), stamp, facet_lines, source_block, link_block,
-        F.lit("---\n\n# "), title, F.lit("\n\n"), body, F.lit("\n"),
+        F.lit("---\n"), yaml_safe(front), F.lit("---\n\n# "), title, F.lit("\n\n"), body, F.lit("\n")
     )

@@ -102,9 +102,10 @@ def assemble(
         F.lit(generated_by).alias("generated_by"),
         "p_title", "p_description", "p_body",
     )
-    return framed.select(
-        "path", "doc_id", "type", "facets", "sources", "links", "generated_at", "generated_by",
-        frontmatter.render(
+    shown = ["path", "doc_id", "type", "facets", "sources", "links", "generated_at", "generated_by"]
+    headed = framed.withColumn(
+        "front",
+        frontmatter.head(
             type_=F.col("type"),
             title=F.col("p_title"),
             description=F.col("p_description"),
@@ -113,9 +114,10 @@ def assemble(
             facets=F.col("facets"),
             sources=F.col("sources"),
             links=F.col("links"),
-            body=F.col("p_body"),
-        ).alias("content"),
+        ),
     )
+    content = frontmatter.rendered(F.col("front"), F.col("p_title"), F.col("p_body"))
+    return headed.select(*shown, content.alias("content"))
 
 
 def files_of(assembled: DataFrame) -> DataFrame:

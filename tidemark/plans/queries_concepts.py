@@ -363,9 +363,10 @@ def _flawed_files(spark, sf_dir):
         )
         .otherwise(F.col("sources")),
     )
-    content = frontmatter.render(
+    title = F.when(n % 53 == 5, " ").otherwise(F.concat(F.lit("Document "), n.cast("string")))
+    front = frontmatter.head(
         type_=F.when(n % 53 == 4, "other").when(n % 53 == 13, "").otherwise("concept"),
-        title=F.when(n % 53 == 5, " ").otherwise(F.concat(F.lit("Document "), n.cast("string"))),
+        title=title,
         description=F.when(n % 53 == 6, "").otherwise("d"),
         generated_by=F.when(n % 53 == 7, "").otherwise(F.lit(corpus.ACTOR)),
         generated_at=F.when(n % 53 == 8, F.lit(None).cast("timestamp"))
@@ -374,10 +375,12 @@ def _flawed_files(spark, sf_dir):
         facets=F.col("facets"),
         sources=F.col("sources_shown"),
         links=F.when(n % 53 == 10, F.slice("links", 1, 0)).otherwise(F.col("links")),
-        body=F.lit("body"),
     )
+    content = F.col("content")
     retrieved = F.timestamp_seconds(F.lit(1704067200) + n * 60)
-    return shown.withColumn("retrieved", retrieved).select(
+    headed = shown.withColumn("retrieved", retrieved).withColumn("front", front)
+    written = headed.withColumn("content", frontmatter.rendered(F.col("front"), title, F.lit("body")))
+    return written.select(
         "n",
         "path",
         F.when(n % 53 == 11, "no front matter at all")

@@ -280,7 +280,7 @@ def run(
     else:
         body = prose.verbatim_prose(items)
 
-    existing = ch.known_paths(own_mirror, docs, systems, changes)
+    existing = staged("existing", ch.known_paths(own_mirror, docs, systems, changes))
     assembled = staged("assembled", cn.assemble(items, body, existing, generator.actor, kept))
     files, concepts = cn.files_of(assembled), cn.projection_of(assembled)
     removed = ch.removed_paths(changes)
