@@ -29,6 +29,7 @@ def test_publish_then_replay_is_noop_and_writes_nothing(spark, tmp_path):
     assert State(spark, str(tmp_path)).current() == before
 
 
+@pytest.mark.slow
 def test_absence_is_no_deletion_and_unchanged_docs_refresh(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("a.md"), doc("b.md")))
     outcome, kept = go(spark, tmp_path, Rows(doc("a.md", text="new")))
@@ -50,6 +51,7 @@ def test_tombstone_removes_file_and_keeps_referrers_other_links(spark, tmp_path)
     assert ids(spark, tmp_path) == ["sys:other.md", "sys:ref.md"]
 
 
+@pytest.mark.slow
 def test_deletion_only_run_names_the_removed_system_branch(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("a.md")))
     _, kept = go(spark, tmp_path, Rows(doc("a.md", deleted=True)))
@@ -84,24 +86,28 @@ def test_path_collision_across_systems_aborts(spark, tmp_path):
     assert ids(spark, tmp_path) == ["sys:readme"]
 
 
+@pytest.mark.slow
 def test_removing_and_adding_one_path_in_one_run_aborts(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("policy")))
     outcome, _ = go(spark, tmp_path, Rows(doc("policy", deleted=True), doc("policy.md")))
     assert isinstance(outcome, Aborted)
 
 
+@pytest.mark.slow
 def test_cross_system_relation_aborts(spark, tmp_path):
     outcome, _ = go(spark, tmp_path, Rows(doc("a", relations=["other:b"])))
     assert isinstance(outcome, Aborted)
     assert any(law == "cross-system-relation" and "other:b" in m for _, law, m in outcome.failures)
 
 
+@pytest.mark.slow
 def test_link_is_not_rescued_by_another_system(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("b", system="other")))
     _, kept = go(spark, tmp_path, Rows(doc("a", relations=["sys:b"])))
     assert kept.last["concepts"][path("a")].links == []
 
 
+@pytest.mark.slow
 def test_other_systems_referrer_stays_out(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("gone"), doc("ref", relations=["sys:gone"])))
     go(spark, tmp_path, Rows(doc("x", system="other", text="x")))
@@ -145,6 +151,7 @@ def test_drift_is_found_when_the_fetch_is_empty(spark, tmp_path):
     assert state.cursor(state.current(), "rows", {}).systems == ["sys"]
 
 
+@pytest.mark.slow
 def test_emptied_grounding_settles_after_one_rebuild(spark, tmp_path):
     _ground(spark, tmp_path)
     rebuilt, kept = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING)
@@ -169,6 +176,7 @@ def test_unresolvable_id_is_recorded_empty_and_picked_up_later(spark, tmp_path):
     assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "other:SVC1"]
 
 
+@pytest.mark.slow
 def test_grounded_by_edit_alone_rebuilds(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("SVC1", system="other", text="s")))
     go(spark, tmp_path, Rows(doc("a"), doc("b", text="b")), generator=GROUNDING)
@@ -180,12 +188,14 @@ def test_grounded_by_edit_alone_rebuilds(spark, tmp_path):
     assert isinstance(settled, NoOp)
 
 
+@pytest.mark.slow
 def test_tombstoned_owner_leaves_no_lineage(spark, tmp_path):
     _ground(spark, tmp_path)
     go(spark, tmp_path, Rows(doc("a", deleted=True)), generator=GROUNDING, grounding={"sys:a": ["other:SVC1"]})
     assert lineage(spark, tmp_path) == {}
 
 
+@pytest.mark.slow
 def test_rebuild_by_a_plain_generator_clears_lineage(spark, tmp_path):
     _ground(spark, tmp_path)
     _, kept = go(spark, tmp_path, Rows(doc("a", text="v2")))
@@ -193,6 +203,7 @@ def test_rebuild_by_a_plain_generator_clears_lineage(spark, tmp_path):
     assert lineage(spark, tmp_path) == {}
 
 
+@pytest.mark.slow
 def test_document_the_generator_dropped_keeps_its_lineage(spark, tmp_path):
     _ground(spark, tmp_path)
     before = lineage(spark, tmp_path)
@@ -202,6 +213,7 @@ def test_document_the_generator_dropped_keeps_its_lineage(spark, tmp_path):
     assert lineage(spark, tmp_path) == before
 
 
+@pytest.mark.slow
 def test_drift_and_referrer_render_once(spark, tmp_path):
     gmap = {"sys:a": ["other:SVC1"]}
     go(spark, tmp_path, Rows(doc("SVC1", system="other", text="s"), name="b"))
@@ -215,6 +227,7 @@ def test_drift_and_referrer_render_once(spark, tmp_path):
 # ---------------------------------------------------------------- state
 
 
+@pytest.mark.slow
 def test_two_configurations_keep_two_cursors(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("a"), payload={"at": 1}), config={"which": "one"})
     second = Rows(doc("x", system="other"), payload={"at": 2})
@@ -225,6 +238,7 @@ def test_two_configurations_keep_two_cursors(spark, tmp_path):
     assert third.seen_cursor.payload == {"at": 1} and third.seen_cursor.systems == ["sys"]
 
 
+@pytest.mark.slow
 def test_noop_discards_its_cursor(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("a"), payload={"at": 1}))
     go(spark, tmp_path, Rows(doc("a"), payload={"at": 2}))
@@ -243,6 +257,7 @@ def test_the_slower_of_two_writers_fails(spark, tmp_path):
     assert state.current().number == 2
 
 
+@pytest.mark.slow
 def test_runs_table_and_observer(spark, tmp_path):
     seen = []
     go(spark, tmp_path, Rows(doc("a")), observer=lambda stage, facts: seen.append((stage, facts)))

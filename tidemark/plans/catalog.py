@@ -5,6 +5,7 @@ from tidemark.plans import (  # noqa: F401
     queries_changes,
     queries_concepts,
     queries_graph,
+    queries_run,
     queries_sources,
 )
 from tidemark.plans.registry import ORACLES, QUERIES

@@ -37,7 +37,7 @@ def fetch(landed: DataFrame, repo: str, since: str | None = None, state: str = "
     The comparison is inclusive, so the last record comes again; the diff makes that
     harmless. Text that is no JSON object is dropped here and reported by `rejects`.
     """
-    rows = landed.select(F.try_parse_json("raw").alias("v")).where(F.col("v").isNotNull())
+    rows = landed.select("raw", F.try_parse_json("raw").alias("v")).where(F.col("v").isNotNull())
     rows = rows.where(~F.array_contains(F.json_object_keys(F.to_json("v")), "pull_request"))
     if state != "all":
         rows = rows.where(_text_field("state") == state)
@@ -48,7 +48,7 @@ def fetch(landed: DataFrame, repo: str, since: str | None = None, state: str = "
         F.concat(F.lit(f"{repo}/issues/"), _text_field("number")).alias("native_id"),
         _text_field("html_url").alias("url"),
         "updated_at",
-        "v",
+        "raw",
     )
 
 
@@ -67,6 +67,7 @@ def watermark(fetched: DataFrame, previous: str | None) -> DataFrame:
 
 def normalize(issues: DataFrame, system: str = SYSTEM) -> DataFrame:
     """Update stamps and comment counts never enter the canonical form."""
+    issues = issues.withColumn("v", F.try_parse_json("raw"))
     labels = F.array_sort(
         F.transform(
             F.coalesce(
