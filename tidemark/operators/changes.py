@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity
 from tidemark.functions.hashing import content_hash
 from tidemark.functions.text import is_blank
-from tidemark.operators.joins import guarded_broadcast
+from tidemark.operators.joins import BROADCAST_ROWS, guarded_broadcast
 from tidemark.schema import DOCUMENT_COLUMNS, DOCUMENTS, failure
 
 
@@ -131,14 +131,17 @@ ADDED, MODIFIED, REMOVED = "added", "modified", "removed"
 UNCHANGED, IGNORED = "unchanged", "ignored_tombstone"
 
 
-def diff(docs: DataFrame, mirror: DataFrame) -> DataFrame:
+def diff(docs: DataFrame, mirror: DataFrame, fetched: int | None = None) -> DataFrame:
     """(doc_id, kind) for every fetched document.
 
     Absence never means deletion: only fetched rows are classified. Both sides are cut
-    to two or three columns before the shuffle, so no text moves.
+    to two or three columns before the shuffle, so no text moves. A fetch known to be
+    small filters the mirror in place first, so that the mirror does not move either.
     """
     now = docs.select("doc_id", "content_hash", "deleted")
     was = mirror.select("doc_id", F.col("content_hash").alias("old_hash"))
+    if fetched is not None and fetched <= BROADCAST_ROWS:
+        was = was.join(F.broadcast(docs.select("doc_id").distinct()), "doc_id", "left_semi")
     kind = (
         F.when(F.col("deleted") & F.col("old_hash").isNotNull(), REMOVED)
         .when(F.col("deleted"), IGNORED)
@@ -205,17 +208,26 @@ def run_systems(docs: DataFrame) -> DataFrame:
     return docs.select("system").distinct()
 
 
-def known_paths(mirror: DataFrame, docs: DataFrame, systems: DataFrame, changes: DataFrame) -> DataFrame:
-    """Paths a link may point at once this run is published."""
+def known_paths(
+    mirror: DataFrame,
+    docs: DataFrame,
+    systems: DataFrame,
+    changes: DataFrame,
+    wanted: DataFrame | None = None,
+    wanted_rows: int | None = None,
+) -> DataFrame:
+    """Paths a link may point at once this run is published.
+
+    A run asks about the targets of its own links only; with `wanted` the answer is cut
+    to those paths before anything is shuffled.
+    """
     path = identity.concept_path(F.col("doc_id")).alias("path")
     in_scope = mirror.select("doc_id", "system").join(systems, "system", "left_semi")
     live = docs.where(~F.col("deleted"))
-    return (
-        in_scope.select(path)
-        .unionByName(live.select(path))
-        .distinct()
-        .join(removed_ids(changes).select(path), "path", "left_anti")
-    )
+    every = in_scope.select(path).unionByName(live.select(path))
+    if wanted is not None:
+        every = every.join(guarded_broadcast(wanted.select("path"), wanted_rows), "path", "left_semi")
+    return every.distinct().join(removed_ids(changes).select(path), "path", "left_anti")
 
 
 def removed_paths(changes: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ SECTIONS = ["Added", "Modified", "Removed", "Conflicts", "Gaps", "Notes"]
 _SOURCE = "struct<id:string,resource:string,content_hash:string>"
 
 
-def resolved_links(items: DataFrame, known: DataFrame) -> DataFrame:
+def resolved_links(items: DataFrame, known: DataFrame, rows: int | None = None) -> DataFrame:
     """(doc_id, links), the known relation paths of each item, sorted, repeats kept.
 
     A page that everything links to is a hot key, hence the salted join. The list is no
@@ -27,10 +27,18 @@ def resolved_links(items: DataFrame, known: DataFrame) -> DataFrame:
     links = items.select("doc_id", F.explode("relations").alias("target")).select(
         "doc_id", "target", identity.concept_path(F.col("target")).alias("path")
     )
-    kept = skew_safe_join(links, known.select("path").distinct(), "path", "left_semi", ["doc_id", "target"])
+    targets = known.select("path").distinct()
+    kept = skew_safe_join(links, targets, "path", "left_semi", ["doc_id", "target"], rows=rows)
     return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("path")).alias("links"))
 
 
+def link_targets(items: DataFrame) -> DataFrame:
+    """One path per relation of an item, repeats kept."""
+    return items.select(F.explode("relations").alias("target")).select(
+        identity.concept_path(F.col("target")).alias("path")
+    )
+
+
 def cited_sources(kept: DataFrame) -> DataFrame:
     """(doc_id, cited): grounding sources in rank order, at most the cap per owner."""
     return (
@@ -66,6 +74,7 @@ def assemble(
     known: DataFrame,
     generated_by: str,
     kept: DataFrame | None = None,
+    link_rows: int | None = None,
 ) -> DataFrame:
     """One row per produced concept, holding both the projection and the file.
 
@@ -73,7 +82,7 @@ def assemble(
     an item without prose is dropped. The owner's source leads, grounding follows.
     """
     paths = items.select(identity.concept_path(F.col("doc_id")).alias("path"))
-    links = resolved_links(items, known.select("path").unionByName(paths))
+    links = resolved_links(items, known.select("path").unionByName(paths), link_rows)
     own = F.struct(
         identity.doc_id(F.col("system"), F.col("native_id")).alias("id"),
         identity.resource_key(F.col("url"), F.col("system"), F.col("native_id")).alias("resource"),

@@ -61,11 +61,11 @@ def declared_ids(owners: DataFrame, subject_map: DataFrame | None) -> DataFrame:
     return own.distinct()
 
 
-def looked_up(declared: DataFrame, targets: DataFrame) -> DataFrame:
+def looked_up(declared: DataFrame, targets: DataFrame, rows: int | None = None) -> DataFrame:
     """Each declaration beside the document it names, NULL where there is none.
 
     Targets are cut to identity columns. A document that many owners cite is a hot key,
-    so the join is salted.
+    so the join is salted; few declarations (`rows`) filter the targets in place.
     """
     found = targets.select(
         F.col("doc_id").alias("grounding_id"),
@@ -73,7 +73,7 @@ def looked_up(declared: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("deleted").alias("gone"),
     )
     others = declared.where(F.col("owner_id") != F.col("grounding_id"))
-    return skew_safe_join(others, found, "grounding_id", "left", ["owner_id"])
+    return skew_safe_join(others, found, "grounding_id", "left", ["owner_id"], rows=rows)
 
 
 def _anchor_key(anchor: str) -> Column:
@@ -156,15 +156,20 @@ def resolve(
     subject_map: DataFrame | None,
     targets: DataFrame,
     max_docs: int = DEFAULT_MAX_DOCS,
-    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """U1 then J4 then W1 then W2: (kept rows, notes).
 
-    The lookup and the citable rows are each read more than once; `settle` may write
-    them out, so that the join behind them runs once.
+    Declarations, lookup and citable rows are each read more than once; `settle` writes
+    them out, so that the join behind them runs once and the first can be counted.
     """
-    lookup = settle(looked_up(declared_ids(owners, subject_map), targets))
-    cited = settle(citable(lookup, owners))
+    declared, rows = declared_ids(owners, subject_map), None
+    if settle is not None:
+        declared = settle(declared)
+        rows = declared.count()
+    keep = settle or (lambda df: df)
+    lookup = keep(looked_up(declared, targets, rows))
+    cited = keep(citable(lookup, owners))
     kept = capped(cited, max_docs)
     return kept, resolution_notes(lookup, cited, kept, max_docs)
 

@@ -11,6 +11,9 @@ _SALTS = "__salts"
 # A side is broadcast only when a count already at hand proves it this small.
 BROADCAST_ROWS = 500_000
 
+# Hot keys are sought among this many slices at most; it bounds sketch and broadcast.
+MAX_SLICES = 10_000
+
 
 def guarded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
     """Hint a side whose row count is known to be small; otherwise leave it to shuffle."""
@@ -40,6 +43,11 @@ def hot_keys(df: DataFrame, key: str, slices: int) -> DataFrame:
     )
 
 
+def _slices(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    return min(MAX_SLICES, max(8, int(conf) if conf.isdigit() else 200))
+
+
 def skew_safe_join(
     left: DataFrame,
     right: DataFrame,
@@ -47,17 +55,20 @@ def skew_safe_join(
     how: str,
     spread_by: list[str],
     slices: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of a possibly skewed `left` to a `right` holding each key once.
 
-    Rows of a hot left key are spread over several salts, chosen from `spread_by` so
-    that a retried task makes the same choice; only the hot keys of `right` are
-    repeated. `how` is inner, left, left_semi or left_anti.
+    `rows` is the size of `left` where a count is at hand. A small left sends its keys to
+    the right, which is then filtered in place and never shuffled. Otherwise rows of a
+    hot left key are spread over several salts, chosen from `spread_by` so that a retried
+    task makes the same choice, and only the hot keys of `right` are repeated.
+    `how` is inner, left, left_semi or left_anti.
     """
-    n = slices or max(
-        8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    )
-    hot = F.broadcast(hot_keys(left, key, n))
+    if rows is not None and rows <= BROADCAST_ROWS:
+        wanted = F.broadcast(left.select(key).distinct())
+        return left.join(right.join(wanted, key, "left_semi"), key, how)
+    hot = F.broadcast(hot_keys(left, key, slices or _slices(left)))
     salted_left = left.join(hot, key, "left").withColumn(
         _SALT,
         F.when(

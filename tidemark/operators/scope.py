@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import identity
 from tidemark.operators.changes import changed_ids, removed_ids
-from tidemark.operators.joins import edges, skew_safe_join
+from tidemark.operators.joins import BROADCAST_ROWS, edges, guarded_broadcast, skew_safe_join
 from tidemark.schema import failure
 
 FETCHED, DRIFTED, REFERRING = 0, 1, 2  # origin of a work-list entry, in order
@@ -20,13 +21,21 @@ def in_scope(df: DataFrame, systems: DataFrame) -> DataFrame:
     return df.join(systems, "system", "left_semi")
 
 
-def _settled(mirror: DataFrame, systems: DataFrame, changes: DataFrame) -> DataFrame:
+def _settled(
+    mirror: DataFrame, systems: DataFrame, changes: DataFrame, touched_rows: int | None
+) -> DataFrame:
     touched = changed_ids(changes).unionByName(removed_ids(changes))
-    return in_scope(mirror, systems).join(touched, "doc_id", "left_anti")
+    return in_scope(mirror, systems).join(
+        guarded_broadcast(touched, touched_rows), "doc_id", "left_anti"
+    )
 
 
 def drift_candidates(
-    mirror: DataFrame, docs: DataFrame, systems: DataFrame, changes: DataFrame
+    mirror: DataFrame,
+    docs: DataFrame,
+    systems: DataFrame,
+    changes: DataFrame,
+    fetched: int | None = None,
 ) -> DataFrame:
     """Settled documents of this run's systems, each as this run sees it.
 
@@ -38,8 +47,8 @@ def drift_candidates(
     fresh = docs.where(~F.col("deleted")).select(
         "doc_id", F.struct(*cols[1:]).alias("fresh")
     )
-    settled = _settled(mirror.select(*cols), systems, changes)
-    joined = settled.join(fresh, "doc_id", "left")
+    settled = _settled(mirror.select(*cols), systems, changes, fetched)
+    joined = settled.join(guarded_broadcast(fresh, fetched), "doc_id", "left")
     return joined.select(
         "doc_id",
         *[
@@ -49,12 +58,26 @@ def drift_candidates(
     )
 
 
-def referrers(mirror: DataFrame, systems: DataFrame, changes: DataFrame) -> DataFrame:
-    """Settled documents of this run's systems that link to a removed one."""
-    settled = _settled(mirror.select("doc_id", "system", "relations"), systems, changes)
+def referrers(
+    mirror: DataFrame,
+    systems: DataFrame,
+    changes: DataFrame,
+    removed: int | None = None,
+    fetched: int | None = None,
+) -> DataFrame:
+    """Settled documents of this run's systems that link to a removed one.
+
+    With few removals their ids go to the links, which then need no shuffle; with many
+    the join is salted, as a removed hub may be the target of most links.
+    """
+    settled = _settled(mirror.select("doc_id", "system", "relations"), systems, changes, fetched)
     links = edges(settled, "doc_id", "relations", "target")
     gone = removed_ids(changes).select(F.col("doc_id").alias("target"))
-    return skew_safe_join(links, gone, "target", "left_semi", ["doc_id"]).select("doc_id").distinct()
+    if removed is not None and removed <= BROADCAST_ROWS:
+        hit = links.join(F.broadcast(gone), "target", "left_semi")
+    else:
+        hit = skew_safe_join(links, gone, "target", "left_semi", ["doc_id"])
+    return hit.select("doc_id").distinct()
 
 
 def work_list(changes: DataFrame, drift: DataFrame | None, referring: DataFrame | None) -> DataFrame:
@@ -86,11 +109,13 @@ def branch(work: DataFrame, removed: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- scope laws
 
 
-def path_collisions(docs: DataFrame) -> DataFrame:
+def path_collisions(
+    docs: DataFrame, settle: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """A3/L3: documents whose bundle path already belongs to a smaller id.
 
-    Owners are found with a map-side aggregate, so only contested paths reach the join
-    that names the other documents.
+    Contested paths come from a map-side aggregate and are rare. Where `settle` writes
+    them out and they prove few, they go to the documents; else the join is salted.
     """
     live = docs.where(~F.col("deleted")).select(
         identity.concept_path(F.col("doc_id")).alias("path"), "doc_id"
@@ -101,7 +126,14 @@ def path_collisions(docs: DataFrame) -> DataFrame:
         .where(F.col("owner") != F.col("last"))
         .select("path", "owner")
     )
-    rivals = skew_safe_join(live, contested, "path", "inner", ["doc_id"])
+    few = False
+    if settle is not None:
+        contested = settle(contested)
+        few = contested.count() <= BROADCAST_ROWS
+    if few:
+        rivals = live.join(F.broadcast(contested), "path")
+    else:
+        rivals = skew_safe_join(live, contested, "path", "inner", ["doc_id"])
     return rivals.where(F.col("doc_id") != F.col("owner")).select(
         *failure(
             "path",

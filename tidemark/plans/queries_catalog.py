@@ -266,7 +266,7 @@ def event_changes_stream(spark, sf_dir):
     """SELECT count(*) AS events FROM events""",
 )
 def replay_suppression(spark, sf_dir):
-    """Every event delivered twice; the hash diff keeps one state per event."""
+    """A delivered log delivered again: the hash diff finds every event unchanged."""
     e = corpus.table(spark, sf_dir, "events")
     rows = e.select(
         F.lit("log").alias("system"), F.col("event_id").cast("string").alias("native_id"),

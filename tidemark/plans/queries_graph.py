@@ -120,7 +120,7 @@ def _contested(spark, sf_dir):
     FROM claims JOIN owners USING (path) WHERE doc <> owner""",
 )
 def path_collisions(spark, sf_dir):
-    return scope.path_collisions(_contested(spark, sf_dir))
+    return scope.path_collisions(_contested(spark, sf_dir), settled)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity
 from tidemark.plans import corpus
 from tidemark.plans.registry import query
+from tidemark.session import settled
 from tidemark.sources import commits, issues, markdown, responses
 
 # ---------------------------------------------------------------- identity
@@ -270,7 +271,7 @@ def _landed_issues(spark, sf_dir):
         (k % 17).alias("comments"),
         pulled.alias("pull_request"),
     )
-    return o.select(F.when(k % 100 == 1, "{broken").otherwise(F.to_json(issue)).alias("raw"))
+    return settled(o.select(F.when(k % 100 == 1, "{broken").otherwise(F.to_json(issue)).alias("raw")))
 
 
 _ISSUES = """issues AS (SELECT *, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -158,6 +159,11 @@ def run(
         folder = state.write(f"staging/run={run_id}/{name}", df)
         return spark.read.schema(df.schema).parquet(f"{state.root}/{folder}")
 
+    def staging(prefix: str) -> Callable[[DataFrame], DataFrame]:
+        """`settle` for operators: numbered tables under one prefix."""
+        numbers = itertools.count()
+        return lambda df: staged(f"{prefix}_{next(numbers)}", df)
+
     cursor = state.cursor(version, source.name, config)
     fetch = source.fetch(spark, config, cursor)
     records = staged("records", fetch.records)
@@ -183,11 +189,11 @@ def run(
     system_names = fetched_systems or sorted(cursor.systems if cursor else [])
     systems = spark.createDataFrame([(s,) for s in system_names], "system string")
 
+    fetched = docs.count()
     # a document of one system can only sit in that system's folder
-    changes = staged("changes", ch.diff(docs, state.mirror(version, fetched_systems)))
+    changes = staged("changes", ch.diff(docs, state.mirror(version, fetched_systems), fetched))
     tally = {r.kind: r.n for r in ch.change_counts(changes).collect()}
     counts = {k: tally.get(k, 0) for k in (ch.ADDED, ch.MODIFIED, ch.REMOVED, ch.UNCHANGED)}
-    fetched = sum(tally.values())
     is_noop = counts[ch.ADDED] + counts[ch.MODIFIED] + counts[ch.REMOVED] == 0
     lineage = state.lineage(version)
     scan = gr.scan_needed(generator.grounds, subject_map, docs, lineage)
@@ -198,14 +204,17 @@ def run(
     mirror = state.mirror(version)
     own_mirror = state.mirror(version, system_names)
     light_docs = _light(docs)
-    # identities of every system: read by collisions, drift and resolution
-    targets = staged("targets", ch.overlay(_light(mirror), light_docs, fetched))
+    # identities of every system; each reader prunes it to the few columns it needs
+    targets = ch.overlay(_light(mirror), light_docs, fetched)
 
     drift = None
     if scan:
-        candidates = scope.drift_candidates(own_mirror, docs, systems, changes)
-        candidates = staged("candidates", candidates)
-        kept_now, _ = gr.resolve(candidates, subject_map, targets, max_grounding_docs)
+        candidates = staged(
+            "candidates", scope.drift_candidates(own_mirror, docs, systems, changes, fetched)
+        )
+        kept_now, _ = gr.resolve(
+            candidates, subject_map, targets, max_grounding_docs, staging("drift")
+        )
         drift = staged("drift", gr.drifted(candidates, lineage, kept_now))
     clock.mark("drift")
     if is_noop and (drift is None or drift.isEmpty()):
@@ -213,7 +222,7 @@ def run(
 
     referring = None
     if counts[ch.REMOVED]:
-        referring = staged("referrers", scope.referrers(own_mirror, systems, changes))
+        referring = staged("referrers", scope.referrers(own_mirror, systems, changes, counts[ch.REMOVED], fetched))
     work = staged("work", scope.work_list(changes, drift, referring))
     n_work = work.count()
 
@@ -245,7 +254,7 @@ def run(
 
     stop = abort(
         "scope_failures",
-        scope.path_collisions(targets).unionByName(scope.cross_system_relations(items)),
+        scope.path_collisions(targets, staging("contested")).unionByName(scope.cross_system_relations(items)),
     )
     if stop:
         return stop
@@ -253,9 +262,8 @@ def run(
     kept = declared = None
     notes: list[DataFrame] = []
     if generator.grounds:
-        pieces = iter(("lookup", "cited"))
         kept_df, resolve_notes = gr.resolve(
-            items, subject_map, targets, max_grounding_docs, lambda df: staged(next(pieces), df)
+            items, subject_map, targets, max_grounding_docs, staging("resolve")
         )
         kept = staged("kept", kept_df)
         declared = gr.declared_ids(items, subject_map)
@@ -264,7 +272,9 @@ def run(
     if isinstance(generator, prose.Generator):
         blocks = None
         if kept is not None:
-            wanted = kept.select(F.col("grounding_id").alias("doc_id")).distinct()
+            wanted = guarded_broadcast(
+                kept.select(F.col("grounding_id").alias("doc_id")).distinct(), kept.count()
+            )
             texts = ch.overlay(
                 mirror.select("doc_id", "text", "deleted"), docs.select("doc_id", "text", "deleted"), fetched
             ).join(wanted, "doc_id", "left_semi")
@@ -280,15 +290,23 @@ def run(
     else:
         body = prose.verbatim_prose(items)
 
-    existing = staged("existing", ch.known_paths(own_mirror, docs, systems, changes))
-    assembled = staged("assembled", cn.assemble(items, body, existing, generator.actor, kept))
+    # only the targets of this run's links are asked about
+    links = cn.link_targets(items)
+    n_links = links.count()
+    asked = staged("link_targets", links.distinct())
+    existing = staged(
+        "existing", ch.known_paths(own_mirror, docs, systems, changes, asked, n_links)
+    )
+    assembled = staged(
+        "assembled", cn.assemble(items, body, existing, generator.actor, kept, n_links)
+    )
     files, concepts = cn.files_of(assembled), cn.projection_of(assembled)
     removed = ch.removed_paths(changes)
     notes += scope.explanatory_notes(drift, referring, files)
     summary = staged("summary", cn.summary(changes, notes))
     clock.mark("assemble")
 
-    stop = abort("failures", laws.gate(files, concepts, removed, existing, extra_laws))
+    stop = abort("failures", laws.gate(files, concepts, removed, existing, extra_laws, n_links))
     if stop:
         return stop
     clock.mark("gate")
