@@ -60,15 +60,22 @@ def skew_safe_join(
     """Equi-join of a possibly skewed `left` to a `right` holding each key once.
 
     `rows` is the size of `left` where a count is at hand. A small left sends its keys to
-    the right, which is then filtered in place and never shuffled. Otherwise rows of a
-    hot left key are spread over several salts, chosen from `spread_by` so that a retried
-    task makes the same choice, and only the hot keys of `right` are repeated.
+    the right, which is then filtered in place and never shuffled. Otherwise the hot keys
+    of `left` are looked up first: their rows are spread over several salts, chosen from
+    `spread_by` so that a retried task makes the same choice, and only their rows of
+    `right` are repeated. Without hot keys this is a plain join.
     `how` is inner, left, left_semi or left_anti.
     """
     if rows is not None and rows <= BROADCAST_ROWS:
         wanted = F.broadcast(left.select(key).distinct())
         return left.join(right.join(wanted, key, "left_semi"), key, how)
-    hot = F.broadcast(hot_keys(left, key, slices or _slices(left)))
+    # collected, at most `slices` rows: both sides must see one and the same answer, and
+    # an approximate count evaluated twice could give two
+    found = hot_keys(left, key, slices or _slices(left))
+    hot_rows = found.collect()
+    if not hot_rows:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot_rows, found.schema))
     salted_left = left.join(hot, key, "left").withColumn(
         _SALT,
         F.when(
