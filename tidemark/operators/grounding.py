@@ -18,12 +18,17 @@ from tidemark.schema import LINEAGE, SUBJECT_MAP
 DEFAULT_MAX_DOCS = 5
 _NOTE_IDS = 1000  # ids spelled out per capped note
 
+# Wording of resolution notes and of map problems.
+NOT_FOUND = " was not found in the mirror or this fetch and was dropped"
+TOMBSTONED = " is tombstoned upstream and was dropped"
+NOT_QUALIFIED = " must be a qualified doc_id ('system:native_id'); bare ids are not accepted"
+
 MAP = T.MapType(T.StringType(), T.StringType())
 
 
 def subject_map_problems(subject_map: DataFrame, max_docs: int = DEFAULT_MAX_DOCS) -> DataFrame:
     """Shape errors of the operator's map. Whether an id resolves is no shape error."""
-    tail = F.lit(" must be a qualified doc_id ('system:native_id'); bare ids are not accepted")
+    tail = F.lit(NOT_QUALIFIED)
     keys = subject_map.select("owner_id").distinct().where(
         ~identity.is_qualified(F.col("owner_id"))
     )
@@ -126,10 +131,10 @@ def resolution_notes(
         return F.concat(path, F.lit(": grounding "), F.col("grounding_id"), F.lit(why))
 
     missing = lookup.where(F.col("anchor").isNull()).select(
-        "owner_id", dropped(" was not found in the mirror or this fetch and was dropped").alias("note")
+        "owner_id", dropped(NOT_FOUND).alias("note")
     )
     gone = lookup.where(F.col("anchor").isNotNull() & F.col("gone")).select(
-        "owner_id", dropped(" is tombstoned upstream and was dropped").alias("note")
+        "owner_id", dropped(TOMBSTONED).alias("note")
     )
     over = cited.select("owner_id", "grounding_id").join(
         kept.select("owner_id", "grounding_id"), ["owner_id", "grounding_id"], "left_anti"

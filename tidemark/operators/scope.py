@@ -15,6 +15,20 @@ from tidemark.schema import failure
 
 FETCHED, DRIFTED, REFERRING = 0, 1, 2  # origin of a work-list entry, in order
 
+# Wording of failures and notes that a reviewer reads.
+COLLISION = (
+    " are different documents that render one bundle path; whichever review request merges "
+    "second would overwrite the other"
+)
+CROSSING = "; links stay within one system, and publishing would drop it silently"
+REFERRER_NOTE = (
+    ": re-synthesized to drop links to concepts removed in this run; its own source is unchanged"
+)
+DRIFT_NOTE = (
+    ": re-synthesized because a document it is grounded in changed in another system; "
+    "its own source is unchanged"
+)
+
 
 def in_scope(df: DataFrame, systems: DataFrame) -> DataFrame:
     """Documents of this run's systems."""
@@ -140,10 +154,7 @@ def path_collisions(
             "bundle-path-collision",
             F.concat(
                 F.col("owner"), F.lit(" and "), F.col("doc_id"),
-                F.lit(
-                    " are different documents that render one bundle path; whichever review "
-                    "request merges second would overwrite the other"
-                ),
+                F.lit(COLLISION),
             ),
         )
     )
@@ -159,7 +170,7 @@ def cross_system_relations(docs: DataFrame) -> DataFrame:
             "cross-system-relation",
             F.concat(
                 F.lit("relation to "), F.col("target"), F.lit(" crosses out of "), system,
-                F.lit("; links stay within one system, and publishing would drop it silently"),
+                F.lit(CROSSING),
             ),
         )
     )
@@ -170,18 +181,7 @@ def explanatory_notes(
 ) -> list[DataFrame]:
     """Why a file changed although its own source did not; produced files only."""
     notes = []
-    for ids, why in (
-        (
-            referring,
-            ": re-synthesized to drop links to concepts removed in this run; "
-            "its own source is unchanged",
-        ),
-        (
-            drift,
-            ": re-synthesized because a document it is grounded in changed in another "
-            "system; its own source is unchanged",
-        ),
-    ):
+    for ids, why in ((referring, REFERRER_NOTE), (drift, DRIFT_NOTE)):
         if ids is None:
             continue
         paths = ids.select(identity.concept_path(F.col("doc_id")).alias("path"))
