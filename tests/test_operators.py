@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from kit import GROUNDING, Keep, Rows, doc, go, path
@@ -183,6 +184,7 @@ def test_stream_of_issues_publishes_once_per_change(spark, tmp_path):
     assert drain() is None  # only volatile fields moved
 
 
+@pytest.mark.slow
 def test_drift_job_runs_without_new_records(spark, tmp_path):
     gmap = {"sys:a": ["other:x"]}
     go(spark, tmp_path, Rows(doc("x", system="other")))

@@ -142,6 +142,7 @@ def test_drift_reopens_the_owner_on_its_own_next_run(spark, tmp_path):
     assert any("another system" in n for n in kept.notes)
 
 
+@pytest.mark.slow
 def test_drift_is_found_when_the_fetch_is_empty(spark, tmp_path):
     _ground(spark, tmp_path)
     go(spark, tmp_path, Rows(doc("SVC1", system="other", text="v2"), name="b"))
@@ -161,6 +162,7 @@ def test_emptied_grounding_settles_after_one_rebuild(spark, tmp_path):
     assert isinstance(settled, NoOp)
 
 
+@pytest.mark.slow
 def test_unresolvable_id_is_recorded_empty_and_picked_up_later(spark, tmp_path):
     gmap = {"sys:a": ["other:SVC1"]}
     _, kept = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding=gmap)

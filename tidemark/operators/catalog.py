@@ -82,8 +82,11 @@ def stale_concepts(
     )
 
 
-def tokens(body: Column) -> Column:
-    return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def occurrences(body: Column, term: str) -> Column:
+    """How often a word stands in a text, letters and digits making up words."""
+    quoted = term.replace("\\E", "")
+    word = r"(?<![\p{L}\p{N}])\Q" + quoted + r"\E(?![\p{L}\p{N}])"
+    return F.regexp_count(body, F.lit(word))
 
 
 def search(bodies: DataFrame, terms: list[str], limit: int) -> DataFrame:
@@ -93,20 +96,18 @@ def search(bodies: DataFrame, terms: list[str], limit: int) -> DataFrame:
     term before anything is shuffled. `limit` is the feature, a top-k answer.
     """
     wanted = sorted({t.lower() for t in terms})
-    counts = bodies.select(
-        "path",
-        F.left("body", F.lit(80)).alias("snippet"),
-        tokens(F.col("body")).alias("words"),
-    ).select(
+    lowered = bodies.select(
+        "path", F.left("body", F.lit(80)).alias("snippet"), F.lower("body").alias("body")
+    )
+    counts = lowered.select(
         "path",
         "snippet",
         F.explode(
-            F.transform(
-                F.array(*[F.lit(t) for t in wanted]),
-                lambda t: F.struct(
-                    t.alias("term"),
-                    F.size(F.filter("words", lambda w: w == t)).alias("tf"),
-                ),
+            F.array(
+                *[
+                    F.struct(F.lit(t).alias("term"), occurrences(F.col("body"), t).alias("tf"))
+                    for t in wanted
+                ]
             )
         ).alias("hit"),
     ).select("path", "snippet", "hit.*").where(F.col("tf") > 0)

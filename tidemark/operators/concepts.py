@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import facets, frontmatter, identity
 from tidemark.operators.changes import ADDED, MODIFIED, REMOVED
-from tidemark.operators.joins import skew_safe_join
+from tidemark.operators.joins import guarded_broadcast, skew_safe_join
 from tidemark.schema import empty_strings
 
 # Summary sections in the order they are rendered.
@@ -68,45 +69,83 @@ def cited_sources(kept: DataFrame) -> DataFrame:
     )
 
 
+def dropped_links(items: DataFrame, known: DataFrame, rows: int | None = None) -> DataFrame:
+    """J7 seen from the other side: (doc_id, dropped), the relation paths nobody has.
+
+    Few links dangle, so this is the small half: assembly joins it and the text of the
+    items stays where it is.
+    """
+    links = items.select("doc_id", F.explode("relations").alias("target")).select(
+        "doc_id", "target", identity.concept_path(F.col("target")).alias("path")
+    )
+    targets = known.select("path").distinct()
+    lost = skew_safe_join(links, targets, "path", "left_anti", ["doc_id", "target"], rows=rows)
+    return lost.groupBy("doc_id").agg(F.collect_set("path").alias("dropped"))
+
+
 def assemble(
     items: DataFrame,
-    prose: DataFrame,
+    prose: DataFrame | None,
     known: DataFrame,
     generated_by: str,
     kept: DataFrame | None = None,
     link_rows: int | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per produced concept, holding both the projection and the file.
 
-    Structure comes from the document alone. `prose` gives title, description and body;
-    an item without prose is dropped. The owner's source leads, grounding follows.
+    Structure comes from the document alone. `prose` gives title, description and body,
+    and an item without prose is dropped; without a prose table the document speaks for
+    itself and its text is not joined to anything. The owner's source leads, grounding
+    follows. `settle` lets the small sides be counted and, where few, broadcast.
     """
+
+    def small(df: DataFrame) -> DataFrame:
+        if settle is None:
+            return df
+        written = settle(df)
+        return guarded_broadcast(written, written.count())
+
     paths = items.select(identity.concept_path(F.col("doc_id")).alias("path"))
-    links = resolved_links(items, known.select("path").unionByName(paths), link_rows)
+    lost = small(dropped_links(items, known.select("path").unionByName(paths), link_rows))
     own = F.struct(
         identity.doc_id(F.col("system"), F.col("native_id")).alias("id"),
         identity.resource_key(F.col("url"), F.col("system"), F.col("native_id")).alias("resource"),
         F.col("content_hash"),
     )
-    body = prose.select(
-        "doc_id",
-        F.col("title").alias("p_title"),
-        F.col("description").alias("p_description"),
-        F.col("body").alias("p_body"),
-    )
-    # the item's own text is not needed once prose exists
-    joined = items.drop("text", "title").join(body, "doc_id").join(links, "doc_id", "left")
+    if prose is None:
+        spoken = items.withColumns(
+            {"p_title": F.col("title"), "p_description": F.col("title"), "p_body": F.col("text")}
+        )
+    else:
+        # the item's own text is not needed once prose exists
+        spoken = items.drop("text", "title").join(
+            prose.select(
+                "doc_id",
+                F.col("title").alias("p_title"),
+                F.col("description").alias("p_description"),
+                F.col("body").alias("p_body"),
+            ),
+            "doc_id",
+        )
+    joined = spoken.join(lost, "doc_id", "left")
     cited = F.array().cast(f"array<{_SOURCE}>")
     if kept is not None:
-        joined = joined.join(cited_sources(kept), "doc_id", "left")
+        joined = joined.join(small(cited_sources(kept)), "doc_id", "left")
         cited = F.coalesce(F.col("cited"), cited)
+    gone = F.coalesce("dropped", empty_strings())
+    links = F.array_sort(
+        F.filter(
+            F.transform("relations", identity.concept_path), lambda p: ~F.array_contains(gone, p)
+        )
+    )
     framed = joined.select(
         identity.concept_path(F.col("doc_id")).alias("path"),
         "doc_id",
         facets.concept_type(F.col("structured")).alias("type"),
         facets.facets(F.col("structured"), F.col("opaque_keys")).alias("facets"),
         F.concat(F.array(own), cited).alias("sources"),
-        F.coalesce("links", empty_strings()).alias("links"),
+        links.alias("links"),
         F.col("retrieved_at").alias("generated_at"),
         F.lit(generated_by).alias("generated_by"),
         "p_title", "p_description", "p_body",

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import changes as ch
 from tidemark.operators import concepts as cn
 from tidemark.operators import grounding as gr
-from tidemark.operators import prose
 from tidemark.session import settled
 
 ACTOR = "tidemark/test"
@@ -148,9 +147,7 @@ class States:
 
     @property
     def assembled(self) -> DataFrame:
-        return cn.assemble(
-            self.live, prose.verbatim_prose(self.live), self.known, ACTOR, self.kept
-        )
+        return cn.assemble(self.live, None, self.known, ACTOR, self.kept, settle=settled)
 
 
 def states(spark: SparkSession, sf_dir: str, with_text: bool = False) -> States:

@@ -288,7 +288,7 @@ def run(
             raise GeneratorError("; ".join(f"{r.doc_id}: {r.reject_reason}" for r in bad))
         body = prose.finished(written)
     else:
-        body = prose.verbatim_prose(items)
+        body = None
 
     # only the targets of this run's links are asked about
     links = cn.link_targets(items)
@@ -298,7 +298,8 @@ def run(
         "existing", ch.known_paths(own_mirror, docs, systems, changes, asked, n_links)
     )
     assembled = staged(
-        "assembled", cn.assemble(items, body, existing, generator.actor, kept, n_links)
+        "assembled",
+        cn.assemble(items, body, existing, generator.actor, kept, n_links, staging("assembly")),
     )
     files, concepts = cn.files_of(assembled), cn.projection_of(assembled)
     removed = ch.removed_paths(changes)
