@@ -27,6 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. One that comes as fewer splits than there are cores is dealt out
     first, as hashing and rendering would otherwise run on one of them; a large table
     has more splits than cores and is read as it is."""
+    # the given stamps carry no zone and are read as UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import facets as fx
@@ -242,11 +244,10 @@ def event_changes(spark, sf_dir):
 @query("T4_event_changes_stream", _EVENT_CHANGES)
 def event_changes_stream(spark, sf_dir):
     """The same by a stateful stream over the table, run until nothing is left."""
-    import uuid
-
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     schema = corpus.table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # the pattern fits a single file as well as a folder of parts
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     out = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
     stream = (
         keyed_changes.classify_stream(_log(source))
