@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, packing
-from tidemark.llm.common import table
+from tidemark.llm import bpe, exact, packing, quality, toxicity
+from tidemark.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,34 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def fold(modulus: int) -> Column:
+    """The remainder that holds rows out."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query("op7_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules = quality.fit(docs, labels.where(fold(5) != 0), "quality", Scratch(spark, "quality"))
+    scored = quality.score(docs.select("doc_id", "text"), rules)
+    return scored.select(
+        "doc_id",
+        (fold(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
+@query("op9_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(3) != 1), "toxic", Scratch(spark, "toxicity"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (fold(3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "offending",
+    )
