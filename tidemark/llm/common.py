@@ -157,3 +157,37 @@ def joined(column: pa.Array, lower: bool = False) -> tuple[bytes, np.ndarray]:
 
 def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())
+
+
+def cell_counts(df: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray], columns: list[str], bits: int) -> np.ndarray:
+    """How often each of ``2**bits`` cells occurs over all rows: a sketch of fixed size.
+
+    Each task counts in one array and sends it in blocks; blocks are added by a grouped sum. The
+    driver gets ``4 * 2**bits`` bytes, however large the table.
+    """
+    block = 1 << min(bits, 14)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for part in slices(batches, columns[0]) if columns[0] == "text" else batches:
+            if part.num_rows:
+                at, n = np.unique(cells(part), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        parts = total.reshape(-1, block)
+        used = np.flatnonzero(parts.any(axis=1))
+        if len(used):
+            rows = [parts[k].astype("<u4").tobytes() for k in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used), binary(rows)], ["block", "counts"])
+
+    def add(batch: pa.Table) -> pa.Table:
+        total = np.zeros(block, np.uint64)
+        for x in batch["counts"].to_pylist():
+            total += np.frombuffer(x, "<u4")
+        packed = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
+        return pa.table({"block": pa.array([batch["block"][0].as_py()]), "counts": binary([packed])})
+
+    schema = "block bigint, counts binary"
+    out = np.zeros((1 << bits) // block * block, np.uint32).reshape(-1, block)
+    for row in df.select(*columns).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
+        out[row["block"]] = np.frombuffer(row["counts"], "<u4")
+    return out.reshape(-1)
