@@ -60,3 +60,58 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
         edges.select("u", "u").distinct()
     )
+
+
+def band(n, percent: int):
+    """Sizes within ``percent`` of each other are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
+
+
+def star_pairs(listed: DataFrame) -> DataFrame:
+    """``(a, b)``: each node of ``listed (token, band, node)`` with one hub of its token and band.
+
+    Hubs of neighbouring bands are paired too. As many pairs as rows at most.
+    """
+    hubs = listed.groupBy("token", "band").agg(F.min("node").alias("hub"))
+    own = listed.join(hubs, ["token", "band"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    above = hubs.select("token", (F.col("band") + 1).alias("band"), F.col("hub").alias("a"))
+    across = hubs.join(above, ["token", "band"]).select("a", F.col("hub").alias("b"))
+    return ordered(own.union(across))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def cross_pairs(listed: DataFrame, found: DataFrame, tried: DataFrame, percent: int, close=None) -> DataFrame:
+    """Pairs of ``listed (token, band, node, n, ...)`` under one token that are in two components.
+
+    ``found`` has the components so far, ``tried`` pairs already decided. The largest component of
+    a token is never paired with itself: only the rest of the token's nodes meet all of them, within
+    neighbouring bands. ``close(left, right)`` may narrow pairs down by further columns.
+    """
+    named = listed.join(found.withColumnRenamed("node", "__f"), F.col("node") == F.col("__f"), "left").drop("__f")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    each = named.groupBy("token", "component").agg(F.count("*").alias("c"))
+    mixed = (
+        each.groupBy("token")
+        .agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"))
+        .where("kinds > 1")
+        .select("token", F.col("top.component").alias("top"))
+    )
+    named = named.join(mixed, "token")
+    few = named.where("component <> top").withColumn(
+        "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    )
+    few = few.select(*(c if c in ("token", "band") else F.col(c).alias(f"{c}_1") for c in few.columns))
+    fine = (
+        (F.col("component") != F.col("component_1"))
+        & ((F.col("component") == F.col("top")) | (F.col("node_1") < F.col("node")))
+        & (F.col("n") * 100 >= F.col("n_1") * percent)
+        & (F.col("n_1") * 100 >= F.col("n") * percent)
+    )
+    if close is not None:
+        fine = fine & close(lambda c: F.col(c), lambda c: F.col(f"{c}_1"))
+    pairs = named.join(few, ["token", "band"]).where(fine)
+    return ordered(pairs.select(F.col("node").alias("a"), F.col("node_1").alias("b"))).join(tried, ["a", "b"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, binary, cell_counts, grams, joined, mapper, mix, texts, words
-from tidemark.llm.components import components
+from tidemark.llm.components import band, components, cross_pairs, ordered, star_pairs
 
 #: Cells of the sketch that orders shingles: common ones come last. Any order is right.
 ORDER_BITS = 20
@@ -75,14 +75,16 @@ def similar_documents(
         )
     )
     heads = members.where("cid = gid").select("gid", "n", "prefix").dropDuplicates(["gid", "n"])
-    posted = heads.select("gid", "n", F.explode("prefix").alias("token"), _band(F.col("n"), percent).alias("band"))
+    posted = heads.select("gid", "n", F.explode("prefix").alias("token"), band(F.col("n"), percent).alias("band"))
     shared = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posted = scratch.settle(posted.join(shared, "token"))
 
-    tried = scratch.settle(_star_pairs(posted, members))
+    inside = members.where("size > 1").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
+    tried = scratch.settle(ordered(star_pairs(posted.withColumnRenamed("gid", "node")).union(inside)))
     links = scratch.settle(_verified(_bounded(tried, members, percent), rows, members, size, percent, scratch))
     found = scratch.settle(components(links, scratch))
-    more = _cross_pairs(posted, members, found, tried, percent)
+    listed = posted.join(members.select("gid", "n", F.col("cid").alias("node")), ["gid", "n"]).drop("gid")
+    more = cross_pairs(listed, found, tried, percent)
     more = scratch.settle(_bounded(more, members, percent))
     if not more.isEmpty():
         links = links.union(_verified(more, rows, members, size, percent, scratch))
@@ -97,11 +99,6 @@ def similar_documents(
     )
 
 
-def _band(n, percent: int):
-    """Sizes that can link are in one band or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
-
-
 def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
     shift = np.uint64(64 - ORDER_BITS)
@@ -135,42 +132,6 @@ def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(mapper(prefixes), "doc_id bigint, n bigint, set_key binary, prefix array<bigint>")
 
 
-def _star_pairs(posted: DataFrame, members: DataFrame) -> DataFrame:
-    hubs = posted.groupBy("token", "band").agg(F.min("gid").alias("hub"))
-    own = posted.join(hubs, ["token", "band"]).select(F.col("hub").alias("a"), F.col("gid").alias("b"))
-    above = hubs.select("token", (F.col("band") + 1).alias("band"), F.col("hub").alias("a"))
-    across = hubs.join(above, ["token", "band"]).select("a", F.col("hub").alias("b"))
-    inside = members.where("size > 1").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    pairs = own.union(across).union(inside).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _cross_pairs(posted: DataFrame, members: DataFrame, found: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a prefix shingle and are not yet in one component."""
-    named = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "cid", "gid", "n", F.coalesce("component", "cid").alias("component")
-    )
-    listed = posted.select("token", "band", "gid", "n").join(named, ["gid", "n"])
-    each = listed.groupBy("token", "component").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("token").agg(
-        F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds")
-    ).where("kinds > 1").select("token", F.col("top.component").alias("top"))
-    listed = listed.join(mixed, "token").select("token", "band", "n", "cid", "component", "top")
-    few = listed.where("component <> top").select(
-        "token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-        F.col("n").alias("n1"), F.col("cid").alias("c1"), F.col("component").alias("k1"),
-    )
-    close = (
-        (F.col("component") != F.col("k1"))
-        & ((F.col("component") == F.col("top")) | (F.col("c1") < F.col("cid")))
-        & (F.col("n") * 100 >= F.col("n1") * percent)
-        & (F.col("n1") * 100 >= F.col("n") * percent)
-    )
-    pairs = listed.join(few, ["token", "band"]).where(close)
-    pairs = pairs.select(F.least("cid", "c1").alias("a"), F.greatest("cid", "c1").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
 def _bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs whose prefixes leave room for the overlap.
 

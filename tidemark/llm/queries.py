@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact, jaccard, packing, quality, substring, toxicity
+from tidemark.llm import ann, bpe, exact, jaccard, lines, packing, quality, substring, toxicity
 from tidemark.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,15 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest_neighbours")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.duplicate_lines(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed_lines").cast("long").alias("n_removed"),
+        "removed_lines",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
