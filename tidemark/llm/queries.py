@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact, jaccard, lines, packing, quality, substring, toxicity
+from tidemark.llm import ann, bpe, exact, jaccard, licenses, lines, packing, quality, substring, toxicity
 from tidemark.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "removed_lines",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("sequence")
