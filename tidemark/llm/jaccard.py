@@ -42,7 +42,7 @@ def least_overlap(a, b, percent: int):
 
 
 def similar_documents(
-    docs: DataFrame, size: int = 3, percent: int = 90, scratch: Scratch | None = None
+    docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scratch | None = None
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row; links hold at Jaccard >= ``percent`` / 100.
 

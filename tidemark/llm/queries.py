@@ -86,7 +86,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
 @query("op6_substring_dedup")
