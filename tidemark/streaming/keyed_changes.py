@@ -28,18 +28,21 @@ def classify_log(log: DataFrame, width: str = "day") -> DataFrame:
     the bucket before. So one key with a third of the log is worked on by many tasks.
     """
     rows = log.withColumn("bucket", F.date_trunc(width, "ts"))
+    # content travels in a struct, so that a NULL content differs from no row at all
+    rows = rows.withColumn("held", F.struct("content"))
     tails = rows.groupBy("key", "bucket").agg(
-        F.max_by("content", F.struct("ts", "event_id")).alias("tail")
+        F.max_by("held", F.struct("ts", "event_id")).alias("tail")
     )
     by_key = Window.partitionBy("key").orderBy("bucket")
     carried = tails.select("key", "bucket", F.lag("tail").over(by_key).alias("carried"))
     inside = Window.partitionBy("key", "bucket").orderBy("ts", "event_id")
-    previous = F.coalesce(F.lag("content").over(inside), F.col("carried"))
+    first = F.row_number().over(inside) == 1
+    previous = F.when(first, F.col("carried")).otherwise(F.lag("held").over(inside))
     joined = rows.join(carried, ["key", "bucket"])
     kind = (
         F.when(F.col("previous").isNull(), "added")
-        .when(F.col("previous") != F.col("content"), "modified")
-        .otherwise("unchanged")
+        .when(F.col("previous.content").eqNullSafe(F.col("content")), "unchanged")
+        .otherwise("modified")
     )
     return joined.withColumn("previous", previous).select("key", "event_id", kind.alias("kind"))
 
@@ -55,14 +58,12 @@ class _LastContent(StatefulProcessor):
         # rows of one key come in no order; a micro-batch is bounded by its trigger
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
         known = self.last.get()
-        before = frame["content"].shift(1)
-        if known is not None:
-            before.iloc[0] = known[0]
-        kind = pd.Series("modified", index=frame.index)
-        kind[before == frame["content"]] = "unchanged"
+        contents = [None if pd.isna(c) else c for c in frame["content"]]
+        before = [known[0] if known is not None else None, *contents[:-1]]
+        kind = ["unchanged" if a == b else "modified" for a, b in zip(before, contents, strict=True)]
         if known is None:
-            kind.iloc[0] = "added"
-        self.last.update((str(frame["content"].iloc[-1]),))
+            kind[0] = "added"
+        self.last.update((contents[-1],))
         yield pd.DataFrame({"key": str(key[0]), "event_id": frame["event_id"], "kind": kind})
 
     def close(self) -> None:
