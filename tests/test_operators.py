@@ -173,7 +173,7 @@ def test_stream_of_issues_publishes_once_per_change(spark, tmp_path):
     def drain():
         kept = Keep()
         raw = spark.readStream.text(str(landing)).withColumnRenamed("value", "raw")
-        query = run_stream(issues.fetch(raw, "acme/shop"), IssueFeed(), kept, config={"repo": "acme/shop"},
+        query = run_stream(issues.fetch(raw, "acme/shop"), IssueFeed(), kept, config={"repo": "acme/shop", "path": str(landing)},
                            state_root=str(state), checkpoint=check, check_stability=False)
         query.awaitTermination()
         return kept.last

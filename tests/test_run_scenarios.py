@@ -59,11 +59,11 @@ def test_deletion_only_run_names_the_removed_system_branch(spark, tmp_path):
 
 
 def test_fetch_contract(spark, tmp_path):
-    with pytest.raises(FetchContractError, match="duplicate doc_id in fetch output: sys:a.md"):
+    with pytest.raises(FetchContractError, match="more than one record claims this id: sys:a.md"):
         go(spark, tmp_path, Rows(doc("a.md"), doc("a.md", text="x")))
-    with pytest.raises(FetchContractError, match="incomplete fetch cannot emit a tombstone: sys:a.md"):
+    with pytest.raises(FetchContractError, match="deletion reported by a partial fetch: sys:a.md"):
         go(spark, tmp_path, Rows(doc("a.md", deleted=True), complete=False))
-    with pytest.raises(FetchContractError, match="no native_id"):
+    with pytest.raises(FetchContractError, match="visible source id"):
         go(spark, tmp_path, Rows(doc("​")))
     assert State(spark, str(tmp_path)).current().number == 0
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import identity
+from tidemark.functions import facets, identity
 from tidemark.functions.hashing import content_hash
 from tidemark.functions.text import is_blank
 from tidemark.operators.joins import BROADCAST_ROWS, guarded_broadcast
@@ -37,7 +37,8 @@ def canonical_documents(df: DataFrame) -> DataFrame:
         col("retrieved_at").alias("retrieved_at"),
         F.coalesce(col("title"), F.lit("")).alias("title"),
         F.coalesce(col("text"), F.lit("")).alias("text"),
-        F.coalesce(col("structured"), F.lit("{}")).alias("structured"),
+        # keys sorted at every depth: their order is no change; text that is no JSON stays as it is
+        F.coalesce(facets.canonical_json(col("structured")), col("structured"), F.lit("{}")).alias("structured"),
         F.coalesce(col("opaque_keys"), strings).alias("opaque_keys"),
         F.coalesce(col("relations"), strings).alias("relations"),
         F.coalesce(col("grounded_by"), strings).alias("grounded_by"),
@@ -72,14 +73,14 @@ def fetch_contract_failures(docs: DataFrame, complete: bool) -> DataFrame:
             "doc_id",
             *failure(
                 "doc_id", "fetch-contract",
-                F.concat(F.lit("duplicate doc_id in fetch output: "), F.col("doc_id")),
+                F.concat(F.lit("more than one record claims this id: "), F.col("doc_id")),
             )[1:],
         ),
         docs.where(is_blank(F.col("native_id"))).select(
             "doc_id",
             *failure(
                 "doc_id", "fetch-contract",
-                F.concat(F.lit("record has no native_id: doc_id="), F.coalesce("doc_id", F.lit(""))),
+                F.concat(F.lit("record without a visible source id: "), F.coalesce("doc_id", F.lit(""))),
             )[1:],
         ),
     ]
@@ -90,7 +91,7 @@ def fetch_contract_failures(docs: DataFrame, complete: bool) -> DataFrame:
                 *failure(
                     "doc_id", "fetch-contract",
                     F.concat(
-                        F.lit("incomplete fetch cannot emit a tombstone: "), F.col("doc_id")
+                        F.lit("deletion reported by a partial fetch: "), F.col("doc_id")
                     ),
                 )[1:],
             )

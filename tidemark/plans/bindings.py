@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.run import Fetch
+from tidemark.plans.run import Fetch, SelectionError
 from tidemark.plans.state import Cursor
 from tidemark.sources import commits, issues, markdown, responses
 
@@ -58,8 +58,13 @@ class IssueFeed:
         since = cursor.payload.get("since") if cursor else None
         landed = issues.read_landed(spark, config["path"])
         got = issues.fetch(landed, config["repo"], since, config.get("state", "all"))
+        bad = issues.rejects(landed)
         seen = issues.watermark(got, since).first()["since"]
-        return Fetch(got, {"since": seen} if seen else {})
+        # the watermark moves past a broken line: it has no stamp, and its reject row stays
+        return Fetch(got, {"since": seen} if seen else {}, complete=bad.isEmpty(), rejects=bad)
+
+    def latest(self, records: DataFrame) -> DataFrame:
+        return issues.latest(records)
 
     def normalize(self, records: DataFrame) -> DataFrame:
         return issues.normalize(records)
@@ -75,6 +80,15 @@ class ToolResponses:
         out = [f"config '{k}' is required" for k in need]
         if bool(config.get("ids")) == bool(config.get("selections")):
             out.append("configure exactly one of 'ids' and 'selections'")
+        if not out and config.get("ids"):
+            spark = SparkSession.active()
+            ids = spark.read.parquet(config["ids"])
+            unusable = responses.enumerated(ids).where(F.col("reject_reason").isNotNull()).count()
+            shared = responses.id_collisions(ids).count()
+            if unusable:
+                out.append(f"{unusable} configured ids cannot be used as document ids")
+            if shared:
+                out.append(f"{shared} document ids are each configured under several spellings")
         return out
 
     def fetch(self, spark: SparkSession, config: dict, cursor: Cursor | None) -> Fetch:
@@ -83,10 +97,10 @@ class ToolResponses:
         else:
             landed = responses.read_landed(spark, config["selections"])
             refs, whole = responses.select_refs(landed, *config.get("mapping", (None, None, None))), False
-            bad = refs.where(F.col("reject_reason").isNotNull()).select("reject_reason").limit(5).collect()
-            if bad:
+            bad = refs.where(F.col("reject_reason").isNotNull())
+            if not bad.isEmpty():
                 # a selection that cannot be read fails closed
-                raise ValueError("; ".join(r.reject_reason for r in bad))
+                raise SelectionError(bad)
         reads = responses.read_records(
             refs, responses.read_landed(spark, config["responses"]), config.get("text_key")
         )
@@ -94,7 +108,8 @@ class ToolResponses:
         stamped = reads.select(
             "*", F.lit(config["system"]).alias("system"), F.lit(config["retrieved_at"]).alias("stamp")
         )
-        return Fetch(stamped, {}, complete)
+        bad = reads.where(F.col("reject_reason").isNotNull()).select("raw_id", "reject_reason")
+        return Fetch(stamped, {}, complete, rejects=bad)
 
     def normalize(self, records: DataFrame) -> DataFrame:
         return responses.normalize(records, F.col("system"), F.to_timestamp("stamp"))

@@ -16,7 +16,7 @@ from tidemark.plans import corpus
 from tidemark.plans.corpus import sql_path
 from tidemark.plans.registry import query
 from tidemark.session import ROCKSDB_PROVIDER, shared_dir
-from tidemark.streaming import keyed_changes
+from tidemark.streaming import keyed_changes, micro_batches
 
 
 def _concepts(spark, sf_dir):
@@ -241,6 +241,44 @@ def event_changes(spark, sf_dir):
     return keyed_changes.classify_log(_log(corpus.table(spark, sf_dir, "events")))
 
 
+@query(
+    "T4_null_content",
+    """SELECT user_id::VARCHAR AS key, event_id, CASE WHEN rank = 1 THEN 'added'
+        WHEN before IS DISTINCT FROM content THEN 'modified' ELSE 'unchanged' END AS kind
+      FROM (SELECT *, lag(content) OVER w AS before, row_number() OVER w AS rank
+        FROM (SELECT *, CASE WHEN event_id % 4 <> 0 THEN event_type END AS content FROM events)
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""",
+)
+def null_content(spark, sf_dir):
+    """A NULL content is a content: it differs from others and from having no row before."""
+    e = corpus.table(spark, sf_dir, "events")
+    return keyed_changes.classify_log(
+        _log(e).withColumn("content", F.when(F.col("event_id") % 4 != 0, F.col("content")))
+    )
+
+
+@query(
+    "T2_exact_replays",
+    "SELECT event_id, user_id, event_type FROM events",
+)
+def exact_replays(spark, sf_dir):
+    """Every event delivered twice, in one log: the stream passes each on once."""
+    e = corpus.table(spark, sf_dir, "events")
+    twice = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    e.union(e).write.parquet(f"{twice}/log")
+    source = spark.readStream.schema(e.schema).parquet(f"{twice}/log")
+    stream = (
+        micro_batches.without_replays(source, ["event_id"], "ts", "1 hour")
+        .writeStream.format("parquet")
+        .option("path", f"{twice}/rows")
+        .option("checkpointLocation", f"{twice}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{twice}/rows").select("event_id", "user_id", "event_type")
+
+
 @query("T4_event_changes_stream", _EVENT_CHANGES)
 def event_changes_stream(spark, sf_dir):
     """The same by a stateful stream over the table, run until nothing is left."""

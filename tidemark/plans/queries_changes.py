@@ -131,10 +131,10 @@ def duplicate_ids(spark, sf_dir):
 @query(
     "L1_fetch_contract",
     f"""WITH {corpus.SQL_BASE}, {_FAULTY}
-    SELECT doc AS path, 'fetch-contract' AS law, 'duplicate doc_id in fetch output: ' || doc AS message
+    SELECT doc AS path, 'fetch-contract' AS law, 'more than one record claims this id: ' || doc AS message
       FROM f GROUP BY doc HAVING count(*) > 1
-    UNION ALL SELECT doc, 'fetch-contract', 'record has no native_id: doc_id=' || doc FROM f WHERE n % 70 = 7
-    UNION ALL SELECT doc, 'fetch-contract', 'incomplete fetch cannot emit a tombstone: ' || doc FROM f WHERE gone""",
+    UNION ALL SELECT doc, 'fetch-contract', 'record without a visible source id: ' || doc FROM f WHERE n % 70 = 7
+    UNION ALL SELECT doc, 'fetch-contract', 'deletion reported by a partial fetch: ' || doc FROM f WHERE gone""",
 )
 def fetch_contract(spark, sf_dir):
     return ch.fetch_contract_failures(_faulty_fetch(spark, sf_dir), complete=False)

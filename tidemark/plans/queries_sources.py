@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity
+from tidemark.operators.changes import canonical_documents
 from tidemark.plans import corpus
 from tidemark.plans.registry import query
 from tidemark.session import settled
@@ -251,10 +252,15 @@ def commit_watermark(spark, sf_dir):
 # ---------------------------------------------------------------- issues
 
 
-def _landed_issues(spark, sf_dir):
+def _landed_issues(spark, sf_dir, again=False):
+    """One landing per order; `again` gives a later one, closed by then, of every third."""
     o = corpus.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    stamp = F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    day = F.col("o_orderdate").cast("timestamp")
+    if again:
+        o = o.where(k % 3 == 0).withColumn("o_orderstatus", F.lit("F"))
+        day = day + F.expr("interval 7 days")
+    stamp = F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     pulled = F.when(k % 9 == 0, F.struct(F.lit("u").alias("url")))
     issue = F.struct(
         k.alias("number"),
@@ -339,12 +345,53 @@ def watermark(spark, sf_dir):
 
 @query(
     "S4_rejects",
-    "SELECT '{broken' AS raw, 'record is not valid JSON' AS reject_reason FROM orders WHERE o_orderkey % 100 = 1",
+    "SELECT '{broken' AS raw, 'line does not parse as JSON' AS reject_reason FROM orders WHERE o_orderkey % 100 = 1",
 )
 def issue_rejects(spark, sf_dir):
     return issues.rejects(_landed_issues(spark, sf_dir))
 
 
+@query(
+    "S4_latest_landing",
+    f"""WITH {_ISSUES} SELECT 'acme/shop/issues/' || o_orderkey AS native_id,
+      strftime(o_orderdate + to_days(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END), '%Y-%m-%dT%H:%M:%SZ') AS updated_at,
+      o_orderkey % 3 = 0 AS landed_again
+    FROM issues WHERE CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE state END = 'closed'""",
+)
+def latest_landing(spark, sf_dir):
+    """Every third issue lands again a week later, closed: only that landing counts, whatever its state was."""
+    landed = _landed_issues(spark, sf_dir).union(_landed_issues(spark, sf_dir, again=True))
+    got = issues.fetch(landed, "acme/shop", state="closed")
+    number = F.regexp_extract("native_id", r"(\d+)$", 1).cast("long")
+    return got.select("native_id", "updated_at", (number % 3 == 0).alias("landed_again"))
+
+
+@query(
+    "P10_key_order",
+    "SELECT count(*) AS documents, 0::BIGINT AS changed FROM orders",
+)
+def key_order(spark, sf_dir):
+    """One object in two key orders, at two depths, is one content."""
+    o = corpus.table(spark, sf_dir, "orders")
+    a, b = F.col("o_orderkey").alias("a"), F.col("o_orderpriority").alias("b")
+    inner = F.struct(F.col("o_orderstatus").alias("x"), F.col("o_custkey").alias("y"))
+    turned = F.struct(F.col("o_custkey").alias("y"), F.col("o_orderstatus").alias("x"))
+
+    def docs(structured):
+        return canonical_documents(
+            o.select(
+                F.lit("shop").alias("system"), F.col("o_orderkey").cast("string").alias("native_id"),
+                F.to_json(structured).alias("structured"),
+            )
+        ).select("doc_id", "content_hash")
+
+    one = docs(F.struct(a, b, inner.alias("c")))
+    two = docs(F.struct(turned.alias("c"), b, a)).withColumnRenamed("content_hash", "other")
+    return one.join(two, "doc_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("content_hash") != F.col("other")).alias("changed")
+    )
+
+
 # ---------------------------------------------------------------- responses
 
 def _block(type_="resource", text=None, uri=None, name=None, title=None, r_uri=None, r_text=None,

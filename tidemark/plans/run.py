@@ -16,25 +16,44 @@ from tidemark.operators import concepts as cn
 from tidemark.operators import grounding as gr
 from tidemark.operators import laws, prose, scope
 from tidemark.operators.joins import guarded_broadcast
-from tidemark.plans.state import Cursor, State, new_run_id
+from tidemark.plans.state import ConcurrentRunError, Cursor, State, new_run_id
 
 SAMPLE = 20  # failures shown in an outcome; the whole table stays on disk
-MAX_SYSTEMS = 10_000  # a source names its systems in configuration, so this is generous
 
 
 class ConfigError(RuntimeError):
     """A source or publisher refused its configuration before any reading."""
 
 
-class FetchContractError(RuntimeError):
+class _WithTable(RuntimeError):
+    """Carries the number of failures and the table that has all of them."""
+
+    def __init__(self, message: str, total: int = 0, table: str = "") -> None:
+        super().__init__(message)
+        self.total, self.table = total, table
+
+
+class SelectionError(RuntimeError):
+    """A selection could not be read; `rows` has every reason."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        super().__init__("selection responses could not be read")
+        self.rows = rows
+
+
+class FetchContractError(_WithTable):
     """A fetch is not identifiable, or claims coverage it does not have."""
 
 
+class MapError(ConfigError, _WithTable):
+    """The operator's subject map has rows of the wrong shape."""
+
+
 class StabilityError(RuntimeError):
     """A normaliser gave two results for one input."""
 
 
-class GeneratorError(RuntimeError):
+class GeneratorError(_WithTable):
     """A prose generator returned an empty field."""
 
 
@@ -43,6 +62,8 @@ class Fetch:
     records: DataFrame
     payload: dict = field(default_factory=dict)
     complete: bool = True
+    #: What landed and could not be read, kept beside the fetch as a table.
+    rejects: DataFrame | None = None
 
 
 class Source(Protocol):
@@ -143,22 +164,33 @@ def run(
     publish_config = publish_config or {}
     generator = generator or prose.Verbatim()
     wrong = source.problems(config) + publisher.problems(publish_config)
-    if subject_map is not None:
-        wrong += [
-            r.problem for r in gr.subject_map_problems(subject_map, max_grounding_docs).limit(SAMPLE).collect()
-        ]
     if wrong:
         raise ConfigError(f"{source.name}: {'; '.join(wrong)}")
 
     clock = _Clock(observer)
     run_id = run_id or new_run_id()
+    # an id may come again: the folders of each attempt are its own
+    attempt = f"{run_id}-{new_run_id()}"
     state = State(spark, state_root)
     version = state.current()
 
     def staged(name: str, df: DataFrame) -> DataFrame:
-        folder = state.write(f"staging/run={run_id}/{name}", df)
+        folder = state.write(f"staging/run={attempt}/{name}", df)
         return spark.read.schema(df.schema).parquet(f"{state.root}/{folder}")
 
+    def refuse(name: str, failures: DataFrame, column: str, error: type[_WithTable]) -> None:
+        """Raise when there are failures; all of them stay in a table."""
+        found = staged(name, failures)
+        total = found.count()
+        if total:
+            shown = [r[0] for r in found.select(column).orderBy(column).limit(SAMPLE).collect()]
+            table = f"{state.root}/staging/run={attempt}/{name}"
+            raise error(f"{source.name}: {total} failures in {table}: {'; '.join(shown)}", total, table)
+
+    if subject_map is not None:
+        problems = gr.subject_map_problems(subject_map, max_grounding_docs)
+        refuse("map_problems", problems, "problem", MapError)
+
     def staging(prefix: str) -> Callable[[DataFrame], DataFrame]:
         """`settle` for operators: numbered tables under one prefix."""
         numbers = itertools.count()
@@ -167,24 +199,22 @@ def run(
     cursor = state.cursor(version, source.name, config)
     fetch = source.fetch(spark, config, cursor)
     records = staged("records", fetch.records)
+    if fetch.rejects is not None:
+        staged("rejects", fetch.rejects)
     docs = staged("docs", source.normalize(records))
     clock.mark("fetch")
 
     if check_stability:
         again = source.normalize(spark.read.schema(records.schema).parquet(
-            f"{state.root}/staging/run={run_id}/records"
+            f"{state.root}/staging/run={attempt}/records"
         ))
         if not ch.stability_failures(docs, again).isEmpty():
             raise StabilityError("normalize is not deterministic over identical input")
-    broken = ch.fetch_contract_failures(docs, fetch.complete).limit(SAMPLE).collect()
-    if broken:
-        raise FetchContractError("; ".join(sorted(r.message for r in broken)))
+    refuse("fetch_failures", ch.fetch_contract_failures(docs, fetch.complete), "message", FetchContractError)
     clock.mark("fetch_laws")
 
-    seen = ch.run_systems(docs).limit(MAX_SYSTEMS + 1).collect()
-    if len(seen) > MAX_SYSTEMS:
-        raise FetchContractError(f"a fetch names more than {MAX_SYSTEMS} systems")
-    fetched_systems = sorted(r.system for r in seen)
+    # one name and a few folders for each system; the documents never come here
+    fetched_systems = sorted(r.system for r in ch.run_systems(docs).collect())
     # a fallback and never a union: a source that moved on must not scan its old systems
     system_names = fetched_systems or sorted(cursor.systems if cursor else [])
     systems = spark.createDataFrame([(s,) for s in system_names], "system string")
@@ -250,7 +280,7 @@ def run(
         if not total:
             return None
         shown = found.orderBy("path", "law", "message").limit(SAMPLE).collect()
-        return Aborted([tuple(r) for r in shown], total, f"{state.root}/staging/run={run_id}/{name}", clock.ms)
+        return Aborted([tuple(r) for r in shown], total, f"{state.root}/staging/run={attempt}/{name}", clock.ms)
 
     stop = abort(
         "scope_failures",
@@ -283,9 +313,9 @@ def run(
         notes.append(prompted.select(F.explode("notes").alias("note")))
         # written before anything reads it: a generator need not answer alike twice
         written = staged("prose", prose.generate(prompted, generator))
-        bad = prose.prose_rejects(written).limit(SAMPLE).collect()
-        if bad:
-            raise GeneratorError("; ".join(f"{r.doc_id}: {r.reject_reason}" for r in bad))
+        bad = prose.prose_rejects(written)
+        named = bad.select(F.concat_ws(": ", "doc_id", "reject_reason").alias("message"))
+        refuse("prose_rejects", named, "message", GeneratorError)
         body = prose.finished(written)
     else:
         body = None
@@ -316,21 +346,23 @@ def run(
     proposal = Proposal(
         run_id, branch, files, removed, concepts, summary, cn.sources_changed(items)
     )
+    if state.current().number != version.number:
+        raise ConcurrentRunError("another run committed meanwhile; nothing was published")
     url = publisher.publish(proposal, publish_config)
     clock.mark("publish")
 
     tables = (
-        state.write_mirror(version, run_id, docs, fetched_systems, fetched)
+        state.write_mirror(version, attempt, docs, fetched_systems, fetched)
         if fetched_systems
         else dict(version.tables)
     )
     decisions = gr.lineage_decisions(work, files, declared, kept, ch.removed_ids(changes))
-    tables["lineage"] = state.write_lineage(version, run_id, decisions)
+    tables["lineage"] = state.write_lineage(version, attempt, decisions)
     tables["cursors"] = state.write_cursor(
-        version, run_id, source.name, config, fetch.payload, system_names
+        version, attempt, source.name, config, fetch.payload, system_names
     )
     clock.mark("advance")
     row = (run_id, source.name, "published", *counts.values(), 0, dict(clock.ms))
-    tables["runs"] = state.write_run(version, run_id, row)
+    tables["runs"] = state.write_run(version, attempt, row)
     committed = state.commit(version, tables)
     return Published(url, committed.number, counts, clock.ms)

@@ -98,13 +98,13 @@ class Snapshots:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
 
     def write(self, folder: str, df: DataFrame, partition_by: str | None = None) -> str:
-        """Write a new folder. Balanced files; a hot partition value is split over tasks."""
+        """Write a new folder, never over an old one. A hot partition value is split over tasks."""
         if partition_by is None:
-            df.write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            df.write.mode("error").parquet(f"{self.root}/{folder}")
         else:
             (
                 df.hint("rebalance", partition_by)
-                .write.mode("overwrite")
+                .write.mode("error")
                 .partitionBy(partition_by)
                 .parquet(f"{self.root}/{folder}")
             )

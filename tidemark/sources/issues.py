@@ -31,32 +31,61 @@ def _text_field(name: str) -> Column:
     return F.try_variant_get("v", f"$.{name}", "string")
 
 
+def _parsed(landed: DataFrame) -> DataFrame:
+    # a one-element array stops the optimizer from copying the parse into every filter
+    return landed.select("raw", F.explode(F.array(F.try_parse_json("raw"))).alias("v"))
+
+
+def _reason() -> Column:
+    """Why a landed line is no record; NULL for a good one."""
+    kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+    return (
+        F.when(F.col("v").isNull(), "line does not parse as JSON")
+        .when(~kind.startswith("OBJECT"), "line holds JSON, but no object")
+        .when(_text_field("number").isNull(), "object has no number")
+        .when(_text_field("updated_at").isNull(), "object has no update stamp")
+    )
+
+
 def fetch(landed: DataFrame, repo: str, since: str | None = None, state: str = "all") -> DataFrame:
-    """Issues updated at or after the watermark; other row kinds dropped.
+    """Each issue as it landed last, where that is at or after the watermark.
 
     The comparison is inclusive, so the last record comes again; the diff makes that
-    harmless. Text that is no JSON object is dropped here and reported by `rejects`.
+    harmless. Other row kinds are dropped; lines that are no record go to `rejects`.
+    The state filter looks at the latest landing only.
     """
-    # a one-element array stops the optimizer from copying the parse into every filter
-    parsed = landed.select("raw", F.explode(F.array(F.try_parse_json("raw"))).alias("v"))
     is_issue = F.try_variant_get("v", "$.pull_request", "variant").isNull()
-    rows = parsed.where(F.col("v").isNotNull() & is_issue)
-    if state != "all":
-        rows = rows.where(_text_field("state") == state)
+    rows = _parsed(landed).where(F.col("raw").isNotNull() & _reason().isNull() & is_issue)
     rows = rows.withColumn("updated_at", _text_field("updated_at"))
     if since is not None:
         rows = rows.where(F.col("updated_at") >= since)
-    return rows.select(
+    rows = rows.select(
         F.concat(F.lit(f"{repo}/issues/"), _text_field("number")).alias("native_id"),
         _text_field("html_url").alias("url"),
         "updated_at",
         "raw",
+        _text_field("state").alias("state"),
     )
+    if not landed.isStreaming:  # a stream's micro-batches are cut to the latest by their run
+        rows = latest(rows)
+    if state != "all":
+        rows = rows.where(F.col("state") == state)
+    return rows.select("native_id", "url", "updated_at", "raw")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """One row for each `native_id`: the one updated last, by raw text where stamps tie."""
+    rest = [c for c in rows.columns if c != "native_id"]
+    newest = F.max_by(F.struct(*rest), F.struct("updated_at", "raw"))
+    return rows.groupBy("native_id").agg(newest.alias("r")).select("native_id", *(f"r.{c}" for c in rest))
 
 
 def rejects(landed: DataFrame) -> DataFrame:
-    return landed.where(F.col("raw").isNotNull() & F.try_parse_json("raw").isNull()).select(
-        "raw", F.lit("record is not valid JSON").alias("reject_reason")
+    """Lines that are no record, with the reason."""
+    return (
+        _parsed(landed.where(F.col("raw").isNotNull()))
+        .select("raw", _reason().alias("reject_reason"))
+        .where(F.col("reject_reason").isNotNull())
     )
 
 

@@ -14,18 +14,19 @@ class _Batch:
     """One micro-batch as a source. It is a slice, so it never counts as complete
     unless it carries explicit tombstones."""
 
-    def __init__(self, source: Source, records: DataFrame, batch_id: int) -> None:
+    def __init__(self, source: Source, records: DataFrame, query_id: str, batch_id: int) -> None:
         self.name = source.name
         self._source = source
-        self._records = records
-        self._batch_id = batch_id
+        # two updates of one record may share a batch; the source knows which one is later
+        self._records = source.latest(records) if hasattr(source, "latest") else records
+        self._payload = {"query_id": query_id, "batch_id": batch_id}
 
     def problems(self, config: dict) -> list[str]:
-        return []
+        return self._source.problems(config)
 
     def fetch(self, spark: SparkSession, config: dict, cursor: Cursor | None) -> Fetch:
-        explicit = "deleted" in self._records.columns
-        return Fetch(self._records, {"batch_id": self._batch_id}, complete=explicit)
+        explicit = "deleted" in self._records.columns and not self._records.where("deleted").isEmpty()
+        return Fetch(self._records, self._payload, complete=explicit)
 
     def normalize(self, records: DataFrame) -> DataFrame:
         return self._source.normalize(records)
@@ -43,19 +44,23 @@ def run_stream(
 ) -> StreamingQuery:
     """Every micro-batch is a run; what is available is processed, then it stops.
 
-    Delivery is at least once. A batch that was published is recognised by its id in the
-    cursor; one that failed before is simply run again, and the diff drops what is
-    already there (T2).
+    Delivery is at least once. A batch that was published is recognised by the ids of its
+    query and itself in the cursor; one that failed before is simply run again, and the
+    diff drops what is already there (T2). A new checkpoint is a new query: its batches
+    count from 0 again and are all run. Each batch is a run with an id of its own.
     """
+    options.pop("run_id", None)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = State(spark, state_root)
         cursor = state.cursor(state.current(), source.name, config)
-        if cursor and cursor.payload.get("batch_id", -1) >= batch_id:
+        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        payload = cursor.payload if cursor else {}
+        if payload.get("query_id") == query_id and payload.get("batch_id", -1) >= batch_id:
             return
         run(
-            spark, _Batch(source, batch, batch_id), publisher,
+            spark, _Batch(source, batch, query_id, batch_id), publisher,
             config=config, state_root=state_root, **options,
         )
 
@@ -81,7 +86,7 @@ class _Nothing:
         self._source, self._records = source, records
 
     def problems(self, config: dict) -> list[str]:
-        return []
+        return self._source.problems(config)
 
     def fetch(self, spark: SparkSession, config: dict, cursor: Cursor | None) -> Fetch:
         payload = cursor.payload if cursor else {}
