@@ -79,3 +79,23 @@ def test_configured_ids_are_checked_before_any_read(spark, tmp_path, ids, said):
     spark.createDataFrame([(i,) for i in ids], "raw_id string").write.parquet(str(tmp_path / "ids"))
     config = {"system": "s", "responses": "unread", "retrieved_at": "2025-01-01T00:00:00Z", "ids": str(tmp_path / "ids")}
     assert any(said in p for p in ToolResponses().problems(config))
+
+
+def test_a_small_run_rewrites_one_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(State, "bucket_rows", 4)
+    many = [doc(f"d{k}.md", text=str(k)) for k in range(40)]
+    go(spark, tmp_path, Rows(*many))
+    state = State(spark, str(tmp_path))
+    first = {n: f for n, f in state.current().tables.items() if n.startswith("mirror/")}
+    assert len(first) > 4
+    outcome, _ = go(spark, tmp_path, Rows(doc("d7.md", text="changed")))
+    assert isinstance(outcome, Published)
+    second = {n: f for n, f in state.current().tables.items() if n.startswith("mirror/")}
+    assert set(second) == set(first) and sum(second[n] != first[n] for n in first) == 1
+    rows = {r.native_id: r.text for r in state.mirror(state.current()).collect()}
+    assert len(rows) == 40 and rows["d7.md"] == "changed" and rows["d8.md"] == "8"
+    go(spark, tmp_path, Rows(doc("d7.md", text="changed")))
+    assert [r.outcome for r in state.outcomes().collect()] == ["no-op"]
+    assert state.runs(state.current()).count() == 2
+    assert any(f.startswith("staging/") for f in state.expire())
+    assert state.mirror(state.current()).count() == 40

@@ -84,9 +84,12 @@ def stale_concepts(
 
 def occurrences(body: Column, term: str) -> Column:
     """How often a word stands in a text, letters and digits making up words."""
+    return F.regexp_count(body, F.lit(_word(term)))
+
+
+def _word(term: str) -> str:
     quoted = term.replace("\\E", "")
-    word = r"(?<![\p{L}\p{N}])\Q" + quoted + r"\E(?![\p{L}\p{N}])"
-    return F.regexp_count(body, F.lit(word))
+    return r"(?<![\p{L}\p{N}])\Q" + quoted + r"\E(?![\p{L}\p{N}])"
 
 
 def search(bodies: DataFrame, terms: list[str], limit: int) -> DataFrame:
@@ -96,8 +99,12 @@ def search(bodies: DataFrame, terms: list[str], limit: int) -> DataFrame:
     term before anything is shuffled. `limit` is the feature, a top-k answer.
     """
     wanted = sorted({t.lower() for t in terms})
+    lower = F.lower("body")
+    # the stretch around the first hit of any term; case folding keeps positions near enough
+    firsts = [F.nullif(F.regexp_instr(lower, F.lit(_word(t))), F.lit(0)) for t in wanted]
+    start = F.greatest(F.lit(1), F.least(*firsts, F.lit(None)) - 30)
     lowered = bodies.select(
-        "path", F.left("body", F.lit(80)).alias("snippet"), F.lower("body").alias("body")
+        "path", F.substr("body", start, F.lit(80)).alias("snippet"), lower.alias("body")
     )
     counts = lowered.select(
         "path",

@@ -15,18 +15,16 @@ from tidemark.functions import identity
 from tidemark.operators.joins import skew_safe_join
 from tidemark.schema import LINEAGE, SUBJECT_MAP
 
-DEFAULT_MAX_DOCS = 5
-_NOTE_IDS = 1000  # ids spelled out per capped note
-
-# Wording of resolution notes and of map problems.
-NOT_FOUND = " was not found in the mirror or this fetch and was dropped"
-TOMBSTONED = " is tombstoned upstream and was dropped"
-NOT_QUALIFIED = " must be a qualified doc_id ('system:native_id'); bare ids are not accepted"
+# Wording of resolution notes and of map problems.
+NOT_FOUND = " names no document here and is left out"
+TOMBSTONED = " names a deleted document and is left out"
+OVER_LIMIT = " is beyond the limit of "
+NOT_QUALIFIED = " needs the form system:id"
 
 MAP = T.MapType(T.StringType(), T.StringType())
 
 
-def subject_map_problems(subject_map: DataFrame, max_docs: int = DEFAULT_MAX_DOCS) -> DataFrame:
+def subject_map_problems(subject_map: DataFrame, max_docs: int | None = None) -> DataFrame:
     """Shape errors of the operator's map. Whether an id resolves is no shape error."""
     tail = F.lit(NOT_QUALIFIED)
     keys = subject_map.select("owner_id").distinct().where(
@@ -44,7 +42,7 @@ def subject_map_problems(subject_map: DataFrame, max_docs: int = DEFAULT_MAX_DOC
             ).alias("problem")
         ),
     ]
-    if max_docs < 1:
+    if max_docs is not None and max_docs < 1:
         parts.append(
             subject_map.sparkSession.createDataFrame(
                 [("grounding 'max_grounding_docs' must be at least 1",)], "problem string"
@@ -105,25 +103,23 @@ def citable(lookup: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
-def capped(cited: DataFrame, max_docs: int = DEFAULT_MAX_DOCS) -> DataFrame:
-    """The first `max_docs` per owner by id, with their rank.
+def capped(cited: DataFrame, max_docs: int | None = None) -> DataFrame:
+    """All per owner, or the first `max_docs` by id where that is asked for, with their rank.
 
     The rank filter lets Spark keep only `max_docs` rows per owner in every map task,
     so an owner with very many declarations does not travel whole to one reducer.
     """
     by_owner = Window.partitionBy("owner_id").orderBy("grounding_id")
-    return cited.withColumn("rank", F.row_number().over(by_owner)).where(
-        F.col("rank") <= max_docs
-    )
+    ranked = cited.withColumn("rank", F.row_number().over(by_owner))
+    return ranked if max_docs is None else ranked.where(F.col("rank") <= max_docs)
 
 
 def resolution_notes(
-    lookup: DataFrame, cited: DataFrame, kept: DataFrame, max_docs: int = DEFAULT_MAX_DOCS
+    lookup: DataFrame, cited: DataFrame, kept: DataFrame, max_docs: int | None = None
 ) -> DataFrame:
     """J4/W2 notes: (owner_id, note) for missing, tombstoned and capped ids.
 
-    A capped note spells out its ids. Where an owner has more than a thousand of them
-    the rest go to further notes, so that no single value grows without bound.
+    One note for each id, however many an owner has.
     """
     path = identity.concept_path(F.col("owner_id"))
 
@@ -136,23 +132,12 @@ def resolution_notes(
     gone = lookup.where(F.col("anchor").isNotNull() & F.col("gone")).select(
         "owner_id", dropped(TOMBSTONED).alias("note")
     )
+    if max_docs is None:
+        return missing.unionByName(gone)
     over = cited.select("owner_id", "grounding_id").join(
         kept.select("owner_id", "grounding_id"), ["owner_id", "grounding_id"], "left_anti"
     )
-    sizes = over.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n_over"))
-    chunks = F.ceil(F.col("n_over") / _NOTE_IDS)
-    capped_notes = (
-        over.join(sizes, "owner_id")
-        .withColumn("chunk", F.pmod(F.xxhash64("grounding_id"), chunks))
-        .groupBy("owner_id", "chunk")
-        .agg(F.array_join(F.array_sort(F.collect_list("grounding_id")), ", ").alias("ids"))
-        .select(
-            "owner_id",
-            F.concat(
-                path, F.lit(f": grounding capped at {max_docs}; dropped "), F.col("ids")
-            ).alias("note"),
-        )
-    )
+    capped_notes = over.select("owner_id", dropped(f"{OVER_LIMIT}{max_docs}").alias("note"))
     return missing.unionByName(gone).unionByName(capped_notes)
 
 
@@ -160,7 +145,7 @@ def resolve(
     owners: DataFrame,
     subject_map: DataFrame | None,
     targets: DataFrame,
-    max_docs: int = DEFAULT_MAX_DOCS,
+    max_docs: int | None = None,
     settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """U1 then J4 then W1 then W2: (kept rows, notes).

@@ -14,13 +14,8 @@ from tidemark.functions import facets, identity, text
 from tidemark.operators.joins import skew_safe_join
 
 PRODUCER = "tidemark"
-MAX_SOURCE_CHARS = 24_000
 
-# The words that introduce related documents in a prompt.
-GROUNDING_LEAD = (
-    "\n\nRelated documents from other systems. Use them for context and corroboration. "
-    "Do not treat them as this concept's subject:\n\n"
-)
+GROUNDING_LEAD = "\n\nFurther reading, kept elsewhere. It supports the document above and is not its topic.\n\n"
 
 PROSE = "doc_id string, title string, description string, body string"
 
@@ -45,7 +40,7 @@ class Generator:
     write: Callable[[pd.DataFrame], pd.DataFrame]
     model: str
     grounds: bool = True
-    max_source_chars: int = MAX_SOURCE_CHARS
+    max_source_chars: int | None = None
     parallelism: int | None = None
 
     @property
@@ -53,14 +48,15 @@ class Generator:
         return f"{PRODUCER}/{self.model.rsplit('/', 1)[-1]}"
 
 
-def grounding_blocks(kept: DataFrame, texts: DataFrame, budget: int = MAX_SOURCE_CHARS) -> DataFrame:
-    """(doc_id, block, notes) per owner; one budget shared evenly by its documents.
+def grounding_blocks(kept: DataFrame, texts: DataFrame, budget: int | None = None) -> DataFrame:
+    """(doc_id, block, notes) per owner; a budget, if any, shared evenly by its documents.
 
-    Texts are cut to the share before they are brought together, so an owner's block is
-    bounded by the budget however long the cited documents are.
+    With a budget, texts are cut to the share before they are brought together, so an owner's
+    block is bounded by it however long the cited documents are.
     """
+    whole = (1 << 31) - 1
     sizes = kept.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    share = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("n_docs"))).cast("int")
+    share = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("n_docs"))).cast("int") if budget else F.lit(whole)
     sized = kept.select("owner_id", "grounding_id", "rank").join(sizes, "owner_id").withColumn(
         "share", share
     )
@@ -96,11 +92,11 @@ def grounding_blocks(kept: DataFrame, texts: DataFrame, budget: int = MAX_SOURCE
     )
 
 
-def prompts(items: DataFrame, blocks: DataFrame | None, limit: int = MAX_SOURCE_CHARS) -> DataFrame:
-    """(doc_id, prompt, notes) for a generator."""
-    cut = text.truncated(F.col("text"), limit)
+def prompts(items: DataFrame, blocks: DataFrame | None, limit: int | None = None) -> DataFrame:
+    """(doc_id, prompt, notes) for a generator; texts are whole without a `limit`."""
+    cut = text.truncated(F.col("text"), limit) if limit else F.col("text")
     note = F.when(
-        F.length("text") > limit,
+        F.length("text") > (limit or (1 << 31) - 1),
         F.concat(
             identity.concept_path(F.col("doc_id")),
             F.lit(f": source truncated to {limit} chars before synthesis"),

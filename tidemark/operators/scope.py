@@ -124,16 +124,25 @@ def branch(work: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def path_collisions(
-    docs: DataFrame, settle: Callable[[DataFrame], DataFrame] | None = None
+    docs: DataFrame,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+    added: DataFrame | None = None,
+    added_rows: int | None = None,
 ) -> DataFrame:
     """A3/L3: documents whose bundle path already belongs to a smaller id.
 
+    A published state has no collision, so in a run only a path of an `added` document can
+    be contested: other paths leave at the scan, before anything is shuffled.
+
     Contested paths come from a map-side aggregate and are rare. Where `settle` writes
     them out and they prove few, they go to the documents; else the join is salted.
     """
     live = docs.where(~F.col("deleted")).select(
         identity.concept_path(F.col("doc_id")).alias("path"), "doc_id"
     )
+    if added is not None:
+        paths = added.select(identity.concept_path(F.col("doc_id")).alias("path")).distinct()
+        live = live.join(guarded_broadcast(paths, added_rows), "path", "left_semi")
     contested = (
         live.groupBy("path")
         .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))

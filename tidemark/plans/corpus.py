@@ -225,8 +225,9 @@ known AS (
   WHERE path NOT IN (SELECT {sql_path('did')} FROM changes WHERE kind = 'removed'))"""
 
 
-def sql_resolution(owners: str, targets_: str, name: str = "res") -> str:
+def sql_resolution(owners: str, targets_: str, name: str = "res", limit: int | None = None) -> str:
     """CTEs for a grounding resolution of `owners` against `targets_`."""
+    cut = f" WHERE rank <= {limit}" if limit else ""
     return f"""
 {name}_declared AS (
   SELECT DISTINCT did AS owner_id, unnest(grounded_by) AS gid FROM {owners}),
@@ -241,7 +242,7 @@ def sql_resolution(owners: str, targets_: str, name: str = "res") -> str:
     FROM {name}_found WHERE hit IS NOT NULL AND resource <> own_resource) WHERE rr = 1),
 {name}_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY gid) AS rank FROM {name}_cited),
-{name}_kept AS (SELECT * FROM {name}_ranked WHERE rank <= 5)"""
+{name}_kept AS (SELECT * FROM {name}_ranked{cut})"""
 
 
 def with_states(select: str, *more: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import publish as pb
 from tidemark.plans.run import Proposal
-from tidemark.plans.state import Snapshots
+from tidemark.plans.state import Snapshots, new_run_id
 
 _TREE = "branch string, path string, content string"
 _PROPOSALS = "branch string, state string, run_id string"
@@ -61,6 +61,10 @@ class ReviewBranches:
 
     def publish(self, proposal: Proposal, config: dict) -> str:
         pb.require_safe_paths(proposal.files, proposal.removed)
+        if config.get("listing") is not None:
+            # a plan against half a listing would write what is there and miss what is not
+            pb.require_complete_listing(config["listing"])
+        attempt = f"{proposal.run_id}-{new_run_id()}"
         version = self.store.current()
         branch = config.get("branch") or proposal.branch
         base = pb.open_base(self.proposals(), branch, config.get("base", "main"))
@@ -78,12 +82,12 @@ class ReviewBranches:
         )
         tables = dict(version.tables)
         tables[self._table(branch)] = self.store.write(
-            f"{self._table(branch)}/run={proposal.run_id}", after
+            f"{self._table(branch)}/run={attempt}", after
         )
         tables["proposals"] = self.store.write(
-            f"proposals/run={proposal.run_id}",
+            f"proposals/run={attempt}",
             pb.upsert_proposal(self.proposals(), branch, proposal.run_id).coalesce(1),
         )
-        pb.write_summary(proposal.summary, f"{self.store.root}/summaries/run={proposal.run_id}")
+        pb.write_summary(proposal.summary, f"{self.store.root}/summaries/run={attempt}")
         self.store.commit(version, tables)
         return url

@@ -172,9 +172,9 @@ def summary_lines(spark, sf_dir):
 @query(
     "P19_prompts",
     with_states(
-        """SELECT did AS doc_id, sha256('Source id: ' || native_id || chr(10) || 'Source title: ' || title || chr(10)
-          || 'Source facets:' || chr(10) || 'lang: "' || lang || '"' || chr(10) || 'n_chars: ' || n_chars || chr(10) || chr(10)
-          || 'Source text:' || chr(10) || left(text, 5000)) AS prompt_hash,
+        """SELECT did AS doc_id, sha256('Document: ' || native_id || chr(10) || 'Title: ' || title || chr(10)
+          || 'Facets:' || chr(10) || 'lang: "' || lang || '"' || chr(10) || 'n_chars: ' || n_chars || chr(10) || chr(10)
+          || 'Text:' || chr(10) || left(text, 5000)) AS prompt_hash,
         (CASE WHEN length(text) > 5000 THEN 1 ELSE 0 END)::BIGINT AS notes FROM live"""
     ),
 )
@@ -220,13 +220,14 @@ def _shout(batch):
     """A stand-in generator: says little, and drops every prompt whose id ends in 3."""
     kept = batch[~batch["doc_id"].str.contains(r"3\.md$")].copy()
     lines = kept["prompt"].str.split("\n", n=1).str[0]
-    return kept.assign(title=kept["doc_id"], description=lines, body="# " + kept["doc_id"] + "\n" + lines)
+    whole = kept["prompt"].str.split("\n\nText:\n", n=1).str[1].str.len().astype(str)
+    return kept.assign(title=kept["doc_id"], description=lines, body="# " + kept["doc_id"] + "\n" + whole)
 
 
 @query(
     "C4_batch_prose",
     with_states(
-        """SELECT did AS doc_id, did AS title, 'Source id: ' || native_id AS description, 'Source id: ' || native_id AS body
+        """SELECT did AS doc_id, did AS title, 'Document: ' || native_id AS description, length(text)::VARCHAR AS body
         FROM live WHERE did NOT LIKE '%3.md'"""
     ),
 )

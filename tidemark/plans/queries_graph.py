@@ -151,7 +151,7 @@ def _subject_map(spark, sf_dir):
 
 _MAP = f"""subject_map AS (SELECT CASE WHEN quality = 1 THEN {corpus._page('doc_id')} ELSE doc_id::VARCHAR END AS owner_id,
   CASE WHEN toxic = 0 THEN {corpus._page('doc_id * 2')} ELSE ':' || doc_id END AS grounding_id FROM labels)"""
-_TAIL = " must be a qualified doc_id (''system:native_id''); bare ids are not accepted"
+_TAIL = " needs the form system:id"
 
 
 @query(
@@ -181,6 +181,9 @@ def declared_ids(spark, sf_dir):
 
 
 _RES = sql_resolution("live", "overlay")
+#: Documents an owner may cite, in the two queries that show the limit.
+LIMIT = 5
+_RES_LIMITED = sql_resolution("live", "overlay", limit=LIMIT)
 
 
 def _owners_lookup(spark, sf_dir):
@@ -208,25 +211,27 @@ def resource_dedupe(spark, sf_dir):
 
 @query(
     "W2_grounding_cap",
-    with_states("SELECT owner_id, gid AS grounding_id, rank::INT AS rank FROM res_kept", _RES),
+    with_states("SELECT owner_id, gid AS grounding_id, rank::INT AS rank FROM res_kept", _RES_LIMITED),
 )
 def grounding_cap(spark, sf_dir):
-    return corpus.states(spark, sf_dir).kept.select("owner_id", "grounding_id", "rank")
+    st = corpus.states(spark, sf_dir)
+    kept = gr.resolve(st.live, None, st.targets, LIMIT, settle=settled)[0]
+    return kept.select("owner_id", "grounding_id", "rank")
 
 
 @query(
     "W2_resolution_notes",
     with_states(
         f"""SELECT owner_id, {sql_path('owner_id')} || ': grounding ' || gid ||
-          ' was not found in the mirror or this fetch and was dropped' AS note FROM res_found WHERE hit IS NULL
-        UNION ALL SELECT owner_id, {sql_path('owner_id')} || ': grounding capped at 5; dropped ' ||
-          string_agg(gid, ', ' ORDER BY gid) FROM res_ranked WHERE rank > 5 GROUP BY owner_id""",
-        _RES,
+          ' names no document here and is left out' AS note FROM res_found WHERE hit IS NULL
+        UNION ALL SELECT owner_id, {sql_path('owner_id')} || ': grounding ' || gid || ' is beyond the limit of {LIMIT}'
+        FROM res_ranked WHERE rank > {LIMIT}""",
+        _RES_LIMITED,
     ),
 )
 def resolution_notes(spark, sf_dir):
     st = corpus.states(spark, sf_dir)
-    return gr.resolve(st.live, None, st.targets, settle=settled)[1]
+    return gr.resolve(st.live, None, st.targets, LIMIT, settle=settled)[1]
 
 
 def _resolved_candidates(st, changes):

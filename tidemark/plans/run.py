@@ -150,7 +150,7 @@ def run(
     publish_config: dict | None = None,
     generator: prose.Verbatim | prose.Generator | None = None,
     subject_map: DataFrame | None = None,
-    max_grounding_docs: int = gr.DEFAULT_MAX_DOCS,
+    max_grounding_docs: int | None = None,
     extra_laws: list[laws.Law] | None = None,
     check_stability: bool = True,
     run_id: str | None = None,
@@ -228,7 +228,13 @@ def run(
     lineage = state.lineage(version)
     scan = gr.scan_needed(generator.grounds, subject_map, docs, lineage)
     clock.mark("diff", **counts)
+    def ended(outcome: str, failures: int = 0) -> None:
+        state.write_outcome(
+            attempt, (run_id, source.name, outcome, *counts.values(), failures, dict(clock.ms))
+        )
+
     if is_noop and not scan:
+        ended("no-op")
         return NoOp(clock.ms)
 
     mirror = state.mirror(version)
@@ -248,6 +254,7 @@ def run(
         drift = staged("drift", gr.drifted(candidates, lineage, kept_now))
     clock.mark("drift")
     if is_noop and (drift is None or drift.isEmpty()):
+        ended("no-op")
         return NoOp(clock.ms)
 
     referring = None
@@ -279,12 +286,18 @@ def run(
         total = found.count()
         if not total:
             return None
+        ended("aborted", total)
         shown = found.orderBy("path", "law", "message").limit(SAMPLE).collect()
         return Aborted([tuple(r) for r in shown], total, f"{state.root}/staging/run={attempt}/{name}", clock.ms)
 
     stop = abort(
         "scope_failures",
-        scope.path_collisions(targets, staging("contested")).unionByName(scope.cross_system_relations(items)),
+        scope.path_collisions(
+            targets,
+            staging("contested"),
+            changes.where(F.col("kind") == ch.ADDED).select("doc_id"),
+            counts[ch.ADDED],
+        ).unionByName(scope.cross_system_relations(items)),
     )
     if stop:
         return stop

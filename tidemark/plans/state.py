@@ -40,6 +40,15 @@ def instance_key(config: dict) -> str:
     return hashlib.sha256(canonical.encode("utf-8")).hexdigest()[:8]
 
 
+def _scope():
+    digest = F.sha2(identity.system_of(F.col("doc_id")), 256)
+    return F.concat(F.lit("s"), F.left(digest, F.lit(15)))
+
+
+def buckets_of(version: Version) -> list[str]:
+    return [n for n in version.tables if n.startswith("mirror/")]
+
+
 @dataclass(frozen=True)
 class Version:
     number: int = 0
@@ -97,15 +106,15 @@ class Snapshots:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
 
-    def write(self, folder: str, df: DataFrame, partition_by: str | None = None) -> str:
+    def write(self, folder: str, df: DataFrame, *partition_by: str) -> str:
         """Write a new folder, never over an old one. A hot partition value is split over tasks."""
-        if partition_by is None:
+        if not partition_by:
             df.write.mode("error").parquet(f"{self.root}/{folder}")
         else:
             (
-                df.hint("rebalance", partition_by)
+                df.hint("rebalance", *partition_by)
                 .write.mode("error")
-                .partitionBy(partition_by)
+                .partitionBy(*partition_by)
                 .parquet(f"{self.root}/{folder}")
             )
         return folder
@@ -140,17 +149,24 @@ class Snapshots:
 
 
 class State(Snapshots):
-    """The four tables a run reads and advances."""
+    """The four tables a run reads and advances.
+
+    The mirror has a folder for each bucket of a system, named
+    `mirror/<system>/<buckets>/<bucket>`; a document's id says which one is its own.
+    """
+
+    #: Documents a bucket holds before the system's buckets double.
+    bucket_rows = 100_000
 
     def mirror(self, version: Version, systems: list[str] | None = None) -> DataFrame:
         """Live documents, only of the given systems' folders where named.
 
         Column pruning does the rest: a diff reads the id and hash columns only.
         """
-        names = [n for n in version.tables if n.startswith("mirror/")]
-        if systems is not None:
-            wanted = {f"mirror/{scope_of(s)}" for s in systems}
-            names = [n for n in names if n in wanted]
+        wanted = None if systems is None else {scope_of(s) for s in systems}
+        return self._folders(version, [n for n in buckets_of(version) if wanted is None or n.split("/")[1] in wanted])
+
+    def _folders(self, version: Version, names: list[str]) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], DOCUMENTS)
         folders = [f"{self.root}/{version.tables[n]}" for n in sorted(names)]
@@ -183,19 +199,66 @@ class State(Snapshots):
     def write_mirror(
         self, version: Version, run_id: str, docs: DataFrame, systems: list[str], fetched: int
     ) -> dict[str, str]:
-        """K1: rewrite the folders of the fetched systems only; others carry over by name."""
-        before = self.mirror(version, systems)
-        after = changes.advance_mirror(before, docs.select(*DOCUMENT_COLUMNS), fetched)
-        digest = F.sha2(identity.system_of(F.col("doc_id")), 256)
-        scoped = after.withColumn("scope", F.concat(F.lit("s"), F.left(digest, F.lit(15))))
-        folder = self.write(f"mirror/run={run_id}", scoped, "scope")
-        touched = {f"mirror/{scope_of(s)}" for s in systems}
+        """K1: rewrite the buckets that the fetch touches; all others carry over by name.
+
+        A system's buckets double when they have filled, which rewrites that system once.
+        """
+        own = {scope_of(s) for s in systems}
+        old = {n.split("/")[1]: int(n.split("/")[2]) for n in buckets_of(version)}
+        plan = {scope: old.get(scope, 1) for scope in own}
+        sizes = self.mirror(version, systems).select("system", F.lit(0).alias("side")).union(docs.select("system", F.lit(1)))
+        for r in sizes.groupBy("system", "side").count().collect():
+            scope = scope_of(r["system"])
+            while r["count"] > 2 * plan[scope] * self.bucket_rows:
+                plan[scope] *= 2
+        counts = self.spark.createDataFrame(sorted(plan.items()), "scope string, buckets int")
+
+        def placed(df: DataFrame) -> DataFrame:
+            return (
+                df.withColumn("scope", _scope())
+                .join(F.broadcast(counts), "scope")
+                .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
+            )
+
+        fresh = placed(docs.select("doc_id")).select("scope", "buckets", "bucket").distinct()
+        touched = {f"mirror/{r.scope}/{r.buckets}/{r.bucket}" for r in fresh.collect()}
+        touched |= {n for n in buckets_of(version) if n.split("/")[1] in own and old[n.split("/")[1]] != plan[n.split("/")[1]]}
+        before = self._folders(version, [n for n in touched if n in version.tables])
+        after = placed(changes.advance_mirror(before, docs.select(*DOCUMENT_COLUMNS), fetched))
+        folder = self.write(f"mirror/run={run_id}", after, "scope", "buckets", "bucket")
         kept = {n: f for n, f in version.tables.items() if n not in touched}
-        for name in self.subfolders(folder):
-            if name.startswith("scope="):
-                kept[f"mirror/{name.removeprefix('scope=')}"] = f"{folder}/{name}"
+        for scope in self.subfolders(folder):
+            for buckets in self.subfolders(f"{folder}/{scope}"):
+                for bucket in self.subfolders(f"{folder}/{scope}/{buckets}"):
+                    name = "/".join(p.split("=", 1)[1] for p in (scope, buckets, bucket))
+                    kept[f"mirror/{name}"] = f"{folder}/{scope}/{buckets}/{bucket}"
         return kept
 
+    def write_outcome(self, run_id: str, row: tuple) -> None:
+        """Runs that published nothing, outside the snapshot: a no-op moves no state."""
+        self.write(f"outcomes/run={run_id}", self.spark.createDataFrame([row], RUNS))
+
+    def outcomes(self) -> DataFrame:
+        folders = [f"{self.root}/outcomes/{f}" for f in self.subfolders("outcomes")]
+        if not folders:
+            return self.spark.createDataFrame([], RUNS)
+        return self.spark.read.schema(RUNS).parquet(*folders)
+
+    def expire(self) -> list[str]:
+        """Delete run folders that the current version does not name; returns their names.
+
+        Only for a state that no run is working on: a run's own staging goes too.
+        """
+        named = set(self.current().tables.values())
+        gone = []
+        for top in ("mirror", "lineage", "cursors", "runs", "staging"):
+            for run in self.subfolders(top):
+                folder = f"{top}/{run}"
+                if not any(n == folder or n.startswith(f"{folder}/") for n in named):
+                    self._fs().delete(self._path(folder), True)
+                    gone.append(folder)
+        return gone
+
     def write_lineage(self, version: Version, run_id: str, decisions: DataFrame) -> str:
         """K2."""
         return self.write(
