@@ -532,6 +532,26 @@ def body_links(spark, sf_dir):
     return laws.body_links(p.select(path.alias("path"), content.alias("content")))
 
 
+def _sensitive_sql() -> str:
+    parts = []
+    for law, patterns in (("secrets", laws.SECRETS), ("personal-data", laws.PERSONAL)):
+        for kind, pattern in patterns.items():
+            parts.append(
+                f"SELECT 'concepts/' || doc_id AS path, '{law}' AS law, 'text holds a {kind}' AS message "
+                f"FROM documents WHERE regexp_matches(text, '{pattern}')"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("X11_sensitive_text", _sensitive_sql())
+def sensitive_text(spark, sf_dir):
+    """Both content laws over every whole text."""
+    d = corpus.table(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("concepts/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    secret = laws.content_law("secrets", laws.SECRETS)(files, files)
+    return secret.unionByName(laws.content_law("personal-data", laws.PERSONAL)(files, files))
+
+
 # ---------------------------------------------------------------- publication
 
 
