@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +42,14 @@ class Scratch:
     def settle(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made:03d}"
-        df.write.option("compression", codec).parquet(path)
+        tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(tidy, "false")
+        # what is written needs its shuffle files no more
+        self.spark.conf.set(tidy, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(tidy, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def discard(self, df: DataFrame) -> None:
@@ -175,14 +183,14 @@ def cell_counts(df: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray], co
                 total[at] += n.astype(np.uint32)
         parts = total.reshape(-1, block)
         used = np.flatnonzero(parts.any(axis=1))
-        if len(used):
-            rows = [parts[k].astype("<u4").tobytes() for k in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used), binary(rows)], ["block", "counts"])
+        for some in np.array_split(used, max(1, len(used) // 64)) if len(used) else ():
+            rows = [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some), binary(rows)], ["block", "counts"])
 
     def add(batch: pa.Table) -> pa.Table:
         total = np.zeros(block, np.uint64)
         for x in batch["counts"].to_pylist():
-            total += np.frombuffer(x, "<u4")
+            total += np.frombuffer(zlib.decompress(x), "<u4")
         packed = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
         return pa.table({"block": pa.array([batch["block"][0].as_py()]), "counts": binary([packed])})
 

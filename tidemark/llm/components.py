@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 _ROUNDS = 60
+#: Hubs that a node is compared with before pairs across components are looked at.
+HUBS = 3
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -68,15 +70,22 @@ def band(n, percent: int):
 
 
 def star_pairs(listed: DataFrame) -> DataFrame:
-    """``(a, b)``: each node of ``listed (token, band, node)`` with one hub of its token and band.
+    """``(a, b)``: each node of ``listed (token, band, node)`` with hubs of its tokens and band.
 
-    Hubs of neighbouring bands are paired too. As many pairs as rows at most.
+    A hub is the least node of a token and band; of a node's hubs the ``HUBS`` least are taken, so
+    that members of one family meet in the same ones. Hubs of neighbouring bands are paired alike.
+    The pairs are at most a few for each node.
     """
+
+    def few(pairs: DataFrame) -> DataFrame:
+        own = pairs.where("a <> b").groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, HUBS).alias("a"))
+        return own.select(F.explode("a").alias("a"), "b")
+
     hubs = listed.groupBy("token", "band").agg(F.min("node").alias("hub"))
     own = listed.join(hubs, ["token", "band"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     above = hubs.select("token", (F.col("band") + 1).alias("band"), F.col("hub").alias("a"))
     across = hubs.join(above, ["token", "band"]).select("a", F.col("hub").alias("b"))
-    return ordered(own.union(across))
+    return ordered(few(own).union(few(across)))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
