@@ -89,7 +89,21 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-@query("op6_substring_dedup")
+_SUBSTRING = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents),
+  g AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+  f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+  lost AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (
+      SELECT g.doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (gram) WHERE first < g.doc_id) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), ''))
+    AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)"""
+
+
+@query("op6_substring_dedup", _SUBSTRING)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.substring_duplicates(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -112,6 +126,29 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_license_scan")
+def _license_sql() -> str:
+    numbers, rules = licenses.known_sentences()
+    keys = ", ".join(f"'{k}'" for k in numbers)
+    texts = ["|" + "|".join(map(str, r)) + "|" for _, r in rules]
+    found = []
+    for (name, _), own in zip(rules, texts, strict=True):
+        rest = "sequence"
+        for other in texts:
+            if own in other and len(other) > len(own):
+                rest = f"replace({rest}, '{other}', '|')"
+        found.append(f"CASE WHEN contains({rest}, '{own}') THEN '{name}' END")
+    return rf"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(
+      regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
+      lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM documents),
+  k AS (SELECT *, list_filter(list_transform(parts, lambda x: list_position([{keys}], x) - 1), lambda x: x >= 0) AS known FROM s),
+  q AS (SELECT *, '|' || array_to_string(known, '|') || '|' AS sequence FROM k)
+SELECT doc_id, len(parts)::BIGINT AS n_sentences, len(known)::BIGINT AS n_known,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{", ".join(found)}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM q"""
+
+
+@query("op8_license_scan", _license_sql())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("sequence")
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_known", F.array_join("licenses", ",").alias("licenses"))
