@@ -93,15 +93,18 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(listed: DataFrame, found: DataFrame, tried: DataFrame, percent: int, close=None) -> DataFrame:
+def cross_pairs(
+    listed: DataFrame, found: DataFrame, tried: DataFrame, percent: int, close, scratch: Scratch
+) -> DataFrame:
     """Pairs of ``listed (token, band, node, n, ...)`` under one token that are in two components.
 
     ``found`` has the components so far, ``tried`` pairs already decided. The largest component of
     a token is never paired with itself: only the rest of the token's nodes meet all of them, within
-    neighbouring bands. ``close(left, right)`` may narrow pairs down by further columns.
+    neighbouring bands. ``close(left, right)`` narrows pairs down by further columns. Steps are
+    written one by one, so that the shuffle files of one are gone before the next.
     """
     named = listed.join(found.withColumnRenamed("node", "__f"), F.col("node") == F.col("__f"), "left").drop("__f")
-    named = named.withColumn("component", F.coalesce("component", "node"))
+    every = named = scratch.settle(named.withColumn("component", F.coalesce("component", "node")))
     each = named.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = (
         each.groupBy("token")
@@ -109,7 +112,8 @@ def cross_pairs(listed: DataFrame, found: DataFrame, tried: DataFrame, percent:
         .where("kinds > 1")
         .select("token", F.col("top.component").alias("top"))
     )
-    named = named.join(mixed, "token")
+    named = scratch.settle(named.join(scratch.settle(mixed), "token"))
+    scratch.discard(every)
     few = named.where("component <> top").withColumn(
         "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     )
@@ -120,7 +124,6 @@ def cross_pairs(listed: DataFrame, found: DataFrame, tried: DataFrame, percent:
         & (F.col("n") * 100 >= F.col("n_1") * percent)
         & (F.col("n_1") * 100 >= F.col("n") * percent)
     )
-    if close is not None:
-        fine = fine & close(lambda c: F.col(c), lambda c: F.col(f"{c}_1"))
+    fine = fine & close(lambda c: F.col(c), lambda c: F.col(f"{c}_1"))
     pairs = named.join(few, ["token", "band"]).where(fine)
     return ordered(pairs.select(F.col("node").alias("a"), F.col("node_1").alias("b"))).join(tried, ["a", "b"], "left_anti")

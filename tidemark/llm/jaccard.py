@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, binary, cell_counts, grams, joined, mapper, mix, texts, words
 from tidemark.llm.components import band, components, cross_pairs, ordered, star_pairs
 
-#: Cells of the sketch that orders shingles: common ones come last. Any order is right.
-ORDER_BITS = 20
+#: Least and most bits of the sketch that orders shingles: common ones come last. Any order is
+#: right. It has a cell for ``CELL_BYTES`` bytes of text, so that lists keep their length as the
+#: corpus grows, until it has as much as a task may hold (64 MB).
+ORDER_BITS = (16, 24)
+CELL_BYTES = 256
+#: Longs of a prefix's bit marks.
+MARKS = 4
 #: Cells of the filter that picks documents whose sets are needed. A join drops what it lets through.
 PICK_BITS = 22
 
@@ -66,7 +71,7 @@ def similar_documents(
     classes = scratch.settle(
         sets.where("n > 0 and doc_id is not null")
         .groupBy("set_key", "n")
-        .agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     )
     # a document listed with several texts is one node: its classes are told apart by set_key
     members = scratch.settle(
@@ -83,8 +88,11 @@ def similar_documents(
     tried = scratch.settle(ordered(star_pairs(posted.withColumnRenamed("gid", "node")).union(inside)))
     links = scratch.settle(_verified(_bounded(tried, members, percent), rows, members, size, percent, scratch))
     found = scratch.settle(components(links, scratch))
-    listed = posted.join(members.select("gid", "n", F.col("cid").alias("node")), ["gid", "n"]).drop("gid")
-    more = cross_pairs(listed, found, tried, percent)
+    brief = members.select(
+        "gid", "n", F.col("cid").alias("node"), "marks", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")
+    )
+    listed = posted.join(brief, ["gid", "n"]).drop("gid")
+    more = cross_pairs(listed, found, tried, percent, lambda a, b: _room(a, b, percent), scratch)
     more = scratch.settle(_bounded(more, members, percent))
     if not more.isEmpty():
         links = links.union(_verified(more, rows, members, size, percent, scratch))
@@ -101,18 +109,20 @@ def similar_documents(
 
 def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
-    shift = np.uint64(64 - ORDER_BITS)
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((volume // CELL_BYTES).bit_length(), ORDER_BITS[0]), ORDER_BITS[1])
+    shift = np.uint64(64 - bits)
 
     def cells(part: pa.RecordBatch) -> np.ndarray:
         found = shingle_sets(part["text"], size)
         return (mix(np.concatenate(found)) >> shift).astype(np.int64)
 
-    counts = cell_counts(rows, cells, ["text"], ORDER_BITS)
+    counts = cell_counts(rows, cells, ["text"], bits)
     usual = max(1.0, 2 * counts.mean())
     levels = spark.sparkContext.broadcast(np.maximum(0, np.ceil(np.log2(np.maximum(counts / usual, 1)))).astype(np.uint64))
 
     def prefixes(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ns, keys, heads = [], [], []
+        ns, keys, heads, marks = [], [], [], []
         for found in shingle_sets(part["text"], size):
             n = len(found)
             ns.append(n)
@@ -124,12 +134,30 @@ def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 heads.append(np.sort(np.partition(order, p - 1)[:p] if p < n else order).astype(np.int64))
             else:
                 heads.append(np.zeros(0, np.int64))
+            bit = np.left_shift(np.int64(1), heads[-1] >> 2 & 63)
+            marks.append([int(np.bitwise_or.reduce(bit[heads[-1] & (MARKS - 1) == k])) for k in range(MARKS)])
+        many = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part["doc_id"], pa.array(ns, pa.int64()), binary(keys), pa.array(heads, pa.list_(pa.int64()))],
-            ["doc_id", "n", "set_key", "prefix"],
+            [part["doc_id"], pa.array(ns, pa.int64()), binary(keys), pa.array(heads, many), pa.array(marks, many)],
+            ["doc_id", "n", "set_key", "prefix", "marks"],
         )
 
-    return rows.mapInArrow(mapper(prefixes), "doc_id bigint, n bigint, set_key binary, prefix array<bigint>")
+    schema = "doc_id bigint, n bigint, set_key binary, prefix array<bigint>, marks array<bigint>"
+    return rows.mapInArrow(mapper(prefixes), schema)
+
+
+def _room(a, b, percent: int):
+    """Whether two sets may overlap enough, by the marks of their prefixes alone.
+
+    A mark of one prefix that the other lacks stands for a shingle, at least, that is not common.
+    """
+
+    def common(x, y):
+        lost = sum(F.bit_count(x("marks")[k].bitwiseAND(F.bitwise_not(y("marks")[k]))) for k in range(MARKS))
+        return x("p") - lost
+
+    rest = F.when(a("last") <= b("last"), a("n") - a("p")).otherwise(b("n") - b("p"))
+    return F.least(common(a, b), common(b, a)) + rest >= least_overlap(a("n"), b("n"), percent)
 
 
 def _bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
