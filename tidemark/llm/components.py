@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +67,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def band(n, percent: int):
-    """Sizes within ``percent`` of each other are in one band or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
+    """Number of a size's band. Bands are so wide that the sizes which go with one lie in two at most."""
+    return F.floor(F.log(n.cast("double")) / F.lit(4 * math.log(100.0 / percent)) + F.lit(1e-9))
 
 
 def star_pairs(listed: DataFrame) -> DataFrame:
@@ -94,33 +96,37 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def cross_pairs(
-    listed: DataFrame, found: DataFrame, tried: DataFrame, percent: int, close, scratch: Scratch
+    listed: DataFrame, detail: DataFrame, found: DataFrame, tried: DataFrame, percent: int, close, scratch: Scratch
 ) -> DataFrame:
-    """Pairs of ``listed (token, band, node, n, ...)`` under one token that are in two components.
+    """Pairs of ``listed (token, band, node)`` under one token that are in two components.
 
-    ``found`` has the components so far, ``tried`` pairs already decided. The largest component of
-    a token is never paired with itself: only the rest of the token's nodes meet all of them, within
-    neighbouring bands. ``close(left, right)`` narrows pairs down by further columns. Steps are
-    written one by one, so that the shuffle files of one are gone before the next.
+    ``detail (node, n, ...)`` has each node's size and what ``close(left, right)`` needs to narrow
+    pairs down, ``found`` the components so far, ``tried`` pairs already decided. The largest
+    component of a token is never paired with itself: only the rest of the token's nodes meet all
+    of them. Steps are written one by one, so that the shuffle files of one are gone before the next.
     """
     named = listed.join(found.withColumnRenamed("node", "__f"), F.col("node") == F.col("__f"), "left").drop("__f")
-    every = named = scratch.settle(named.withColumn("component", F.coalesce("component", "node")))
-    each = named.groupBy("token", "component").agg(F.count("*").alias("c"))
+    every = scratch.settle(named.withColumn("component", F.coalesce("component", "node")))
+    each = every.groupBy("token", "component").agg(F.count("*").alias("c"))
     mixed = (
         each.groupBy("token")
         .agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"))
         .where("kinds > 1")
         .select("token", F.col("top.component").alias("top"))
     )
-    named = scratch.settle(named.join(scratch.settle(mixed), "token"))
+    named = every.join(scratch.settle(mixed), "token")
+    named = scratch.settle(named.withColumn("first", F.col("component") == F.col("top")).drop("top"))
     scratch.discard(every)
-    few = named.where("component <> top").withColumn(
-        "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    named = named.join(detail, "node")
+    reach = [F.col("n") * (percent / 100 * (1 - 1e-6)), F.col("n") * (100 / percent * (1 + 1e-6))]
+    few = named.where("not first").withColumn(
+        "band", F.explode(F.array_distinct(F.array(*(band(r, percent) for r in reach))))
     )
+    few = few.drop("first")
     few = few.select(*(c if c in ("token", "band") else F.col(c).alias(f"{c}_1") for c in few.columns))
     fine = (
         (F.col("component") != F.col("component_1"))
-        & ((F.col("component") == F.col("top")) | (F.col("node_1") < F.col("node")))
+        & (F.col("first") | (F.col("node_1") < F.col("node")))
         & (F.col("n") * 100 >= F.col("n_1") * percent)
         & (F.col("n_1") * 100 >= F.col("n") * percent)
     )

@@ -19,7 +19,7 @@ from tidemark.llm.components import band, components, cross_pairs, ordered, star
 ORDER_BITS = (16, 24)
 CELL_BYTES = 256
 #: Longs of a prefix's bit marks.
-MARKS = 4
+MARKS = 2
 #: Cells of the filter that picks documents whose sets are needed. A join drops what it lets through.
 PICK_BITS = 22
 
@@ -88,11 +88,10 @@ def similar_documents(
     tried = scratch.settle(ordered(star_pairs(posted.withColumnRenamed("gid", "node")).union(inside)))
     links = scratch.settle(_verified(_bounded(tried, members, percent), rows, members, size, percent, scratch))
     found = scratch.settle(components(links, scratch))
-    brief = members.select(
-        "gid", "n", F.col("cid").alias("node"), "marks", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")
-    )
-    listed = posted.join(brief, ["gid", "n"]).drop("gid")
-    more = cross_pairs(listed, found, tried, percent, lambda a, b: _room(a, b, percent), scratch)
+    node = F.col("cid").alias("node")
+    detail = members.select(node, "n", "marks", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
+    listed = posted.join(members.select("gid", "n", node), ["gid", "n"]).select("token", "band", "node")
+    more = cross_pairs(listed, detail.dropDuplicates(["node", "n"]), found, tried, percent, lambda a, b: _room(a, b, percent), scratch)
     more = scratch.settle(_bounded(more, members, percent))
     if not more.isEmpty():
         links = links.union(_verified(more, rows, members, size, percent, scratch))
