@@ -328,7 +328,7 @@ def simhash(text):
 
 def test_simhash_is_the_majority(spark):
     texts = ["a", "a b", "a b c d e f", " ".join(f"w{i}" for i in range(255)), " ".join(f"w{i}" for i in range(700))]
-    found = rows(spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines.simhash(F.col("t"))))
+    found = rows(spark.createDataFrame([(t,) for t in texts], "t string").select("t", lines.simhash(lines.word_hashes(F.col("t")))))
     assert dict(found) == {t: simhash(t) for t in texts}
 
 
@@ -363,7 +363,7 @@ def test_lines(spark, none):
     import re
 
     def normal(line):
-        return re.sub(r"[^a-z0]+", " ", re.sub(r"\d", "0", line.lower())).strip()
+        return re.sub(r"[^a-z]+", " ", line.lower()).strip()
 
     where = defaultdict(set)
     for i, t in table:
