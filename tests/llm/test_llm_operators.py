@@ -248,6 +248,28 @@ def test_jaccard_families(spark, size, percent):
     assert sorted(map(repr, rows(jaccard.similar_documents(docs, size, percent)))) == similar(table, size, percent)
 
 
+def test_jaccard_links_inside_an_isolated_group(spark, monkeypatch):
+    """Equal size and prefix, a prefix no other group has, and a head that links to neither member."""
+    monkeypatch.setattr(jaccard, "ORDER_BITS", (1, 1))
+
+    def group(seed, first):
+        a = [f"s{seed}w{k}" for k in range(22)]
+        b = [*a[:20], "y1", "y2"]
+        return [(first, " ".join(a)), (first + 1, " ".join(b)), (first + 2, " ".join([*b[:21], "y3"]))]
+
+    def alike(table):
+        found = jaccard._prefixes(spark.createDataFrame(table, "doc_id long, text string"), 3, 90)
+        return len({(r.n, tuple(r.prefix)) for r in found.collect()}) == 1
+
+    groups = [g for g in (group(seed, 10 * seed) for seed in range(12)) if alike(g)]
+    assert len(groups) > 1
+    for table in (groups[0], sum(groups, [])):
+        docs = spark.createDataFrame(table, "doc_id long, text string")
+        want = similar(table, 3, 90)
+        assert len({eval(r)[2] for r in want}) == 2 * len(table) // 3
+        assert sorted(map(repr, rows(jaccard.similar_documents(docs, 3, 90)))) == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 1), (3, 7), (7, 1), (10, 11), (11, 12), (12, 13), (13, 14), (14, 15)]
     found = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))

@@ -57,7 +57,9 @@ def similar_documents(
     3. Round one links each class to one hub of its group, and each group to a hub among groups of
        like size that share a prefix shingle. Round two takes, for every shingle, all pairs that
        are still in different components. So a family of near copies costs a star and not all its
-       pairs, and no link between components is lost.
+       pairs, and no link between components is lost. A shingle is left out only where no pair
+       needs it: one group alone has it, and its classes meet by the first of their prefix, if
+       there are several.
     4. A pair is verified on whole sets when the exact bound from its two prefixes allows it.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Null, empty and wordless texts have no
@@ -79,10 +81,15 @@ def similar_documents(
             classes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.count("*").alias("size")), ["n", "prefix"]
         )
     )
-    heads = members.where("cid = gid").select("gid", "n", "prefix").dropDuplicates(["gid", "n"])
-    posted = heads.select("gid", "n", F.explode("prefix").alias("token"), band(F.col("n"), percent).alias("band"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    posted = scratch.settle(posted.join(shared, "token"))
+    heads = members.where("cid = gid").select("gid", "n", "prefix", "size").dropDuplicates(["gid", "n"])
+    posted = heads.select(
+        "gid", "n", F.posexplode("prefix").alias("at", "token"), "size", band(F.col("n"), percent).alias("band")
+    )
+    # classes of one group meet by the first shingle of their prefix, also where no other group has it
+    weight = F.when(F.col("at") == 0, F.col("size")).otherwise(1)
+    posted = posted.select("gid", "n", "token", "band", weight.alias("weight"))
+    shared = posted.groupBy("token").agg(F.sum("weight").alias("c")).where("c > 1").select("token")
+    posted = scratch.settle(posted.drop("weight").join(shared, "token"))
 
     inside = members.where("size > 1").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     tried = scratch.settle(ordered(star_pairs(posted.withColumnRenamed("gid", "node")).union(inside)))
