@@ -447,6 +447,36 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == len(ODD) and rows(licenses.scan(none)) == []
 
 
+def test_licenses_wrapped_and_commented(spark):
+    import textwrap
+
+    text = licenses.SENTENCES | licenses.MORE_SENTENCES
+
+    def header(mark, *keys, gap="\n"):
+        return "\n".join(f"{mark}{x}" for x in gap.join("\n".join(textwrap.wrap(text[k], 72)) for k in keys).split("\n"))
+
+    bsd = ["bsd-grant", "bsd-source", "bsd-binary"]
+    table = [
+        (1, header("", "mit-grant", "mit-notice-kept", "mit-as-is", gap="\n\n"), "MIT"),
+        (2, "/*\n" + header(" * ", *bsd, "bsd-name") + "\n */\nint x;", "BSD-3-Clause"),
+        (3, header("# ", *bsd, gap="\n\n").replace("\n", "\r\n"), "BSD-2-Clause"),
+        (4, "A title\nCopyright 2020 Somebody\n" + header("// ", "apache-grant"), "Apache-2.0"),
+        (5, header("", "gpl-share", "gpl-hope"), "GPL-3.0-or-later"),
+        (6, header("# ", "gpl2-share"), "GPL-2.0-or-later"),
+        (7, header("# ", "lgpl21-share"), "LGPL-2.1-or-later"),
+        (8, header("; ", "agpl3-share"), "AGPL-3.0-or-later"),
+        (9, "# SPDX-License-Identifier: (MIT OR CC-BY-ND-4.0)\nx = 1", "CC-BY-ND-4.0,MIT"),
+        (10, "Released under\nthe MIT License\nand more prose", "MIT"),
+        (11, "Released under\n\nthe MIT License.", ""),
+        (12, "Not released under the MIT License.\nOr", ""),
+        (13, header("", "zlib-as-is", "zlib-grant"), "Zlib"),
+        (14, header("", "lgpl3-share", "unlicense-grant"), "LGPL-3.0-or-later,Unlicense"),
+        (15, "\n * " * 50000 + "Released under the\n * MIT License.", "MIT"),
+    ]
+    docs = spark.createDataFrame([t[:2] for t in table], "doc_id long, text string")
+    assert {r.doc_id: ",".join(r.licenses) for r in licenses.scan(docs).collect()} == {i: want for i, _, want in table}
+
+
 # --- classifiers ----------------------------------------------------------------------------
 
 
