@@ -23,3 +23,8 @@ def test_query(spark, duck, name):
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES)
+
+
+def test_content_hash_of_every_document(spark):
+    found = QUERIES["P10_content_hash_all"](spark, SF)
+    assert found.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()

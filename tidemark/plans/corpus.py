@@ -87,7 +87,17 @@ def mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cache
 def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
-    rows = base(spark, sf_dir).where((n % 17 != 0) & (n % 20 < 10))
+    return _revised(base(spark, sf_dir).where((n % 17 != 0) & (n % 20 < 10)))
+
+
+@cache
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a fetch would hold them."""
+    return _revised(base(spark, sf_dir))
+
+
+def _revised(rows: DataFrame) -> DataFrame:
+    n = F.col("n")
     return ch.canonical_documents(
         rows.withColumn(
             "text", F.when(n % 11 == 0, F.concat("text", F.lit(" [rev 2]"))).otherwise(F.col("text"))

@@ -66,6 +66,16 @@ def content_hash(spark, sf_dir):
     return corpus.fetch(spark, sf_dir).select("doc_id", "content_hash")
 
 
+@query(
+    "P10_content_hash_all",
+    f"""WITH {corpus.SQL_BASE}, e AS (SELECT * REPLACE (CASE WHEN n % 11 = 0 THEN text || ' [rev 2]' ELSE text END AS text),
+      n % 13 = 0 AS deleted FROM base) SELECT did AS doc_id, {corpus.sql_hash()} AS content_hash FROM e""",
+)
+def content_hash_all(spark, sf_dir):
+    """Of every document, where ``P10_content_hash`` has those of the fetch."""
+    return corpus.every(spark, sf_dir).select("doc_id", "content_hash")
+
+
 @query("J2_overlay", with_states(_KEYED + "overlay"))
 def overlay(spark, sf_dir):
     return _keyed(ch.overlay(corpus.mirror(spark, sf_dir), corpus.fetch(spark, sf_dir)))
