@@ -47,7 +47,7 @@ def build(docs: DataFrame, scratch: Scratch, capacity: int = BUCKET_ENTRIES) ->
     before the shuffle, so that a text with a third of all rows is one row from each task. The
     table of entries then holds no text. Texts that share a key form a chain.
 
-    The directory starts with one bucket for all; each doubling splits only overfull buckets by
+    The directory starts at the depth that the count of texts asks for; each doubling splits only overfull buckets by
     their next bit. A bucket whose entries all share one key has nothing to split by: it stays as
     a chain. Only the largest bucket's size reaches the driver.
     """
