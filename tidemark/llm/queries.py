@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact, jaccard, licenses, lines, packing, quality, substring, toxicity
+from tidemark.llm import ann, bpe, exact, jaccard, licenses, lines, merkle, packing, quality, substring, toxicity
 from tidemark.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,58 @@ FROM q"""
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", "n_known", F.array_join("licenses", ",").alias("licenses"))
+
+
+def _merkle_sql(deep: int = 8) -> str:
+    """Trees of up to ``deep`` levels, one relation for each; SQL has no CRC-32, so bits are folded in."""
+
+    def coded(column: str) -> str:
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column} END"
+
+    rest = " || ".join(coded(c) for c in merkle.FIELDS[:-1])
+
+    def climb(name: str) -> str:
+        """Levels of trees with rows (tree, pos, h); a run is the text of up to 16 digests."""
+        steps = []
+        for k in range(deep):
+            steps.append(f"""{name}r{k} AS (SELECT tree, pos // 16 AS pos, string_agg(h, '' ORDER BY pos) AS run FROM {name}{k}
+                WHERE tree IN (SELECT tree FROM {name}{k} WHERE pos = 1) GROUP BY tree, pos // 16)""")
+            steps.append(f"{name}{k + 1} AS (SELECT tree, pos, sha256(run) AS h FROM {name}r{k})")
+        last = " UNION ALL ".join(
+            f"SELECT tree, any_value(h) AS h FROM {name}{k} GROUP BY tree HAVING count(*) = 1" for k in range(deep + 1)
+        )
+        return ", ".join([*steps, f"{name}_root AS ({last})"])
+
+    def fold(name: str, rows: str, tree: str, pos: str) -> str:
+        """Siblings and folded digest level by level; a level that a tree lacks changes nothing."""
+        steps, before = [], rows
+        for k in range(deep):
+            at = f"(({pos} // {16**k}) % 16)"
+            left, right = f"left(coalesce(run, ''), 64 * {at})", f"substr(coalesce(run, ''), 64 * {at} + 65)"
+            steps.append(f"""{name}f{k} AS (SELECT w.* REPLACE (w.proof || {left} || {right} AS proof,
+                CASE WHEN run IS NULL THEN w.folded ELSE sha256({left} || w.folded || {right}) END AS folded)
+              FROM {before} w LEFT JOIN {name}r{k} r ON r.tree = w.{tree} AND r.pos = {pos} // {16 ** (k + 1)})""")
+            before = f"{name}f{k}"
+        return ", ".join(steps)
+
+    return f"""
+WITH b AS (SELECT *, list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: list_transform(range(8), lambda k: ((ascii(c) >> k) & 1)::BIGINT)))),
+      lambda s, x: xor(s >> 1, (xor(s, x) & 1) * 3988292384)) AS state FROM documents),
+  t AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND xor(state, 4294967295) % 5 = 0
+      THEN translate(text, '{merkle.UPPER}', '{merkle.LOWER}') ELSE text END AS other FROM b),
+  d AS (SELECT doc_id, source, sha256({rest} || {coded("text")}) AS leaf, sha256({rest} || {coded("other")}) AS folded FROM t),
+  s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM d)),
+  m AS (SELECT d.*, s.tree, row_number() OVER (PARTITION BY s.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, '' AS proof, 0 AS top
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+  own0 AS (SELECT tree, pos, leaf AS h FROM m), {climb("own")},
+  top0 AS (SELECT 0 AS tree, tree AS pos, h FROM own_root), {climb("top")},
+  {fold("own", "m", "tree", "w.pos")}, {fold("top", f"ownf{deep - 1}", "top", "w.tree")}
+SELECT doc_id, leaf, o.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM topf{deep - 1} w JOIN own_root o ON o.tree = w.tree CROSS JOIN top_root t"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered_in_fold()))
