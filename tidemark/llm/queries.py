@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact, jaccard, licenses, lines, merkle, packing, quality, substring, toxicity
+from tidemark.llm import ann, bpe, exact, jaccard, language, lexical, licenses, lines, merkle, packing, quality, substring, toxicity
 from tidemark.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,37 @@ FROM topf{deep - 1} w JOIN own_root o ON o.tree = w.tree CROSS JOIN top_root t""
 @query("op11_merkle_manifest", _merkle_sql())
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered_in_fold()))
+
+
+_LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+      regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.PATTERN}') AS ts FROM documents),
+  s AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS occurrences FROM d),
+  f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.PATTERN}')) AS term FROM benchmark),
+  c AS (SELECT item_id, r, doc_id,
+      sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // occurrences))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM c WHERE score > 0)
+WHERE rank <= 10"""
+
+
+@query("op13_lexical_search", _LEXICAL)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    """Whether a row is kept from learning; a null id has no fold and is never learned from."""
+    return F.coalesce(fold(modulus) == rest, F.lit(True))
+
+
+@query("op12_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out(5, 0)), Scratch(spark, "language"))
+    return language.predict(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
