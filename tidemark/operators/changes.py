@@ -99,25 +99,64 @@ def fetch_contract_failures(docs: DataFrame, complete: bool) -> DataFrame:
     return reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", "path")
 
 
-def stability_failures(first: DataFrame, second: DataFrame) -> DataFrame:
-    """A10/L2: documents that two evaluations of one normaliser disagree on.
+#: Parts that two evaluations are compared in before any document is.
+STABILITY_BUCKETS = 256
+
+
+def _print_of(df: DataFrame) -> DataFrame:
+    """What two evaluations must agree on; the hash leaves `grounded_by` out."""
+    return df.select(
+        "doc_id", "content_hash", F.array_join(F.array_sort("grounded_by"), "\n").alias("grounding")
+    )
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(STABILITY_BUCKETS))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(bucket, n, low, high): a 128-bit multiset fingerprint of each bucket of documents.
+
+    Sums of two hashes don't depend on order or partitioning, so tasks add up their own rows and
+    at most `STABILITY_BUCKETS` rows a task are shuffled.
+    """
+
+    def total(*seed: Column) -> Column:
+        return F.sum(F.xxhash64("doc_id", "content_hash", "grounding", *seed).cast("decimal(20,0)"))
+
+    rows = _print_of(docs).withColumn("bucket", _bucket())
+    return rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), total().alias("low"), total(F.lit("high")).alias("high")
+    )
+
+
+def unstable_buckets(first: DataFrame, second: DataFrame) -> DataFrame:
+    """A10/L2: buckets whose fingerprints differ between two evaluations of one normaliser.
 
     Both must be built from separate reads: a cached or shared input would compare one
-    result with itself. `grounded_by` is compared beside the hash because the hash
-    leaves it out. One shuffle of ids and digests, no text.
+    result with itself.
     """
+    a, b = (fingerprints(df).select("bucket", F.struct("n", "low", "high").alias(name)) for df, name in ((first, "a"), (second, "b")))
+    return a.join(b, "bucket", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket")
 
-    def fingerprint(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(
-            "doc_id",
-            "content_hash",
-            F.array_join(F.array_sort("grounded_by"), "\n").alias("grounding"),
-            F.lit(sign).alias("sign"),
-        )
+
+def stability_failures(first: DataFrame, second: DataFrame, odd: DataFrame | None = None) -> DataFrame:
+    """A10/L2: documents that two evaluations of one normaliser disagree on.
+
+    Only documents of buckets whose fingerprints differ are compared one by one; a stable
+    normaliser shuffles no id. `odd` has those buckets where they are known.
+    """
+    if odd is None:
+        odd = unstable_buckets(first, second)
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        rows = _print_of(df).withColumn("bucket", _bucket())
+        # at most STABILITY_BUCKETS rows
+        return rows.join(F.broadcast(odd), "bucket", "left_semi").withColumn("sign", F.lit(sign))
 
     return (
-        fingerprint(first, 1)
-        .unionByName(fingerprint(second, -1))
+        side(first, 1)
+        .unionByName(side(second, -1))
         .groupBy("doc_id", "content_hash", "grounding")
         .agg(F.sum("sign").alias("balance"))
         .where(F.col("balance") != 0)

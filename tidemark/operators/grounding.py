@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions import identity
-from tidemark.operators.joins import skew_safe_join
-from tidemark.schema import LINEAGE, SUBJECT_MAP
+from tidemark.operators.joins import BROADCAST_ROWS, guarded_broadcast, skew_safe_join
 
 # Wording of resolution notes and of map problems.
 NOT_FOUND = " names no document here and is left out"
@@ -144,12 +143,14 @@ def resolution_notes(
 def resolve(
     owners: DataFrame,
     subject_map: DataFrame | None,
-    targets: DataFrame,
+    targets: DataFrame | Callable[[DataFrame], DataFrame],
     max_docs: int | None = None,
     settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """U1 then J4 then W1 then W2: (kept rows, notes).
 
+    `targets` may be a function of the declarations, for a caller that knows where their ids lie.
+
     Declarations, lookup and citable rows are each read more than once; `settle` writes
     them out, so that the join behind them runs once and the first can be counted.
     """
@@ -158,6 +159,8 @@ def resolve(
         declared = settle(declared)
         rows = declared.count()
     keep = settle or (lambda df: df)
+    if callable(targets):
+        targets = targets(declared)
     lookup = keep(looked_up(declared, targets, rows))
     cited = keep(citable(lookup, owners))
     kept = capped(cited, max_docs)
@@ -254,6 +257,150 @@ def scan_needed(grounds: bool, subject_map: DataFrame | None, docs: DataFrame, l
     return not lineage.isEmpty()
 
 
+# ---------------------------------------------------------------- reverse lineage
+
+
+def movements(docs: DataFrame, mirror: DataFrame, fetched: int | None = None) -> DataFrame:
+    """Fetched documents that look different to their owners or have other declarations than the mirror's copy.
+
+    (doc_id, deleted, target, owner). `target`: whoever cites it gets another hash, another
+    resource or none. `owner`: it is there as before but cites others, or is another resource itself.
+    """
+    own = F.array_sort(F.array_distinct("grounded_by"))
+    was = mirror.select(
+        "doc_id", F.struct("content_hash", "url").alias("was_cited"), F.struct("url", own.alias("ids")).alias("was_citing")
+    )
+    was = was.join(guarded_broadcast(docs.select("doc_id").distinct(), fetched), "doc_id", "left_semi")
+    now = docs.select(
+        "doc_id", "deleted", F.struct("content_hash", "url").alias("cited"), F.struct("url", own.alias("ids")).alias("citing")
+    )
+    there = F.col("was_cited").isNotNull()
+    # url may be NULL on either side: structs are compared null-safely
+    other = ~F.col("cited").eqNullSafe(F.col("was_cited"))
+    moved = F.when(F.col("deleted"), there).otherwise(~there | other)
+    edited = ~F.col("deleted") & there & ~F.col("citing").eqNullSafe(F.col("was_citing"))
+    joined = now.join(was, "doc_id", "left").select("doc_id", "deleted", moved.alias("target"), edited.alias("owner"))
+    return joined.where("target or owner")
+
+
+def citing(cited: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """Owners, as `doc_id`, that declare one of these ids. Few ids filter the inverse in place."""
+    wanted = ids.select(F.col("doc_id").alias("grounding_id"))
+    if rows is not None and rows <= BROADCAST_ROWS:
+        hit = cited.join(F.broadcast(wanted), "grounding_id", "left_semi")
+    else:
+        hit = skew_safe_join(cited, wanted, "grounding_id", "left_semi", ["owner_id"])
+    return hit.select(F.col("owner_id").alias("doc_id")).distinct()
+
+
+def _balance(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Edges (owner_id, grounding_id) of one side only: sign 1 for new ones, -1 for those gone."""
+    pair = ["owner_id", "grounding_id"]
+    both = before.select(*pair, F.lit(-1).alias("sign")).unionByName(after.select(*pair, F.lit(1).alias("sign")))
+    return both.distinct().groupBy(*pair).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+
+
+def map_moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Owners, as `doc_id`, whose rows in the operator's map are others than before."""
+    return _balance(before, after).select(F.col("owner_id").alias("doc_id")).distinct()
+
+
+def declarations(owners: DataFrame, subject_map: DataFrame | None) -> DataFrame:
+    """(owner_id, declared): all ids that each owner declares, none as an empty array."""
+    said = declared_ids(owners, subject_map).groupBy("owner_id").agg(
+        F.array_sort(F.collect_set("grounding_id")).alias("declared")
+    )
+    none = F.array().cast("array<string>")
+    return (
+        owners.select(F.col("doc_id").alias("owner_id")).distinct()
+        .join(said, "owner_id", "left")
+        .select("owner_id", F.coalesce("declared", none).alias("declared"))
+    )
+
+
+def tracking_news(decisions: DataFrame, declared: DataFrame | None, removed: DataFrame) -> DataFrame:
+    """(owner_id, decided, recorded, declared) of each owner this run decided or looked at.
+
+    `decided` marks a lineage decision, whose NULL map means delete. A NULL `declared` leaves the
+    old declarations; a removed owner has none.
+    """
+    none = F.array().cast("array<string>")
+    gone = removed.select(F.col("doc_id").alias("owner_id"), none.alias("declared"))
+    read = gone if declared is None else declared.join(gone, "owner_id", "left_anti").unionByName(gone)
+    made = decisions.select("owner_id", "recorded", F.lit(True).alias("made"))
+    return made.join(read, "owner_id", "full_outer").select(
+        "owner_id", F.coalesce("made", F.lit(False)).alias("decided"), "recorded", "declared"
+    )
+
+
+def _touched(before: DataFrame, news: DataFrame, rows: int | None) -> DataFrame:
+    """Old rows of the owners in `news`, beside them."""
+    ids = guarded_broadcast(news.select("owner_id"), rows)
+    old = before.join(ids, "owner_id", "left_semi").select(
+        "owner_id", F.col("recorded").alias("was_recorded"), F.col("declared").alias("was_declared")
+    )
+    none = F.array().cast("array<string>")
+    return news.join(old, "owner_id", "left").select(
+        "owner_id",
+        F.when(F.col("decided"), F.col("recorded")).otherwise(F.col("was_recorded")).alias("recorded"),
+        F.coalesce("declared", "was_declared", none).alias("declared"),
+        F.coalesce("was_declared", none).alias("was_declared"),
+    )
+
+
+def advance_tracked(before: DataFrame, news: DataFrame, rows: int | None = None) -> DataFrame:
+    """K2: stored lineage with this run's news; rows with nothing recorded and nothing declared go.
+
+    With few news the stored rows are filtered in place and not shuffled.
+    """
+    kept = before.join(guarded_broadcast(news.select("owner_id"), rows), "owner_id", "left_anti")
+    now = _touched(before, news, rows).select("owner_id", "recorded", "declared")
+    return kept.unionByName(now.where(F.col("recorded").isNotNull() | (F.size("declared") > 0)))
+
+
+def edge_moves(before: DataFrame, news: DataFrame, rows: int | None = None) -> DataFrame:
+    """Declared edges that this run's news adds (sign 1) or takes away (sign -1)."""
+    both = _touched(before, news, rows)
+    return _balance(
+        both.select("owner_id", F.explode("was_declared").alias("grounding_id")),
+        both.select("owner_id", F.explode("declared").alias("grounding_id")),
+    )
+
+
+def advance_cited(before: DataFrame, moves: DataFrame, rows: int | None = None) -> DataFrame:
+    """The inverse with these moves; edges that stay are not shuffled where moves are few."""
+    pair = ["grounding_id", "owner_id"]
+    gone = guarded_broadcast(moves.where("sign < 0").select(*pair), rows)
+    return before.join(gone, pair, "left_anti").unionByName(moves.where("sign > 0").select(*pair)).distinct()
+
+
+def doubtful(
+    suspects: DataFrame,
+    cited: DataFrame,
+    moved: DataFrame,
+    systems: DataFrame,
+    map_owners: DataFrame | None = None,
+    moved_rows: int | None = None,
+) -> DataFrame:
+    """Owners whose grounding may differ from what was recorded; all others can't have drifted.
+
+    Those left over from earlier runs, those that declare an id that moves in this run, those whose
+    own declarations move, and those with other rows in the operator's map. The ids come from the
+    inverse of the declarations, so that settled documents are not read.
+    """
+    parts = [
+        suspects.select("doc_id"),
+        citing(cited, moved.where("target and not deleted"), moved_rows),
+        moved.where("owner").select("doc_id"),
+    ]
+    if map_owners is not None:
+        parts.append(map_owners)
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    return found.join(
+        F.broadcast(systems), identity.system_of(F.col("doc_id")) == F.col("system"), "left_semi"
+    )
+
+
 def next_hops(lineage: DataFrame, published: DataFrame) -> DataFrame:
     """Owners to revisit, by system, after some documents were published."""
     cited = lineage.select("owner_id", F.explode(F.map_keys("recorded")).alias("doc_id"))
@@ -263,11 +410,3 @@ def next_hops(lineage: DataFrame, published: DataFrame) -> DataFrame:
         .groupBy(identity.system_of(F.col("owner_id")).alias("system"))
         .agg(F.count(F.lit(1)).alias("owners"))
     )
-
-
-def empty_lineage(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], LINEAGE)
-
-
-def empty_subject_map(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], SUBJECT_MAP)

@@ -6,9 +6,10 @@ import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes as ch
@@ -16,7 +17,8 @@ from tidemark.operators import concepts as cn
 from tidemark.operators import grounding as gr
 from tidemark.operators import laws, prose, scope
 from tidemark.operators.joins import guarded_broadcast
-from tidemark.plans.state import ConcurrentRunError, Cursor, State, new_run_id
+from tidemark.plans.state import ConcurrentRunError, Cursor, State, Version, new_run_id
+from tidemark.schema import SUBJECT_MAP
 
 SAMPLE = 20  # failures shown in an outcome; the whole table stays on disk
 
@@ -49,8 +51,8 @@ class MapError(ConfigError, _WithTable):
     """The operator's subject map has rows of the wrong shape."""
 
 
-class StabilityError(RuntimeError):
-    """A normaliser gave two results for one input."""
+class StabilityError(_WithTable):
+    """A normaliser gave two results for one input; the table names the documents."""
 
 
 class GeneratorError(_WithTable):
@@ -174,14 +176,25 @@ def run(
     state = State(spark, state_root)
     version = state.current()
 
-    def staged(name: str, df: DataFrame) -> DataFrame:
-        folder = state.write(f"staging/run={attempt}/{name}", df)
+    facts: dict[str, dict] = {}
+
+    def staged(name: str, df: DataFrame, **more: Column) -> DataFrame:
+        """Write a stage and read it back; its rows are counted by the write itself."""
+        seen = Observation()
+        rows = F.count(F.lit(1)).alias("rows")
+        folder = state.write(
+            f"staging/run={attempt}/{name}", df.observe(seen, rows, *(c.alias(n) for n, c in more.items()))
+        )
+        facts[name] = seen.get
         return spark.read.schema(df.schema).parquet(f"{state.root}/{folder}")
 
+    def rows_of(name: str) -> int:
+        return facts[name]["rows"]
+
     def refuse(name: str, failures: DataFrame, column: str, error: type[_WithTable]) -> None:
         """Raise when there are failures; all of them stay in a table."""
         found = staged(name, failures)
-        total = found.count()
+        total = rows_of(name)
         if total:
             shown = [r[0] for r in found.select(column).orderBy(column).limit(SAMPLE).collect()]
             table = f"{state.root}/staging/run={attempt}/{name}"
@@ -208,26 +221,32 @@ def run(
         again = source.normalize(spark.read.schema(records.schema).parquet(
             f"{state.root}/staging/run={attempt}/records"
         ))
-        if not ch.stability_failures(docs, again).isEmpty():
-            raise StabilityError("normalize is not deterministic over identical input")
+        odd = staged("unstable_buckets", ch.unstable_buckets(docs, again))
+        if rows_of("unstable_buckets"):
+            names = ch.stability_failures(docs, again, odd)
+            refuse("unstable", names, "doc_id", StabilityError)
+            raise StabilityError("normalize gave other rows each time it was asked")
     refuse("fetch_failures", ch.fetch_contract_failures(docs, fetch.complete), "message", FetchContractError)
     clock.mark("fetch_laws")
 
     # one name and a few folders for each system; the documents never come here
-    fetched_systems = sorted(r.system for r in ch.run_systems(docs).collect())
+    per_system = {r["system"]: r["count"] for r in docs.groupBy("system").count().collect()}
+    fetched_systems = sorted(per_system)
     # a fallback and never a union: a source that moved on must not scan its old systems
     system_names = fetched_systems or sorted(cursor.systems if cursor else [])
     systems = spark.createDataFrame([(s,) for s in system_names], "system string")
 
-    fetched = docs.count()
+    fetched = rows_of("docs")
+    kinds = (ch.ADDED, ch.MODIFIED, ch.REMOVED, ch.UNCHANGED)
     # a document of one system can only sit in that system's folder
-    changes = staged("changes", ch.diff(docs, state.mirror(version, fetched_systems), fetched))
-    tally = {r.kind: r.n for r in ch.change_counts(changes).collect()}
-    counts = {k: tally.get(k, 0) for k in (ch.ADDED, ch.MODIFIED, ch.REMOVED, ch.UNCHANGED)}
+    found = ch.diff(docs, state.mirror(version, fetched_systems), fetched)
+    changes = staged("changes", found, **{k: F.count_if(F.col("kind") == k) for k in kinds})
+    counts = {k: facts["changes"][k] for k in kinds}
     is_noop = counts[ch.ADDED] + counts[ch.MODIFIED] + counts[ch.REMOVED] == 0
-    lineage = state.lineage(version)
-    scan = gr.scan_needed(generator.grounds, subject_map, docs, lineage)
+    scan = gr.scan_needed(generator.grounds, subject_map, docs, state.lineage(version))
+    tracking = scan or state.tracks(version)
     clock.mark("diff", **counts)
+
     def ended(outcome: str, failures: int = 0) -> None:
         state.write_outcome(
             attempt, (run_id, source.name, outcome, *counts.values(), failures, dict(clock.ms))
@@ -243,17 +262,48 @@ def run(
     # identities of every system; each reader prunes it to the few columns it needs
     targets = ch.overlay(_light(mirror), light_docs, fetched)
 
-    drift = None
+    def cited_documents(declared: DataFrame) -> DataFrame:
+        """Overlay of the buckets that declared ids lie in."""
+        ids = declared.select(F.col("grounding_id").alias("doc_id"))
+        return ch.overlay(_light(state.holding(version, "mirror", ids, "doc_id")), light_docs, fetched)
+
+    moved = drift = candidates = None
+    known_map = own_map = None
+    if tracking:
+        moved = staged("moved", gr.movements(docs, state.mirror(version, fetched_systems), fetched))
     if scan:
-        candidates = staged(
-            "candidates", scope.drift_candidates(own_mirror, docs, systems, changes, fetched)
-        )
-        kept_now, _ = gr.resolve(
-            candidates, subject_map, targets, max_grounding_docs, staging("drift")
-        )
-        drift = staged("drift", gr.drifted(candidates, lineage, kept_now))
+        none = spark.createDataFrame([], SUBJECT_MAP)
+        named = none if subject_map is None else subject_map.where(F.col("grounding_id").isNotNull())
+        of_ours = gr.identity.system_of(F.col("owner_id")) == F.col("system")
+        own_map = staged("map", named.select(*SUBJECT_MAP.fieldNames()).join(F.broadcast(systems), of_ours, "left_semi").distinct())
+        known_map = state.scanned_map(version, system_names, max_grounding_docs)
+        pool = own_mirror
+        if known_map is not None:
+            # only what may have drifted is looked at; a first scan looks at everything
+            moves = staged("map_moves", gr.map_moves(known_map, own_map))
+            targeted = moved.where("target and not deleted").select("doc_id")
+            asked = staged(
+                "asked",
+                gr.doubtful(
+                    state.suspects(version, system_names),
+                    state.holding(version, "cited", targeted.select(F.col("doc_id").alias("grounding_id")), "grounding_id"),
+                    moved, systems, moves, rows_of("moved"),
+                ),
+            )
+            pool = state.holding(version, "mirror", asked, "doc_id").join(
+                guarded_broadcast(asked, rows_of("asked")), "doc_id", "left_semi"
+            )
+        candidates = staged("candidates", scope.drift_candidates(pool, docs, systems, changes, fetched))
+        if rows_of("candidates"):
+            kept_now, _ = gr.resolve(
+                candidates, subject_map, cited_documents, max_grounding_docs, staging("drift")
+            )
+            recorded = state.lineage(version, system_names)
+            if known_map is not None:
+                recorded = state.holding(version, "lineage", candidates.select(F.col("doc_id").alias("owner_id")), "owner_id")
+            drift = staged("drift", gr.drifted(candidates, recorded, kept_now))
     clock.mark("drift")
-    if is_noop and (drift is None or drift.isEmpty()):
+    if is_noop and (drift is None or not rows_of("drift")):
         ended("no-op")
         return NoOp(clock.ms)
 
@@ -261,7 +311,7 @@ def run(
     if counts[ch.REMOVED]:
         referring = staged("referrers", scope.referrers(own_mirror, systems, changes, counts[ch.REMOVED], fetched))
     work = staged("work", scope.work_list(changes, drift, referring))
-    n_work = work.count()
+    n_work = rows_of("work")
 
     def pick(df: DataFrame, origins: list[int]) -> DataFrame:
         ids = work.where(F.col("origin").isin(origins)).select("doc_id")
@@ -283,7 +333,7 @@ def run(
 
     def abort(name: str, failures: DataFrame) -> Aborted | None:
         found = staged(name, failures)
-        total = found.count()
+        total = rows_of(name)
         if not total:
             return None
         ended("aborted", total)
@@ -306,7 +356,7 @@ def run(
     notes: list[DataFrame] = []
     if generator.grounds:
         kept_df, resolve_notes = gr.resolve(
-            items, subject_map, targets, max_grounding_docs, staging("resolve")
+            items, subject_map, cited_documents, max_grounding_docs, staging("resolve")
         )
         kept = staged("kept", kept_df)
         declared = gr.declared_ids(items, subject_map)
@@ -316,7 +366,7 @@ def run(
         blocks = None
         if kept is not None:
             wanted = guarded_broadcast(
-                kept.select(F.col("grounding_id").alias("doc_id")).distinct(), kept.count()
+                kept.select(F.col("grounding_id").alias("doc_id")).distinct(), rows_of("kept")
             )
             texts = ch.overlay(
                 mirror.select("doc_id", "text", "deleted"), docs.select("doc_id", "text", "deleted"), fetched
@@ -334,11 +384,11 @@ def run(
         body = None
 
     # only the targets of this run's links are asked about
-    links = cn.link_targets(items)
-    n_links = links.count()
-    asked = staged("link_targets", links.distinct())
+    links = cn.link_targets(items).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    asked_paths = staged("link_targets", links, links=F.sum("n")).select("path")
+    n_links = facts["link_targets"]["links"] or 0
     existing = staged(
-        "existing", ch.known_paths(own_mirror, docs, systems, changes, asked, n_links)
+        "existing", ch.known_paths(own_mirror, docs, systems, changes, asked_paths, n_links)
     )
     assembled = staged(
         "assembled",
@@ -364,18 +414,46 @@ def run(
     url = publisher.publish(proposal, publish_config)
     clock.mark("publish")
 
-    tables = (
-        state.write_mirror(version, attempt, docs, fetched_systems, fetched)
-        if fetched_systems
-        else dict(version.tables)
-    )
-    decisions = gr.lineage_decisions(work, files, declared, kept, ch.removed_ids(changes))
-    tables["lineage"] = state.write_lineage(version, attempt, decisions)
+    tables, rows, plan = state.write_mirror(version, attempt, docs, per_system, fetched)
+    if tracking:
+        removed_now = ch.removed_ids(changes)
+        decisions = gr.lineage_decisions(work, files, declared, kept, removed_now)
+        looked_at = None
+        if scan:
+            light_items = items.select("doc_id", "grounded_by")
+            seen = candidates.select("doc_id", "grounded_by").join(light_items, "doc_id", "left_anti").unionByName(light_items)
+            looked_at = gr.declarations(seen, subject_map)
+        news = staged("tracking", gr.tracking_news(decisions, looked_at, removed_now))
+
+        def settle(name: str, df: DataFrame) -> tuple[DataFrame, int]:
+            return staged(name, df), rows_of(name)
+
+        state.write_tracked(version, attempt, tables, rows, plan, news, rows_of("tracking"), settle)
+        # a tombstoned target keeps its copy in this run's overlay: its owners are for the next one
+        outside = ~F.col("system").isin(system_names) if scan else F.lit(True)
+        hits = gr.citing(
+            state.holding(Version(0, tables), "cited", moved.select(F.col("doc_id").alias("grounding_id")), "grounding_id"),
+            moved.where("target"), rows_of("moved"),
+        ).withColumn("system", gr.identity.system_of(F.col("doc_id"))).where(outside).select("doc_id")
+        later = [hits]
+        if scan:
+            later.append(gr.citing(
+                state.holding(Version(0, tables), "cited", removed_now.select(F.col("doc_id").alias("grounding_id")), "grounding_id"),
+                removed_now, counts[ch.REMOVED],
+            ))
+            later.append(work.select("doc_id").join(decisions.select(F.col("owner_id").alias("doc_id")), "doc_id", "left_anti"))
+        else:
+            later += [moved.where("owner").select("doc_id"), work.select("doc_id")]
+        fresh = staged("suspects", reduce(DataFrame.unionByName, later).distinct())
+        if rows_of("suspects") or scan:
+            state.write_suspects(version, attempt, tables, fresh, system_names if scan else [])
+        if scan and (known_map is None or rows_of("map_moves")):
+            state.write_scan(attempt, tables, system_names, max_grounding_docs, own_map)
     tables["cursors"] = state.write_cursor(
         version, attempt, source.name, config, fetch.payload, system_names
     )
     clock.mark("advance")
     row = (run_id, source.name, "published", *counts.values(), 0, dict(clock.ms))
     tables["runs"] = state.write_run(version, attempt, row)
-    committed = state.commit(version, tables)
+    committed = state.commit(version, tables, rows)
     return Published(url, committed.number, counts, clock.ms)

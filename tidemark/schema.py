@@ -39,6 +39,15 @@ LINEAGE = T.StructType(
     ]
 )
 
+# Lineage as stored: NULL `recorded` is an owner that was looked at and never rebuilt with grounding.
+TRACKED = T.StructType([*LINEAGE.fields, T.StructField("declared", STRINGS)])
+
+CITED = T.StructType(
+    [T.StructField("grounding_id", T.StringType()), T.StructField("owner_id", T.StringType())]
+)
+
+SUSPECTS = T.StructType([T.StructField("doc_id", T.StringType())])
+
 CURSORS = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -85,7 +94,3 @@ def failure(path: Column | str, law: str, message: Column | str) -> list[Column]
 
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
-
-
-def empty(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)

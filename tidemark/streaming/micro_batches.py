@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.run import Fetch, Published, Publisher, Source, run
+from tidemark.plans.run import Fetch, Publisher, Source, run
 from tidemark.plans.state import Cursor, State
 
 
@@ -115,7 +115,3 @@ def run_drift(
         spark, _Nothing(source, empty_records), publisher,
         config=config, state_root=state_root, **options,
     )
-
-
-def was_published(outcome: object) -> bool:
-    return isinstance(outcome, Published)
