@@ -159,6 +159,23 @@ def stability(spark, sf_dir):
     return ch.stability_failures(*twice)
 
 
+@query(
+    "A10_unstable_documents",
+    f"""WITH {corpus.SQL_BASE} SELECT did AS doc_id FROM base
+    WHERE n % 37 = 0 OR n % 41 = 0 OR n % 43 = 0 OR n % 47 = 0""",
+)
+def unstable_documents(spark, sf_dir):
+    """A10: a normaliser whose second answer has other texts, other grounding, fewer and repeated rows."""
+    n = F.col("n")
+    rows = corpus.base.__wrapped__(spark, sf_dir)
+    second = rows.withColumn("text", F.when(n % 37 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")))
+    second = second.withColumn(
+        "grounded_by", F.when(n % 41 == 0, F.array(F.lit("ghost:x"))).otherwise(F.col("grounded_by"))
+    ).where(n % 43 != 0)
+    second = second.unionByName(second.where(n % 47 == 0))
+    return ch.stability_failures(ch.canonical_documents(rows), ch.canonical_documents(second.repartition(5, "title")))
+
+
 @query(
     "P1_text_canonical",
     r"""SELECT doc_id,

@@ -253,6 +253,43 @@ def drift(spark, sf_dir):
     return _drift(*_parts(spark, sf_dir))
 
 
+def _doubtful(st):
+    """Owners to look at again, from the inverse of what the mirror's documents declare.
+
+    The recorded lineage has none for multiples of 15 and stale hashes for those of 40: such owners
+    are what an earlier run left over. All others can only have drifted by what this fetch moves.
+    """
+    n = F.regexp_extract("doc_id", r"docs/(\d+)\.md", 1).cast("bigint")
+    cited = settled(gr.declared_ids(st.was, None).select("grounding_id", "owner_id"))
+    left_over = st.was.select("doc_id").where((n % 15 == 0) | (n % 40 == 0))
+    moved = settled(gr.movements(st.docs, st.was))
+    return settled(gr.doubtful(left_over, cited, moved, settled(st.systems)))
+
+
+@query("J5_reverse_drift", with_states("SELECT did AS doc_id FROM drift", *_DRIFT_CTES))
+def reverse_drift(spark, sf_dir):
+    """J5 and U4 over the owners of ids that changed, which gives what the scan of all gives."""
+    st, changes = _parts(spark, sf_dir)
+    pool = st.was.join(_doubtful(st), "doc_id", "left_semi")
+    candidates = settled(scope.drift_candidates(pool, st.docs, st.systems, changes))
+    kept = gr.resolve(candidates, None, st.targets, settle=settled)[0]
+    return gr.drifted(candidates, st.recorded, kept)
+
+
+@query(
+    "J5_doubtful_owners",
+    with_states(
+        """SELECT did AS doc_id FROM mirror WHERE system IN (SELECT system FROM fetched) AND (n % 15 = 0 OR n % 40 = 0)
+        UNION SELECT m.did FROM mirror m, unnest(m.grounded_by) AS u(gid)
+          WHERE m.system IN (SELECT system FROM fetched)
+            AND gid IN (SELECT did FROM changes WHERE kind IN ('added', 'modified'))"""
+    ),
+)
+def doubtful_owners(spark, sf_dir):
+    """What the inverse of declarations answers: owners that this fetch can have moved."""
+    return _doubtful(corpus.states(spark, sf_dir))
+
+
 @query(
     "U4_set_drift",
     with_states(

@@ -215,7 +215,7 @@ def run(
     if fetch.rejects is not None:
         staged("rejects", fetch.rejects)
     docs = staged("docs", source.normalize(records))
-    clock.mark("fetch")
+    clock.mark("fetch", rows=rows_of("docs"))
 
     if check_stability:
         again = source.normalize(spark.read.schema(records.schema).parquet(
@@ -302,7 +302,8 @@ def run(
             if known_map is not None:
                 recorded = state.holding(version, "lineage", candidates.select(F.col("doc_id").alias("owner_id")), "owner_id")
             drift = staged("drift", gr.drifted(candidates, recorded, kept_now))
-    clock.mark("drift")
+    looked = rows_of("candidates") if candidates is not None else 0
+    clock.mark("drift", candidates=looked, drifted=rows_of("drift") if drift is not None else 0)
     if is_noop and (drift is None or not rows_of("drift")):
         ended("no-op")
         return NoOp(clock.ms)
@@ -398,7 +399,7 @@ def run(
     removed = ch.removed_paths(changes)
     notes += scope.explanatory_notes(drift, referring, files)
     summary = staged("summary", cn.summary(changes, notes))
-    clock.mark("assemble")
+    clock.mark("assemble", files=rows_of("assembled"), links=n_links)
 
     stop = abort("failures", laws.gate(files, concepts, removed, existing, extra_laws, n_links))
     if stop:
