@@ -72,21 +72,24 @@ def band(n, percent: int):
 
 
 def star_pairs(listed: DataFrame) -> DataFrame:
-    """``(a, b)``: each node of ``listed (token, band, node)`` with hubs of its tokens and band.
+    """``(a, b)``: each node of ``listed (token, band, node[, strength])`` with hubs of its tokens and band.
 
-    A hub is the least node of a token and band; of a node's hubs the ``HUBS`` least are taken, so
-    that members of one family meet in the same ones. Hubs of neighbouring bands are paired alike.
-    The pairs are at most a few for each node.
+    A hub is the strongest node of a token and band, the least one of equals; of a node's hubs the
+    ``HUBS`` strongest are taken, so that members of one family meet in the same ones. Hubs of
+    neighbouring bands are paired alike. The pairs are at most a few for each node.
     """
+    strength = F.col("strength") if "strength" in listed.columns else F.lit(0).cast("long")
+    listed = listed.select("token", "band", "node", strength.alias("strength"))
 
     def few(pairs: DataFrame) -> DataFrame:
-        own = pairs.where("a <> b").groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, HUBS).alias("a"))
-        return own.select(F.explode("a").alias("a"), "b")
-
-    hubs = listed.groupBy("token", "band").agg(F.min("node").alias("hub"))
-    own = listed.join(hubs, ["token", "band"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    above = hubs.select("token", (F.col("band") + 1).alias("band"), F.col("hub").alias("a"))
-    across = hubs.join(above, ["token", "band"]).select("a", F.col("hub").alias("b"))
+        own = pairs.where("hub.node <> b").groupBy("b").agg(F.slice(F.array_sort(F.collect_set("hub")), 1, HUBS).alias("hubs"))
+        return own.select(F.explode("hubs.node").alias("a"), "b")
+
+    rank = F.struct((-F.col("strength")).alias("weakness"), "node")
+    hubs = listed.groupBy("token", "band").agg(F.min(rank).alias("hub"))
+    own = listed.join(hubs, ["token", "band"]).select("hub", F.col("node").alias("b"))
+    above = hubs.select("token", (F.col("band") + 1).alias("band"), F.col("hub").alias("lower"))
+    across = hubs.join(above, ["token", "band"]).select(F.col("lower").alias("hub"), F.col("hub.node").alias("b"))
     return ordered(few(own).union(few(across)))
 
 

@@ -18,8 +18,9 @@ from tidemark.llm.components import band, components, cross_pairs, ordered, star
 #: corpus grows, until it has as much as a task may hold (64 MB).
 ORDER_BITS = (16, 24)
 CELL_BYTES = 256
-#: Longs of a prefix's bit marks.
+#: Longs of a prefix's bit marks, and of the bit marks of a whole set.
 MARKS = 2
+SKETCH = 8
 #: Cells of the filter that picks documents whose sets are needed. A join drops what it lets through.
 PICK_BITS = 22
 
@@ -70,47 +71,59 @@ def similar_documents(
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     rows = texts(docs)
     sets = scratch.settle(_prefixes(rows, size, percent))
+    listed = scratch.settle(sets.select("doc_id", "n", "set_key"))
     classes = scratch.settle(
         sets.where("n > 0 and doc_id is not null")
         .groupBy("set_key", "n")
-        .agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
+        .agg(F.min("doc_id").alias("cid"), *(F.first(c).alias(c) for c in ("prefix", "marks", "sketch")))
     )
+    scratch.discard(sets)
     # a document listed with several texts is one node: its classes are told apart by set_key
     members = scratch.settle(
         classes.join(
             classes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.count("*").alias("size")), ["n", "prefix"]
         )
     )
-    heads = members.where("cid = gid").select("gid", "n", "prefix", "size").dropDuplicates(["gid", "n"])
+    scratch.discard(classes)
+    # one id may head several groups of one size: each of its prefixes is posted
+    heads = members.where("cid = gid").select("gid", "n", "prefix", "size").distinct()
     posted = heads.select(
         "gid", "n", F.posexplode("prefix").alias("at", "token"), "size", band(F.col("n"), percent).alias("band")
     )
     # classes of one group meet by the first shingle of their prefix, also where no other group has it
     weight = F.when(F.col("at") == 0, F.col("size")).otherwise(1)
-    posted = posted.select("gid", "n", "token", "band", weight.alias("weight"))
-    shared = posted.groupBy("token").agg(F.sum("weight").alias("c")).where("c > 1").select("token")
+    posted = posted.groupBy("gid", "n", "token", "band").agg(F.sum(weight).alias("weight"))
+    shared = posted.groupBy("token").agg(F.sum("weight").alias("c")).where("c > 1")
     posted = scratch.settle(posted.drop("weight").join(shared, "token"))
+    # the base of a family has its common shingles, a copy of its own has rare ones in their place
+    strength = posted.groupBy("gid", "n").agg(F.sum(F.log2("c")).cast("long").alias("strength"))
+    strong = posted.join(strength, ["gid", "n"]).select("token", "band", F.col("gid").alias("node"), "strength")
 
     inside = members.where("size > 1").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    tried = scratch.settle(ordered(star_pairs(posted.withColumnRenamed("gid", "node")).union(inside)))
-    links = scratch.settle(_verified(_bounded(tried, members, percent), rows, members, size, percent, scratch))
+    tried = scratch.settle(ordered(star_pairs(strong).union(inside)))
+    links = _verified(_bounded(tried, members, percent, scratch), rows, size, percent, scratch)
     found = scratch.settle(components(links, scratch))
-    node = F.col("cid").alias("node")
-    detail = members.select(node, "n", "marks", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
-    listed = posted.join(members.select("gid", "n", node), ["gid", "n"]).select("token", "band", "node")
-    more = cross_pairs(listed, detail.dropDuplicates(["node", "n"]), found, tried, percent, lambda a, b: _room(a, b, percent), scratch)
-    more = scratch.settle(_bounded(more, members, percent))
+    detail = members.select(
+        F.col("cid").alias("node"), "n", "marks", "sketch", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")
+    )
+    nodes = posted.join(members.select("gid", "n", F.col("cid").alias("node")).distinct(), ["gid", "n"]).select("token", "band", "node")
+    more = cross_pairs(nodes, detail.distinct(), found, tried, percent, lambda a, b: _room(a, b, percent), scratch)
+    more = _bounded(scratch.settle(more), members, percent, scratch)
     if not more.isEmpty():
-        links = links.union(_verified(more, rows, members, size, percent, scratch))
+        links = links.union(_verified(more, rows, size, percent, scratch))
         found = scratch.settle(components(links, scratch))
-    named = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
+    named = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
         "set_key", "n", F.coalesce("component", "cid").alias("component")
     )
-    return sets.select("doc_id", "n", "set_key").join(named, ["set_key", "n"], "left").select(
+    out = listed.join(named, ["set_key", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
+    out = scratch.settle(out)
+    for done in (listed, members, posted, tried, links, found):
+        scratch.discard(done)
+    return out
 
 
 def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -128,7 +141,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(np.maximum(0, np.ceil(np.log2(np.maximum(counts / usual, 1)))).astype(np.uint64))
 
     def prefixes(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ns, keys, heads, marks = [], [], [], []
+        ns, keys, heads, marks, sketches = [], [], [], [], []
         for found in shingle_sets(part["text"], size):
             n = len(found)
             ns.append(n)
@@ -142,54 +155,67 @@ def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 heads.append(np.zeros(0, np.int64))
             bit = np.left_shift(np.int64(1), heads[-1] >> 2 & 63)
             marks.append([int(np.bitwise_or.reduce(bit[heads[-1] & (MARKS - 1) == k])) for k in range(MARKS)])
+            spots = np.zeros(64 * SKETCH, np.uint8)
+            spots[(found >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = 1
+            sketches.append(np.packbits(spots).view("<i8"))
         many = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part["doc_id"], pa.array(ns, pa.int64()), binary(keys), pa.array(heads, many), pa.array(marks, many)],
-            ["doc_id", "n", "set_key", "prefix", "marks"],
+            [part["doc_id"], pa.array(ns, pa.int64()), binary(keys), *(pa.array(x, many) for x in (heads, marks, sketches))],
+            ["doc_id", "n", "set_key", "prefix", "marks", "sketch"],
         )
 
-    schema = "doc_id bigint, n bigint, set_key binary, prefix array<bigint>, marks array<bigint>"
+    schema = "doc_id bigint, n bigint, set_key binary, prefix array<bigint>, marks array<bigint>, sketch array<bigint>"
     return rows.mapInArrow(mapper(prefixes), schema)
 
 
 def _room(a, b, percent: int):
-    """Whether two sets may overlap enough, by the marks of their prefixes alone.
+    """Whether two sets may overlap enough, by the marks of their prefixes and of the whole sets.
 
-    A mark of one prefix that the other lacks stands for a shingle, at least, that is not common.
+    A mark of one side that the other lacks stands for a shingle, at least, that is not common.
     """
 
-    def common(x, y):
-        lost = sum(F.bit_count(x("marks")[k].bitwiseAND(F.bitwise_not(y("marks")[k]))) for k in range(MARKS))
-        return x("p") - lost
+    def lost(x, y, name, longs):
+        return sum(F.bit_count(x(name)[k].bitwiseAND(F.bitwise_not(y(name)[k]))) for k in range(longs))
 
+    need = least_overlap(a("n"), b("n"), percent)
+    common = F.least(a("p") - lost(a, b, "marks", MARKS), b("p") - lost(b, a, "marks", MARKS))
     rest = F.when(a("last") <= b("last"), a("n") - a("p")).otherwise(b("n") - b("p"))
-    return F.least(common(a, b), common(b, a)) + rest >= least_overlap(a("n"), b("n"), percent)
+    whole = F.least(a("n") - lost(a, b, "sketch", SKETCH), b("n") - lost(b, a, "sketch", SKETCH))
+    return (common + rest >= need) & (whole >= need)
+
+
+def _sides(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    left = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns)).withColumnRenamed("cid_a", "a")
+    right = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns)).withColumnRenamed("cid_b", "b")
+    return pairs.join(left, "a").join(right, "b")
 
 
-def _bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose prefixes leave room for the overlap.
+def _bounded(pairs: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs whose prefixes leave room for the overlap; marks decide first, so that few prefixes travel.
 
     Let one prefix end no later than the other. A common shingle up to that end is in both; beyond
     it there are at most as many as that set has left.
     """
-    side = members.select("cid", "n", "prefix", "set_key")
-    left = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns)).withColumnRenamed("cid_a", "a")
-    right = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns)).withColumnRenamed("cid_b", "b")
-    both = pairs.join(left, "a").join(right, "b")
+    narrow = members.select("cid", "n", "set_key", "marks", "sketch", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
+    both = _sides(pairs, narrow)
+    room = _room(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), percent)
+    likely = scratch.settle(both.where(room).select("a", "b", "set_key_a", "set_key_b", "n_a", "n_b"))
+    left = members.select(F.col("cid").alias("a"), F.col("set_key").alias("set_key_a"), F.col("prefix").alias("prefix_a"))
+    right = members.select(F.col("cid").alias("b"), F.col("set_key").alias("set_key_b"), F.col("prefix").alias("prefix_b"))
+    both = likely.join(left, ["a", "set_key_a"]).join(right, ["b", "set_key_b"])
     common = F.size(F.array_intersect("prefix_a", "prefix_b"))
     rest = F.when(
         F.element_at("prefix_a", -1) <= F.element_at("prefix_b", -1), F.col("n_a") - F.size("prefix_a")
     ).otherwise(F.col("n_b") - F.size("prefix_b"))
     need = least_overlap(F.col("n_a"), F.col("n_b"), percent)
     room = (F.least("n_a", "n_b") >= need) & (common > 0) & (common + rest >= need)
-    return both.where(room).select("a", "b", "set_key_a", "set_key_b")
+    out = scratch.settle(both.where(room).select("a", "b", "set_key_a", "set_key_b"))
+    scratch.discard(likely)
+    return out
 
 
-def _verified(
-    pairs: DataFrame, rows: DataFrame, members: DataFrame, size: int, percent: int, scratch: Scratch
-) -> DataFrame:
-    """``(a, b)`` of the pairs that link, decided on whole sets."""
-    pairs = scratch.settle(pairs)
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``(a, b)`` of the settled pairs that link, decided on whole sets."""
     needed = scratch.settle(
         pairs.select(F.col("a").alias("doc_id"), F.col("set_key_a").alias("set_key"))
         .union(pairs.select("b", "set_key_b"))
@@ -227,4 +253,7 @@ def _verified(
             keep.append(100 * same >= percent * (len(x) + len(y) - same))
         yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(mapper(linked, "body_a"), "a bigint, b bigint").distinct()
+    out = scratch.settle(both.mapInArrow(mapper(linked, "body_a"), "a bigint, b bigint").distinct())
+    for done in (pairs, needed, bodies):
+        scratch.discard(done)
+    return out
