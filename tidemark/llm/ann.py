@@ -101,7 +101,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, vector)``: finite nonzero vectors as packed doubles; repeated ids keep one row."""
+    """``(vec_id, vector)``: finite nonzero vectors of the usual length as packed doubles."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
 
@@ -113,6 +113,10 @@ def usable(embeddings: DataFrame) -> DataFrame:
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine
     )
+    lengths = rows.groupBy(F.size("v").alias("length")).count()
+    usual = lengths.orderBy(F.col("count").desc(), "length").limit(1).collect()
+    if usual:
+        rows = rows.where(F.size("v") == usual[0]["length"])
     return rows.mapInArrow(packed, "vec_id bigint, vector binary")
 
 
@@ -128,7 +132,7 @@ def search(
     ``recall``; the last resort is every leaf, which is exact.
 
     Vectors that are null, zero or hold null or non-finite components, and null ids, take no part.
-    All vectors have one length. Ties go to the smaller id. A repeated id counts once, with its
+    Vectors of another length than most (of the shorter, at a tie) take none either. Ties go to the smaller id. A repeated id counts once, with its
     smallest vector. Fewer candidates than ``k`` are all returned. An empty table gives no rows.
     """
     spark = embeddings.sparkSession

@@ -58,6 +58,11 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def held_out(modulus: int, rest: int) -> Column:
+    """Whether a row is kept from learning; a null id has no fold and is never learned from."""
+    return F.coalesce(fold(modulus) == rest, F.lit(True))
+
+
 @query("op7_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -65,7 +70,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs.select("doc_id", "text"), rules)
     return scored.select(
         "doc_id",
-        (fold(5) == 0).alias("held_out"),
+        held_out(5, 0).alias("held_out"),
         "score",
         (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
     )
@@ -77,7 +82,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(fold(3) != 1), "toxic", Scratch(spark, "toxicity"))
     return toxicity.score(docs, model).select(
         "doc_id",
-        (fold(3) == 1).alias("held_out"),
+        held_out(3, 1).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         "offending",
@@ -231,11 +236,6 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def held_out(modulus: int, rest: int) -> Column:
-    """Whether a row is kept from learning; a null id has no fold and is never learned from."""
-    return F.coalesce(fold(modulus) == rest, F.lit(True))
-
-
 @query("op12_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

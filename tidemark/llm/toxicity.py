@@ -76,7 +76,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str, scratch: Scratch, samp
     Tasks turn the sampled texts into hashed words; the bounded rest is fitted by the driver. Words
     that tell labels apart in document counts get weights, by gradient steps on the noisy-or
     likelihood. Labels other than 0 and 1 and null ids are ignored; a doc_id labelled twice counts
-    by its largest label. With one class or none every score is near 0 or, all toxic, near 1.
+    by its largest label. With one class or none among the documents at hand every score is near 0
+    or, all toxic, near 1.
     """
     chosen = (
         labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("__label"))
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str, scratch: Scratch, samp
         toxic = np.asarray(part["__label"])[once >> BITS]
         yield pa.RecordBatch.from_arrays([pa.array(once & ((1 << BITS) - 1)), pa.array(toxic)], ["feature", "toxic"])
 
-    classes = dict(chosen.groupBy("__label").count().collect())
+    classes = dict(rows.groupBy("__label").count().collect())
     weights = np.zeros(1 << BITS)
     if len(classes) < 2:
         return Model(4.0 if classes.get(1) else -12.0, weights)
