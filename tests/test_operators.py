@@ -198,3 +198,72 @@ def test_drift_job_runs_without_new_records(spark, tmp_path):
     run_drift(spark, source, source.fetch(spark, {}, None).records, kept, config={}, state_root=str(tmp_path),
               generator=GROUNDING, subject_map=smap)
     assert list(kept.last["files"]) == [path("a")]
+
+
+# ---------------------------------------------------------------- numbering, manifests, checks
+
+
+def test_one_partition_with_all_rows_is_numbered_by_many_tasks(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("doc_id"), F.lit("only").alias("part"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        written = []
+
+        def settle(rows):
+            from tidemark.session import settled
+
+            written.append(settled(rows))
+            return written[-1]
+
+        sizes = catalog.chunks(df, "part", 300, settle=settle).groupBy("chunk").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert sorted(r["count"] for r in sizes) == sorted([300] * 66 + [200])
+    shares = [r["count"] for r in written[0].groupBy(F.shiftright("__id", 33)).count().collect()]
+    assert len(shares) == 8 and max(shares) < 20_000 / 4
+
+
+def test_manifest_reads_only_buckets_that_differ(spark, tmp_path, monkeypatch):
+    from tidemark.plans import manifests
+
+    monkeypatch.setattr(manifests, "BUCKET_ROWS", 50)
+    ids = spark.range(1000).select(F.format_string("x:%04d", "id").alias("doc_id"))
+    store = manifests.Manifests(spark, str(tmp_path))
+    store.replace("all", ids)
+    store.replace("other", ids.limit(3))
+    gone, odd, buckets = store.compare("all", ids.where("doc_id not in ('x:0007', 'x:0500')"))
+    assert buckets == 16 and 1 <= len(odd) <= 2
+    assert sorted(r.doc_id for r in gone.collect()) == ["x:0007", "x:0500"]
+    assert len({f.split("/bucket=")[1].split("/")[0] for f in gone.inputFiles() if "bucket=" in f}) <= 2
+    written = store.replace("all", ids.where("doc_id <> 'x:0007'"))
+    assert len(written) == 1 and store.listed("all").count() == 999 and store.listed("other").count() == 3
+    # an incomplete listing deletes nothing and is not kept
+    assert manifests.tombstones(spark, str(tmp_path), "all", ids.limit(10), False).isEmpty()
+    assert store.listed("all").count() == 999
+    assert manifests.tombstones(spark, str(tmp_path), "all", ids.limit(0), True).count() == 999
+
+
+def test_cards_addresses_and_tokens_are_checked(spark):
+    import random
+
+    from tidemark.operators import laws
+
+    def valid(digits):
+        total = 0
+        for k, c in enumerate(reversed(digits)):
+            d = int(c) * (1 + k % 2)
+            total += d - 9 if d > 9 else d
+        return total % 10 == 0
+
+    rng = random.Random(1)
+    numbers = ["".join(rng.choices("0123456789", k=rng.randint(13, 19))) for _ in range(300)]
+    df = spark.createDataFrame([(n,) for n in numbers], "d string")
+    found = {r.d: r.ok for r in df.select("d", laws.luhn(F.col("d")).alias("ok")).collect()}
+    assert found == {n: valid(n) for n in numbers} and 10 < sum(found.values()) < 60
+    texts = ["4111 1111 1111 1111", "4111111111111112", "x4111-1111-1111-1111y", "41111111111111111111111", "1.2.3.4", "999.1.1.1", "1.2.3.4.5", "key: aaaaaaaaaaaaaaaaaaaaaaaaaa",
+             "secret='Zx81kfQp03LmWe72VbNt'", "", None]
+    kinds = laws.validated(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(*(F.size(F.coalesce(v, F.array())).alias(k) for k, v in kinds.items())).collect()
+    assert [r["card number"] for r in rows] == [1, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0]
+    assert [r["network address"] for r in rows] == [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0]
+    assert [r["random token"] for r in rows] == [0] * 8 + [1, 0, 0]

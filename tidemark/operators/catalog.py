@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import facets as fx
 from tidemark.functions import identity
 from tidemark.operators.joins import skew_safe_join
+from tidemark.operators.numbering import numbered
+from tidemark.session import settled
 
 
 def manifest_tombstones(manifest: DataFrame, current: DataFrame, complete: bool, selector: str) -> DataFrame:
@@ -198,28 +201,24 @@ def gap_items(gaps: DataFrame) -> DataFrame:
     )
 
 
-def chunks(docs: DataFrame, partition: str, target: int, buckets: int = 256) -> DataFrame:
+def chunks(
+    docs: DataFrame, partition: str, target: int, buckets: int = 256,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(doc_id, partition, chunk) with at most `target` documents per chunk.
 
-    Rows are numbered within a partition in two steps: inside hash buckets, and from the
-    bucket sizes. A partition that holds most of the rows is thereby numbered by many
-    tasks, where one window over it would run in a single task.
+    Documents are mixed by a digest, so that a chunk is no run of neighbours, and numbered in that
+    order by ranges with sampled bounds: a partition with most of the rows, or all of them, is
+    numbered by many tasks, each with an even share, whatever the size. `buckets` only sets how far
+    the digest mixes.
     """
     digest = F.conv(F.left(F.md5("doc_id"), F.lit(4)), 16, 10).cast("int")
     rows = docs.select(
         "doc_id", F.col(partition).alias("part"), F.pmod(digest, F.lit(buckets)).alias("bucket")
     )
-    sizes = rows.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "part", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")
-    )
-    inside = Window.partitionBy("part", "bucket").orderBy("doc_id")
-    numbered = rows.withColumn("rn", F.row_number().over(inside)).join(offsets, ["part", "bucket"])
-    return numbered.select(
-        "doc_id",
-        F.col("part").alias(partition),
-        F.floor((F.col("skip") + F.col("rn") - 1) / target).cast("long").alias("chunk"),
+    found = numbered(rows, ["bucket", "doc_id"], "part", settle or settled)
+    return found.select(
+        "doc_id", F.col("part").alias(partition), F.floor(F.col("rank") / target).cast("long").alias("chunk")
     )
 
 

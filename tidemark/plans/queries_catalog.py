@@ -12,7 +12,7 @@ from tidemark.operators import catalog
 from tidemark.operators import changes as ch
 from tidemark.operators import concepts as cn
 from tidemark.operators import publish
-from tidemark.plans import corpus
+from tidemark.plans import corpus, manifests
 from tidemark.plans.corpus import sql_path
 from tidemark.plans.registry import query
 from tidemark.session import ROCKSDB_PROVIDER, shared_dir
@@ -54,6 +54,22 @@ def manifest_tombstones(spark, sf_dir):
     return catalog.manifest_tombstones(manifest, d.where(n % 3 == 0).select(did), True, "ids")
 
 
+@query(
+    "X1_manifest_digests",
+    """SELECT 'list:' || doc_id AS doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 6 <> 0""",
+)
+def manifest_digests(spark, sf_dir):
+    """The same from a kept manifest: a listing, an incomplete one that deletes nothing, then a complete one."""
+    n = F.col("doc_id")
+    d = corpus.table(spark, sf_dir, "documents")
+    did = F.concat(F.lit("list:"), n.cast("string")).alias("doc_id")
+    root = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+    manifests.tombstones(spark, root, "search", d.where(n % 2 == 1).select(did), True)
+    manifests.tombstones(spark, root, "ids", d.where(n % 2 == 0).select(did), True)
+    manifests.tombstones(spark, root, "ids", d.where(n % 12 == 0).select(did), False)
+    return manifests.tombstones(spark, root, "ids", d.where(n % 3 == 0).select(did), True)
+
+
 @query(
     "X2_list_concepts",
     f"""WITH {_CONCEPTS} SELECT path, retrieved AS generated_at FROM concepts

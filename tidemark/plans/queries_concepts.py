@@ -642,3 +642,49 @@ def partial_listings(spark, sf_dir):
         F.col("source").alias("branch"), (F.col("n_chars") > 120).alias("complete")
     )
     return publish.listing_failures(listing)
+
+
+_VALIDATED = r"""
+WITH t AS (SELECT doc_id, text || ' ref ' || card || ', host ' || host || '. api_key = "' || token || '".' AS body, card, host, token
+  FROM (SELECT doc_id, text,
+      CASE doc_id % 4 WHEN 0 THEN '4539 5787 6362 1486' WHEN 1 THEN '4539578763621487' WHEN 2 THEN '378282246310005' ELSE '12345678901234567890' END AS card,
+      CASE doc_id % 3 WHEN 0 THEN '10.0.255.1' WHEN 1 THEN '10.0.256.1' ELSE '1.2.3' END AS host,
+      CASE doc_id % 5 WHEN 0 THEN 'aaaaaaaaaaaaaaaaaaaaaaaa' WHEN 1 THEN 'q7Zk2Lm9Xw4Rt8Vb1Nc6Yd3P' ELSE 'short' END AS token FROM documents))
+SELECT 'files/' || doc_id AS path, 'validated-content' AS law, 'text holds 1 x ' || kind AS message
+FROM (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 4 IN (0, 2) THEN 'card number' END,
+    CASE WHEN doc_id % 3 = 0 THEN 'network address' END, CASE WHEN doc_id % 5 = 1 THEN 'random token' END],
+    lambda x: x IS NOT NULL)) AS kind FROM t)"""
+
+
+@query("X11_validated_plants", _VALIDATED)
+def validated_plants(spark, sf_dir):
+    """Numbers, addresses and tokens put into every text: valid ones are told from those that only look alike."""
+    n = F.col("doc_id")
+
+    def choice(modulus, *values):
+        out = F.lit(values[-1])
+        for k, v in enumerate(values[:-1]):
+            out = F.when(n % modulus == k, F.lit(v)).otherwise(out)
+        return out
+
+    card = choice(4, "4539 5787 6362 1486", "4539578763621487", "378282246310005", "12345678901234567890")
+    host = choice(3, "10.0.255.1", "10.0.256.1", "1.2.3")
+    token = choice(5, "a" * 24, "q7Zk2Lm9Xw4Rt8Vb1Nc6Yd3P", "short")
+    planted = F.concat(F.lit(" ref "), card, F.lit(", host "), host, F.lit('. api_key = "'), token, F.lit('".'))
+    # the texts' own hits are the next query's
+    text_ = F.regexp_replace("text", "[0-9]", "")
+    files = corpus.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("files/"), n.cast("string")).alias("path"), F.concat(text_, planted).alias("content")
+    )
+    return laws.validated_law()(files, files)
+
+
+@query(
+    "X11_validated_addresses",
+    r"""SELECT doc_id, len(list_filter(regexp_extract_all(regexp_replace(text, '([0-9.]+)', ' \1 ', 'g'), ' ([0-9]{1,3}(\.[0-9]{1,3}){3})\.* ', 1),
+      lambda a: len(list_filter(string_split(a, '.'), lambda p: p::INT > 255)) = 0))::BIGINT AS addresses FROM documents""",
+)
+def validated_addresses(spark, sf_dir):
+    """Network addresses of the texts as they are, each part in range."""
+    d = corpus.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(laws.validated(F.col("text"))["network address"]).cast("bigint").alias("addresses"))
