@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import cache
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tidemark.operators import publish
 from tidemark.plans import corpus, manifests
 from tidemark.plans.corpus import sql_path
 from tidemark.plans.registry import query
+from tidemark.plans.text_index import TextIndex
 from tidemark.session import ROCKSDB_PROVIDER, shared_dir
 from tidemark.streaming import keyed_changes, micro_batches
 
@@ -126,6 +128,44 @@ def search(spark, sf_dir):
     return catalog.search(bodies, ["The", "elle", "reti"], 20).select("path", "score")
 
 
+@cache
+def _index(spark, sf_dir):
+    """An index of all documents, brought up in three steps: some of them as they were, edits, deletions."""
+    n = F.col("doc_id")
+    d = corpus.table(spark, sf_dir, "documents")
+    docs = d.select(n, F.concat(F.lit("concepts/"), n.cast("string")).alias("path"), F.col("text").alias("body"), F.lit(False).alias("deleted"))
+    index = TextIndex(spark, f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}")
+    earlier = docs.where(n % 3 != 0).withColumn("body", F.when(n % 7 == 0, F.lit("the reti the")).otherwise(F.col("body")))
+    draft = docs.where(n % 5 == 0).withColumn("path", F.concat(F.lit("drafts/"), n.cast("string")))
+    index.refresh(earlier.unionByName(draft).drop("doc_id"))
+    index.refresh(docs.where((n % 3 == 0) | (n % 7 == 0)).drop("doc_id"))
+    index.refresh(draft.withColumn("deleted", F.lit(True)).drop("doc_id"))
+    return index
+
+
+@query(
+    "X5_index_search",
+    r"""WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents),
+    tf AS (SELECT doc_id, w, count(*) AS tf FROM words WHERE w IN ('the', 'elle', 'reti') GROUP BY doc_id, w),
+    df AS (SELECT w, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS weight FROM tf GROUP BY w)
+    SELECT 'concepts/' || doc_id AS path, round(sum(tf * weight), 6) AS score FROM tf JOIN df USING (w)
+    GROUP BY doc_id ORDER BY score DESC, path LIMIT 20""",
+)
+def index_search(spark, sf_dir):
+    """The top 20 from the kept index; the limit is the feature."""
+    return _index(spark, sf_dir).search(["The", "elle", "reti"], 20).rows
+
+
+@query(
+    "X5_index_terms",
+    r"""SELECT w AS term, count(DISTINCT doc_id) AS df
+    FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE w <> '' GROUP BY w""",
+)
+def index_terms(spark, sf_dir):
+    """Document frequency of every term, from the counts of blocks."""
+    return _index(spark, sf_dir).frequencies()
+
+
 @query(
     "X5_similar_vectors",
     """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
