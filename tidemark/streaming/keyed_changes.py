@@ -47,42 +47,117 @@ def classify_log(log: DataFrame, width: str = "day") -> DataFrame:
     return joined.withColumn("previous", previous).select("key", "event_id", kind.alias("kind"))
 
 
-class _LastContent(StatefulProcessor):
-    """Value state: the content last seen for the key."""
+_CONTENT = T.StructType([T.StructField("content", T.StringType())])
+
+SLICED = T.StructType(
+    [
+        *OUTPUT.fields,
+        # the rest is NULL but in the one row that tells how a slice goes on
+        T.StructField("slice", T.TimestampType()),
+        T.StructField("opens", T.BooleanType()),
+        T.StructField("first", T.StringType()),
+        T.StructField("last", T.StringType()),
+    ]
+)
+
+
+def _contents(frame: pd.DataFrame, column: str) -> list[str | None]:
+    return [None if pd.isna(c) else c for c in frame[column]]
+
+
+class _Slice(StatefulProcessor):
+    """First stage, by key and slice: rows are classified by the row before them in the slice."""
+
+    def __init__(self, keep: int | None) -> None:
+        self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("content", T.StringType())])
-        self.last = handle.getValueState("last", schema)
+        self.last = handle.getValueState("last", _CONTENT, self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # rows of one key come in no order; a micro-batch is bounded by its trigger
+        # rows of one slice come in no order; a slice and a micro-batch bound them
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
         known = self.last.get()
-        contents = [None if pd.isna(c) else c for c in frame["content"]]
+        contents = _contents(frame, "content")
         before = [known[0] if known is not None else None, *contents[:-1]]
         kind = ["unchanged" if a == b else "modified" for a, b in zip(before, contents, strict=True)]
-        if known is None:
-            kind[0] = "added"
+        ids = [int(i) for i in frame["event_id"]]
         self.last.update((contents[-1],))
-        yield pd.DataFrame({"key": str(key[0]), "event_id": frame["event_id"], "kind": kind})
+        skip = 0 if known is not None else 1
+        inside = pd.DataFrame({"key": str(key[0]), "event_id": ids[skip:], "kind": kind[skip:]})
+        border = pd.DataFrame(
+            {"key": [str(key[0])], "event_id": [ids[0]], "kind": [None], "slice": [key[1]],
+             "opens": [known is None], "first": [contents[0]], "last": [contents[-1]]}
+        )
+        yield pd.concat([inside.reindex(columns=SLICED.names), border[SLICED.names]], ignore_index=True).astype(object)
 
     def close(self) -> None:
         pass
 
 
-def classify_stream(log: DataFrame) -> DataFrame:
-    """Stateful form of the keyed diff; needs the RocksDB state store.
+class _Borders(StatefulProcessor):
+    """Second stage, by key: the first row of a slice against the last content of the slices before."""
 
-    Bound a micro-batch with `maxFilesPerTrigger` or `maxBytesPerTrigger` at the source:
-    a key's rows of one micro-batch are ordered together in one task.
-    """
+    def __init__(self, forget_after: int | None) -> None:
+        self.forget_after = forget_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _CONTENT, self.forget_after)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one row for each slice that the micro-batch touches
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("slice")
+        known = self.last.get()
+        known = None if known is None else (known[0],)
+        ids, kinds = [], []
+        for event_id, opens, first, last in zip(frame["event_id"], frame["opens"], _contents(frame, "first"), _contents(frame, "last"), strict=True):
+            if opens:
+                ids.append(int(event_id))
+                kinds.append("added" if known is None else "unchanged" if known[0] == first else "modified")
+            known = (last,)
+        self.last.update(known)
+        yield pd.DataFrame({"key": str(key[0]), "event_id": pd.Series(ids, dtype="int64"), "kind": pd.Series(kinds, dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def _time(ttl: int | None) -> str:
+    return "None" if ttl is None else "ProcessingTime"
+
+
+def sliced_log(log: DataFrame, width: str = "day", keep: int | None = None) -> DataFrame:
+    """First stage: classified rows, and for each slice touched one row that says how it opens and ends."""
     return (
-        log.select(F.col("key").cast("string").alias("key"), "ts", "event_id", "content")
+        log.select(F.col("key").cast("string").alias("key"), F.date_trunc(width, "ts").alias("slice"), "ts", "event_id", "content")
+        .groupBy("key", "slice")
+        .transformWithStateInPandas(
+            statefulProcessor=_Slice(keep), outputStructType=SLICED, outputMode="Append", timeMode=_time(keep)
+        )
+    )
+
+
+def classify_stream(
+    log: DataFrame, width: str = "day", keep_slices: int | None = None, forget_after: int | None = None
+) -> DataFrame:
+    """Stateful form of the keyed diff in two stages; needs the RocksDB state store.
+
+    A key is cut into time slices that classify inside themselves, each a state of its own, so that a
+    key with a third of the log is worked on by many tasks. Only one small row for each slice goes
+    on to the key's own state, which says what the slice's first row is. Rows come in about the order
+    of time; a slice may go on in a later micro-batch. `forget_after` milliseconds without a row, a
+    key is forgotten and its next row counts as added; by default none is.
+
+    Bound a micro-batch with `maxFilesPerTrigger` or `maxBytesPerTrigger` at the source: a slice's
+    rows of one micro-batch are ordered together in one task.
+    """
+    sliced = sliced_log(log, width, keep_slices)
+    opened = (
+        sliced.where(F.col("slice").isNotNull())
         .groupBy("key")
         .transformWithStateInPandas(
-            statefulProcessor=_LastContent(),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="None",
+            statefulProcessor=_Borders(forget_after), outputStructType=OUTPUT, outputMode="Append",
+            timeMode=_time(forget_after),
         )
     )
+    return sliced_log(log, width, keep_slices).where(F.col("slice").isNull()).select(*OUTPUT.names).unionByName(opened)
