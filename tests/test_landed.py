@@ -99,3 +99,81 @@ def test_a_small_run_rewrites_one_bucket(spark, tmp_path, monkeypatch):
     assert state.runs(state.current()).count() == 2
     assert any(f.startswith("staging/") for f in state.expire())
     assert state.mirror(state.current()).count() == 40
+
+
+def test_review_tree_shares_untouched_buckets_with_its_base(spark, tmp_path, monkeypatch):
+    """A proposal rewrites the buckets of its own paths; the others keep the folders they had."""
+    from tidemark.plans import publishers
+    from tidemark.plans.run import Proposal
+
+    monkeypatch.setattr(publishers, "BUCKET_FILES", 10)
+    review = publishers.ReviewBranches(spark, str(tmp_path))
+
+    def propose(branch, files, removed=(), base="main"):
+        none = spark.createDataFrame([], "section string, item string")
+        proposal = Proposal(
+            f"run{len(files)}", branch, spark.createDataFrame(files, "path string, content string"),
+            spark.createDataFrame([(p,) for p in removed], "path string"), none, none, none,
+        )
+        review.publish(proposal, {"base": base})
+        return {n: f for n, f in review.store.current().tables.items() if n.startswith("tree/")}
+
+    first = propose("one", [(f"p{k}", "a") for k in range(200)])
+    assert len(first) > 8
+    second = propose("one", [("p7", "b"), ("new", "n")], ["p9", "never"])
+    changed = [n for n in second if first.get(n) != second[n]]
+    assert 1 <= len(changed) <= 4  # one for each path of the proposal
+    tree = {r.path: r.content for r in review.tree("one").collect()}
+    assert len(tree) == 200 and tree["p7"] == "b" and tree["new"] == "n" and "p9" not in tree
+    # another branch on top of the first names its folders
+    third = propose("two", [("p1", "z")], base="one")
+    shared = set(third.values()) & set(second.values())
+    assert len([n for n in third if n not in second]) == len(second) and len(shared) == len(second)
+    other = {r.path: r.content for r in review.tree("two").collect()}
+    assert other == tree | {"p1": "z"} and {r.path: r.content for r in review.tree("one").collect()} == tree
+
+
+def test_unsafe_paths_are_all_kept(spark):
+    from tidemark.operators import publish as pb
+
+    files = spark.createDataFrame([(f"../{k}", "x") for k in range(20)] + [("fine", "x")], "path string, content string")
+    with pytest.raises(pb.PathError, match="20 unsafe paths") as caught:
+        pb.require_safe_paths(files, files.select("path").limit(0))
+    assert caught.value.rows.count() == 20
+    listing = spark.createDataFrame([(f"b{k}", k > 8) for k in range(12)], "branch string, complete boolean")
+    with pytest.raises(pb.PartialListingError, match="9 branches") as caught:
+        pb.require_complete_listing(listing)
+    assert caught.value.rows.count() == 9
+
+
+def test_a_stream_drops_records_that_come_again(spark, tmp_path):
+    """The same line in two files of one batch and in a later batch is run once."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    config = {"repo": "ship/yard", "path": str(landing)}
+    seen = []
+
+    class Watching(IssueFeed):
+        def normalize(self, records):
+            seen.append(sorted(int(r[0].rsplit("/", 1)[1]) for r in records.select("native_id").collect()))
+            return super().normalize(records)
+
+    def drain():
+        schema = spark.createDataFrame([], "raw string, landed timestamp").schema
+        raw = spark.readStream.schema(schema).parquet(str(landing / "*"))
+        records = issues.fetch(raw, "ship/yard")
+        again = (["native_id", "updated_at"], "updated_at", "30 days")
+        run_stream(
+            records, Watching(), Keep(), config=config, state_root=str(tmp_path / "state"), checkpoint=str(tmp_path / "check"),
+            replays=again, check_stability=False,
+        ).awaitTermination()
+
+    def land(name, *lines):
+        spark.createDataFrame([(x, None) for x in lines], "raw string, landed timestamp").coalesce(1).write.parquet(str(landing / name))
+
+    land("a", line(1, 1), line(2, 1))
+    land("b", line(1, 1))
+    drain()
+    land("c", line(2, 1), line(3, 2))
+    drain()
+    assert [s for s in seen if s] == [[1, 2], [3]]  # a batch that only moves the watermark is empty

@@ -53,6 +53,11 @@ def facets(structured: Column, opaque_keys: Column | None = None) -> Column:
     return F.transform_values(F.map_filter(as_map(structured), keep), lambda _, v: F.to_json(v))
 
 
+def source_fields(structured: Column) -> Column:
+    """MAP<STRING, STRING> from key to JSON text of every field, whatever its kind."""
+    return F.transform_values(as_map(structured), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+
+
 def concept_type(structured: Column) -> Column:
     """The source's own `type` where it says anything, else `concept`."""
     v = F.element_at(as_map(structured), "type")

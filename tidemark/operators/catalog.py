@@ -60,7 +60,8 @@ def related_concepts(concepts: DataFrame, path: str) -> DataFrame:
     theirs = concepts.where(F.col("path") != path).select(
         "path", F.explode("sources").alias("s")
     ).select("path", F.col("s.resource").alias("resource"))
-    shared = skew_safe_join(theirs, mine, "resource", "left_semi", ["path"]).select(
+    # one concept's own resources, as many as it cites
+    shared = theirs.join(F.broadcast(mine), "resource", "left_semi").select(
         "path", F.lit("shares_source").alias("relation")
     )
     return out.unionByName(into).unionByName(shared).where(F.col("path") != path).distinct()
@@ -177,7 +178,12 @@ def conflicts(rows: DataFrame) -> DataFrame:
         .where(F.col("lo") != F.col("hi"))
         .select("subject", "key")
     )
-    return per_value.join(split, ["subject", "key"], "left_semi")
+    # a subject may have very many values of one key: they are spread over tasks
+    about = F.struct("subject", "key")
+    wanted = split.select(F.to_json(about).alias("about"))
+    return skew_safe_join(
+        per_value.withColumn("about", F.to_json(about)), wanted, "about", "left_semi", ["value"]
+    ).drop("about")
 
 
 def conflict_items(found: DataFrame) -> DataFrame:

@@ -91,11 +91,14 @@ def citable(lookup: DataFrame, owners: DataFrame) -> DataFrame:
         identity.resource_key(F.col("url"), F.col("system"), F.col("native_id")).alias("own_key"),
     )
     live = lookup.where(F.col("anchor").isNotNull() & ~F.col("gone"))
-    return (
+    cited = (
         live.withColumn("resource", _anchor_key("anchor"))
         .groupBy("owner_id", "resource")
         .agg(F.min(F.struct("grounding_id", "anchor")).alias("first"))
-        .join(own, "owner_id")
+    )
+    # an owner may declare very many: its rows are spread, not its one resource
+    return (
+        skew_safe_join(cited, own, "owner_id", "inner", ["resource"])
         .where(F.col("resource") != F.col("own_key"))
         .select("owner_id", F.col("first.grounding_id").alias("grounding_id"), "resource",
                 F.col("first.anchor").alias("anchor"))

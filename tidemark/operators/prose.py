@@ -69,9 +69,8 @@ def grounding_blocks(kept: DataFrame, texts: DataFrame, budget: int | None = Non
     )
     note = F.concat(
         identity.concept_path(F.col("owner_id")), F.lit(": grounding "), F.col("grounding_id"),
-        F.lit(" truncated to "), F.col("share").cast("string"),
-        F.lit(f" chars before synthesis (a {budget}-char grounding budget shared across "),
-        F.col("n_docs").cast("string"), F.lit(" documents)"),
+        F.lit(" cut to "), F.col("share").cast("string"),
+        F.lit(f" characters, its part of {budget} for "), F.col("n_docs").cast("string"), F.lit(" documents"),
     )
     parts = F.array_sort(
         F.collect_list(
@@ -93,20 +92,22 @@ def grounding_blocks(kept: DataFrame, texts: DataFrame, budget: int | None = Non
 
 
 def prompts(items: DataFrame, blocks: DataFrame | None, limit: int | None = None) -> DataFrame:
-    """(doc_id, prompt, notes) for a generator; texts are whole without a `limit`."""
+    """(doc_id, prompt, notes) for a generator; texts are whole without a `limit`.
+
+    A prompt shows every field of the source, nested and empty ones too, and not only facets.
+    """
     cut = text.truncated(F.col("text"), limit) if limit else F.col("text")
     note = F.when(
         F.length("text") > (limit or (1 << 31) - 1),
         F.concat(
             identity.concept_path(F.col("doc_id")),
-            F.lit(f": source truncated to {limit} chars before synthesis"),
+            F.lit(f": text cut to {limit} characters for the prompt"),
         ),
     )
     base = items.select(
         "doc_id",
         text.prompt(
-            F.col("native_id"), F.col("title"),
-            facets.facets(F.col("structured"), F.col("opaque_keys")), cut,
+            F.col("native_id"), F.col("title"), facets.source_fields(F.col("structured")), cut,
         ).alias("prompt"),
         F.array_compact(F.array(note)).alias("notes"),
     )

@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import identity
 from tidemark.operators.concepts import SECTIONS
+from tidemark.session import settled
+
+
+#: Failures that a message shows; a table has all of them.
+SHOWN = 5
 
 
 class PathError(ValueError):
-    """A written or removed path leaves the bundle."""
+    """A written or removed path leaves the bundle; `rows` has every one."""
+
+    def __init__(self, message: str, rows: DataFrame | None = None) -> None:
+        super().__init__(message)
+        self.rows = rows
 
 
 class PartialListingError(RuntimeError):
-    """A base listing is incomplete, so absence from it proves nothing."""
+    """A base listing is incomplete, so absence from it proves nothing; `rows` has every branch."""
+
+    def __init__(self, message: str, rows: DataFrame | None = None) -> None:
+        super().__init__(message)
+        self.rows = rows
 
 
 def path_rejects(files: DataFrame, removed: DataFrame) -> DataFrame:
@@ -31,9 +44,14 @@ def path_rejects(files: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def require_safe_paths(files: DataFrame, removed: DataFrame) -> None:
-    bad = path_rejects(files, removed).limit(5).collect()
-    if bad:
-        raise PathError("; ".join(f"{r.reject_reason}: {r.path!r}" for r in bad))
+    """Raise for unsafe paths. A message shows the first; all are kept as a table in the shared folder."""
+    bad = path_rejects(files, removed)
+    if bad.isEmpty():
+        return
+    bad = settled(bad)
+    shown = bad.orderBy("path", "action").limit(SHOWN).collect()
+    named = "; ".join(f"{r.reject_reason}: {r.path!r}" for r in shown)
+    raise PathError(f"{bad.count()} unsafe paths: {named}", bad)
 
 
 def listing_failures(listing: DataFrame) -> DataFrame:
@@ -44,10 +62,12 @@ def listing_failures(listing: DataFrame) -> DataFrame:
 
 
 def require_complete_listing(listing: DataFrame) -> None:
-    partial = listing_failures(listing).limit(5).collect()
-    if partial:
-        names = ", ".join(r.branch for r in partial)
-        raise PartialListingError(f"base listing is incomplete: {names}")
+    partial = listing_failures(listing)
+    if partial.isEmpty():
+        return
+    partial = settled(partial)
+    names = ", ".join(r.branch for r in partial.orderBy("branch").limit(SHOWN).collect())
+    raise PartialListingError(f"base listing is incomplete for {partial.count()} branches: {names}", partial)
 
 
 def action_plan(files: DataFrame, removed: DataFrame, base: DataFrame, base_path: str = "") -> DataFrame:

@@ -17,16 +17,14 @@ FETCHED, DRIFTED, REFERRING = 0, 1, 2  # origin of a work-list entry, in order
 
 # Wording of failures and notes that a reviewer reads.
 COLLISION = (
-    " are different documents that render one bundle path; whichever review request merges "
-    "second would overwrite the other"
+    " claim one path, and the later of two merges would replace the earlier"
 )
-CROSSING = "; links stay within one system, and publishing would drop it silently"
+CROSSING = "; links end in the system they start in"
 REFERRER_NOTE = (
-    ": re-synthesized to drop links to concepts removed in this run; its own source is unchanged"
+    ": rebuilt, as it linked to what this run removes; its own source is as before"
 )
 DRIFT_NOTE = (
-    ": re-synthesized because a document it is grounded in changed in another system; "
-    "its own source is unchanged"
+    ": rebuilt, as a document of another system that it is grounded in has changed; its own source is as before"
 )
 
 
@@ -178,7 +176,7 @@ def cross_system_relations(docs: DataFrame) -> DataFrame:
             identity.concept_path(F.col("doc_id")),
             "cross-system-relation",
             F.concat(
-                F.lit("relation to "), F.col("target"), F.lit(" crosses out of "), system,
+                F.lit("link to "), F.col("target"), F.lit(" leaves "), system,
                 F.lit(CROSSING),
             ),
         )

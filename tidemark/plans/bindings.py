@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.run import Fetch, SelectionError
 from tidemark.plans.state import Cursor
+from tidemark.session import settled
 from tidemark.sources import commits, issues, markdown, responses
 
 
@@ -96,7 +97,8 @@ class ToolResponses:
             refs, whole = responses.enumerated(spark.read.parquet(config["ids"])), True
         else:
             landed = responses.read_landed(spark, config["selections"])
-            refs, whole = responses.select_refs(landed, *config.get("mapping", (None, None, None))), False
+            # three readers, one parse
+            refs, whole = settled(responses.select_refs(landed, *config.get("mapping", (None, None, None)))), False
             bad = refs.where(F.col("reject_reason").isNotNull())
             if not bad.isEmpty():
                 # a selection that cannot be read fails closed

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import identity
 from tidemark.operators import publish as pb
 from tidemark.plans.run import Proposal
-from tidemark.plans.state import Snapshots, new_run_id
+from tidemark.plans.state import Snapshots, Version, new_run_id
 
-_TREE = "branch string, path string, content string"
+#: Files a bucket of a branch's tree holds before its buckets double.
+BUCKET_FILES = 100_000
+
+_TREE = "path string, content string"
 _PROPOSALS = "branch string, state string, run_id string"
 
 
@@ -44,13 +48,23 @@ class ReviewBranches:
         return []
 
     @staticmethod
-    def _table(branch: str) -> str:
+    def _prefix(branch: str) -> str:
         return "tree/" + hashlib.sha256(branch.encode("utf-8")).hexdigest()[:16]
 
+    def _buckets(self, version: Version, branch: str) -> dict[int, str]:
+        """Names of a branch's tables, `tree/<branch>/<buckets>/<bucket>`, by bucket."""
+        prefix = self._prefix(branch) + "/"
+        return {int(n.split("/")[3]): n for n in version.tables if n.startswith(prefix)}
+
+    def _read(self, version: Version, branch: str, only: set[int] | None = None) -> DataFrame:
+        names = [n for b, n in self._buckets(version, branch).items() if only is None or b in only]
+        folders = sorted(f"{self.store.root}/{version.tables[n]}" for n in names)
+        schema = self._schema(_TREE)
+        files = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return files.select(F.lit(branch).alias("branch"), "path", "content")
+
     def tree(self, branch: str):
-        version = self.store.current()
-        df = self.store.read(version.tables.get(self._table(branch)), self._schema(_TREE))
-        return df.where(F.col("branch") == branch)
+        return self._read(self.store.current(), branch)
 
     def proposals(self):
         version = self.store.current()
@@ -68,7 +82,22 @@ class ReviewBranches:
         version = self.store.current()
         branch = config.get("branch") or proposal.branch
         base = pb.open_base(self.proposals(), branch, config.get("base", "main"))
-        tree = self.tree(base)
+        mine = self._buckets(version, base)
+        before = next((int(n.split("/")[2]) for n in mine.values()), 1)
+        have = sum(version.rows.get(n, 0) for n in mine.values())
+        buckets, more = before, proposal.files.count()
+        while have + more > 2 * buckets * BUCKET_FILES:
+            buckets *= 2
+
+        def home(path: Column) -> Column:
+            return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+        target = identity.joined_path(config.get("base_path", ""), F.col("path"))
+        asked = proposal.files.select(target.alias("path")).unionByName(proposal.removed.select(target.alias("path")))
+        touched = {r[0] for r in asked.select(home(F.col("path"))).distinct().collect()}
+        # a tree that grows is dealt anew; else only buckets with a path of this proposal are read
+        old = None if buckets != before else touched
+        tree = self._read(version, base, old)
         plan = pb.action_plan(proposal.files, proposal.removed, tree, config.get("base_path", ""))
         url = f"{self.store.root}#{branch}"
         if pb.nothing_to_do(plan, base, branch):
@@ -80,14 +109,23 @@ class ReviewBranches:
             plan.where(F.col("action") != "delete").select("path", "content"),
             plan.where(F.col("action") == "delete").select("path"),
         )
-        tables = dict(version.tables)
-        tables[self._table(branch)] = self.store.write(
-            f"{self._table(branch)}/run={attempt}", after
-        )
+        folder = f"{self._prefix(branch)}/run={attempt}"
+        self.store.write(folder, after.select("path", "content", home(F.col("path")).alias("bucket")), "bucket")
+        tables = {n: f for n, f in version.tables.items() if not n.startswith(self._prefix(branch) + "/")}
+        rows = {n: c for n, c in version.rows.items() if n in tables}
+        for bucket, name in mine.items():
+            if old is not None and bucket not in touched:
+                # a proposal shares what it leaves as it is with its base
+                own = f"{self._prefix(branch)}/{buckets}/{bucket}"
+                tables[own], rows[own] = version.tables[name], version.rows.get(name, 0)
+        written = self.spark.read.schema(f"{_TREE}, bucket int").parquet(f"{self.store.root}/{folder}")
+        for r in written.groupBy("bucket").count().collect():
+            own = f"{self._prefix(branch)}/{buckets}/{r.bucket}"
+            tables[own], rows[own] = f"{folder}/bucket={r.bucket}", r["count"]
         tables["proposals"] = self.store.write(
             f"proposals/run={attempt}",
             pb.upsert_proposal(self.proposals(), branch, proposal.run_id).coalesce(1),
         )
         pb.write_summary(proposal.summary, f"{self.store.root}/summaries/run={attempt}")
-        self.store.commit(version, tables)
+        self.store.commit(version, tables, rows)
         return url

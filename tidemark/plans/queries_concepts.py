@@ -186,6 +186,27 @@ def prompts(spark, sf_dir):
     )
 
 
+@query(
+    "P19_source_fields",
+    """SELECT doc_id::VARCHAR AS doc_id, sha256('Document: ' || doc_id || chr(10) || 'Title: T' || chr(10) || 'Facets:' || chr(10)
+        || CASE WHEN doc_id % 4 = 3 THEN '(none)' ELSE 'by: {"lang":"' || lang || '","n":[' || n_chars || ',[]]}' || chr(10) || 'empty: ""' || chr(10)
+          || 'none: []' || chr(10) || 'plain: ' || doc_id END
+        || chr(10) || chr(10) || 'Text:' || chr(10) || text) AS prompt_hash FROM documents""",
+)
+def source_fields(spark, sf_dir):
+    """Nested, empty and plain fields are all shown; a document without any says so."""
+    d = corpus.table(spark, sf_dir, "documents")
+    own = F.concat(
+        F.lit('{"by":{"lang":"'), "lang", F.lit('","n":['), F.col("n_chars").cast("string"),
+        F.lit(',[]]},"empty":"","none":[],"plain":'), F.col("doc_id").cast("string"), F.lit("}"),
+    )
+    items = d.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("native_id"),
+        F.lit("T").alias("title"), "text", F.when(F.col("doc_id") % 4 == 3, "{}").otherwise(own).alias("structured"),
+    )
+    return prose.prompts(items, None).select("doc_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
 @query(
     "P21_echoed_heading",
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'body' || doc_id WHEN doc_id % 3 = 1 THEN '## Other' || chr(10) || 'body' || doc_id
@@ -291,17 +312,17 @@ def _flaw_sql(select: str) -> str:
 @query(
     "L5_type",
     _flaw_sql(
-        "SELECT path, 'okf-type' AS law, 'concept type is empty; a non-empty type is required' AS message FROM flawed WHERE n % 31 = 0"
+        "SELECT path, 'okf-type' AS law, 'no visible type' AS message FROM flawed WHERE n % 31 = 0"
     ),
 )
 def type_law(spark, sf_dir):
     return laws.type_failures(_flawed(spark, sf_dir))
 
 
-_FACET_SQL = """SELECT path, 'facet-wellformedness' AS law, 'facet ''owner'' is empty; a filterable facet must carry a value' AS message
+_FACET_SQL = """SELECT path, 'facet-wellformedness' AS law, 'facet ''owner'' has no value to filter by' AS message
       FROM flawed WHERE n % 29 = 0
-    UNION ALL SELECT path, 'facet-wellformedness', 'facet ''deep'' must be a scalar or flat list to be filterable' FROM flawed WHERE n % 29 = 0
-    UNION ALL SELECT path, 'facet-wellformedness', 'facet ''tags'' must be a scalar or flat list to be filterable' FROM flawed WHERE n % 29 = 1"""
+    UNION ALL SELECT path, 'facet-wellformedness', 'facet ''deep'' is nested: only single values and flat lists can be filtered' FROM flawed WHERE n % 29 = 0
+    UNION ALL SELECT path, 'facet-wellformedness', 'facet ''tags'' is nested: only single values and flat lists can be filtered' FROM flawed WHERE n % 29 = 1"""
 
 
 @query("L6_facets", _flaw_sql(_FACET_SQL))
@@ -311,7 +332,7 @@ def facet_law(spark, sf_dir):
 
 @query(
     "L7_anchors",
-    _flaw_sql("SELECT path, 'anchor-presence' AS law, 'concept carries no source anchor' AS message FROM flawed WHERE n % 37 = 0"),
+    _flaw_sql("SELECT path, 'anchor-presence' AS law, 'nothing is cited as a source' AS message FROM flawed WHERE n % 37 = 0"),
 )
 def anchor_law(spark, sf_dir):
     return laws.anchor_failures(_flawed(spark, sf_dir))
@@ -320,8 +341,8 @@ def anchor_law(spark, sf_dir):
 @query(
     "L8_freshness",
     _flaw_sql(
-        """SELECT path, 'freshness-legibility' AS law, CASE WHEN n % 41 = 0 THEN 'concept carries no freshness stamp'
-          ELSE 'concept freshness stamp is timezone-naive' END AS message FROM flawed WHERE n % 41 = 0 OR n % 43 = 0"""
+        """SELECT path, 'freshness-legibility' AS law, CASE WHEN n % 41 = 0 THEN 'no time of generation'
+          ELSE 'time of generation without a zone' END AS message FROM flawed WHERE n % 41 = 0 OR n % 43 = 0"""
     ),
 )
 def freshness_law(spark, sf_dir):
@@ -334,7 +355,7 @@ def freshness_law(spark, sf_dir):
     return laws.freshness_failures(stamped)
 
 
-_LINK_SQL = f"""SELECT path, 'link-resolvability' AS law, 'link ''' || link || ''' resolves to no concept in the bundle' AS message
+_LINK_SQL = f"""SELECT path, 'link-resolvability' AS law, 'link ''' || link || ''' leads to no published path' AS message
     FROM (SELECT path, {sql_path('t')} AS link FROM (SELECT path, unnest(relations) AS t FROM flawed))
     WHERE link NOT IN (SELECT path FROM flawed)"""
 
@@ -408,26 +429,26 @@ def _whole(spark, sf_dir):
 
 
 def _missing(field: str) -> str:
-    return f"rendered concept is missing required field ''{field}''"
+    return f"front matter lacks ''{field}''"
 
 
 _STRICT = f"""strict AS (SELECT path, unnest(CASE n % 53
-    WHEN 2 THEN ['every rendered ''sources'' entry needs a non-empty ''resource''']
-    WHEN 3 THEN ['rendered ''sources'' cite resources the validated anchors do not']
-    WHEN 4 THEN ['rendered ''type'' disagrees with the projection''s']
-    WHEN 1 THEN ['rendered ''sources'' must be a non-empty list of entries']
+    WHEN 2 THEN ['an entry of ''sources'' names no resource']
+    WHEN 3 THEN ['''sources'' and checked anchors name different resources']
+    WHEN 4 THEN ['''type'' is another than the metadata''s']
+    WHEN 1 THEN ['''sources'' lists nothing']
     WHEN 5 THEN ['{_missing('title')}']
     WHEN 6 THEN ['{_missing('description')}']
-    WHEN 7 THEN ['rendered ''generated.by'' is empty; an actor is required']
-    WHEN 8 THEN ['rendered ''generated.at'' is missing']
-    WHEN 9 THEN ['rendered ''generated.at'' disagrees with the projection''s stamp']
-    WHEN 10 THEN ['rendered ''links'' disagree with the projection''s']
-    WHEN 12 THEN ['rendered ''generated'' must be a mapping of ''by'' and ''at''']
+    WHEN 7 THEN ['''generated.by'' names nobody']
+    WHEN 8 THEN ['''generated.at'' has no time']
+    WHEN 9 THEN ['''generated.at'' is another time than the metadata''s']
+    WHEN 10 THEN ['''links'' are others than the metadata''s']
+    WHEN 12 THEN ['''generated'' is no block with ''by'' and ''at''']
     WHEN 13 THEN ['{_missing('type')}']
-    WHEN 14 THEN ['rendered ''generated.at'' is not a timezone-aware ISO 8601 instant']
+    WHEN 14 THEN ['''generated.at'' is no ISO 8601 time with a zone']
     ELSE CASE WHEN n % 53 IN (11, 15) THEN ['{_missing('type')}', '{_missing('title')}', '{_missing('description')}',
-        '{_missing('generated')}', 'rendered ''sources'' must be a non-empty list of entries',
-        'rendered ''links'' disagree with the projection''s'] ELSE [] END END) AS message
+        '{_missing('generated')}', '''sources'' lists nothing',
+        '''links'' are others than the metadata''s'] ELSE [] END END) AS message
     FROM flawed WHERE n % 37 <> 0)"""
 
 
@@ -456,11 +477,11 @@ def _coherence(spark, sf_dir):
     return written, projected, removed
 
 
-_COHERENCE_SQL = """SELECT path, 'projection-coherence' AS law, 'rendered file has no projection; it would ship unvalidated' AS message
+_COHERENCE_SQL = """SELECT path, 'projection-coherence' AS law, 'file without checked metadata' AS message
       FROM flawed WHERE n % 9 NOT IN (0, 1) AND n % 11 = 0
-    UNION ALL SELECT path, 'projection-coherence', 'concept projection has no rendered file in the proposal'
+    UNION ALL SELECT path, 'projection-coherence', 'metadata without a file'
       FROM flawed WHERE n % 11 <> 0 AND n % 9 = 0
-    UNION ALL SELECT path, 'projection-coherence', 'path is both written and removed in one proposal'
+    UNION ALL SELECT path, 'projection-coherence', 'one proposal writes and deletes this path'
       FROM flawed WHERE n % 9 NOT IN (0, 1) AND n % 13 = 0"""
 
 

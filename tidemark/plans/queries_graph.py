@@ -84,7 +84,7 @@ def _linked_concepts(st):
 @query(
     "J8_dangling_links",
     with_states(
-        f"""SELECT path, 'link-resolvability' AS law, 'link ''' || link || ''' resolves to no concept in the bundle' AS message
+        f"""SELECT path, 'link-resolvability' AS law, 'link ''' || link || ''' leads to no published path' AS message
         FROM (SELECT {sql_path('did')} AS path, {sql_path('target')} AS link
           FROM (SELECT did, unnest(relations) AS target FROM live))
         WHERE link NOT IN (SELECT path FROM known)"""
@@ -115,8 +115,8 @@ def _contested(spark, sf_dir):
       SELECT system || ':' || CASE WHEN n % 50 = 1 THEN 'docs/' || (n - 1) || '.md'
         WHEN n % 50 = 2 THEN 'docs/' || (n - 2) ELSE native_id END AS doc FROM base)),
     owners AS (SELECT path, min(doc) AS owner FROM claims GROUP BY path)
-    SELECT path, 'bundle-path-collision' AS law, owner || ' and ' || doc || ' are different documents that render one '
-      || 'bundle path; whichever review request merges second would overwrite the other' AS message
+    SELECT path, 'bundle-path-collision' AS law, owner || ' and ' || doc || ' claim one path, and the later of two merges '
+      || 'would replace the earlier' AS message
     FROM claims JOIN owners USING (path) WHERE doc <> owner""",
 )
 def path_collisions(spark, sf_dir):
@@ -126,8 +126,8 @@ def path_collisions(spark, sf_dir):
 @query(
     "L4_cross_system_relations",
     f"""WITH {corpus.SQL_BASE}, e AS (SELECT did, split_part(did, ':', 1) AS s, unnest(relations) AS target FROM base)
-    SELECT {sql_path('did')} AS path, 'cross-system-relation' AS law, 'relation to ' || target || ' crosses out of '
-      || s || '; links stay within one system, and publishing would drop it silently' AS message
+    SELECT {sql_path('did')} AS path, 'cross-system-relation' AS law, 'link to ' || target || ' leaves '
+      || s || '; links end in the system they start in' AS message
     FROM e WHERE split_part(target, ':', 1) <> s""",
 )
 def cross_system_relations(spark, sf_dir):
@@ -343,10 +343,10 @@ def branch(spark, sf_dir):
 @query(
     "C3_explanatory_notes",
     with_states(
-        f"""SELECT {sql_path('did')} || ': re-synthesized to drop links to concepts removed in this run; '
-            || 'its own source is unchanged' AS note FROM referrers
-        UNION ALL SELECT {sql_path('did')} || ': re-synthesized because a document it is grounded in changed in '
-            || 'another system; its own source is unchanged' FROM drift""",
+        f"""SELECT {sql_path('did')} || ': rebuilt, as it linked to what this run removes; '
+            || 'its own source is as before' AS note FROM referrers
+        UNION ALL SELECT {sql_path('did')} || ': rebuilt, as a document of another system that it is '
+            || 'grounded in has changed; its own source is as before' FROM drift""",
         *_WORK_CTES,
     ),
 )

@@ -428,7 +428,7 @@ def _selections(spark, sf_dir):
 
 
 _URL_IDS = f"urls AS (SELECT page_id, url AS raw_id FROM pages), {_identity_sql('urls')}"
-_PROSE = "select response carries neither resource blocks nor structured content; configure an id list instead"
+_PROSE = "selection holds no ids, neither links nor structure; name the ids in the configuration"
 
 
 @query(
@@ -437,7 +437,7 @@ _PROSE = "select response carries neither resource blocks nor structured content
         CASE WHEN page_id % 8 = 0 THEN 'P' || page_id ELSE 'T' END AS title, NULL AS reject_reason
       FROM urls JOIN ids ON ids.raw_id = urls.raw_id WHERE page_id % 8 IN (0, 5)
     UNION ALL SELECT NULL, NULL, NULL, NULL, CASE page_id % 8
-        WHEN 2 THEN 'select response key ''results'' is not a list' WHEN 3 THEN 'select response has no ''results'' key'
+        WHEN 2 THEN '''results'' of the selection is no list' WHEN 3 THEN 'selection lacks ''results'''
         WHEN 4 THEN 'select result row has no ''path'' key' WHEN 6 THEN 'resource block carries no uri' ELSE '{_PROSE}' END
       FROM pages WHERE page_id % 8 IN (2, 3, 4, 6, 7)""",
 )
@@ -452,7 +452,7 @@ def selection(spark, sf_dir):
       FROM urls JOIN ids ON ids.raw_id = urls.raw_id WHERE page_id % 8 = 5
     UNION ALL SELECT NULL, NULL, NULL, NULL, CASE WHEN page_id % 8 = 6 THEN 'resource block carries no uri'
         WHEN page_id % 8 = 7 THEN '{_PROSE}'
-        ELSE 'select response carries structured content but no id mapping is configured' END
+        ELSE 'selection is structured, and no setting says where its ids are' END
       FROM pages WHERE page_id % 8 <> 5""",
 )
 def unmapped_selection(spark, sf_dir):
@@ -500,13 +500,13 @@ def _reads(spark, sf_dir):
     "S10_S11_responses",
     f"""WITH {_URL_IDS}, shaped AS (SELECT p.page_id % 15 AS s, p.url, html, slug FROM pages p JOIN ids ON ids.raw_id = p.url)
     SELECT url AS raw_id, slug AS native_id, CASE s
-        WHEN 2 THEN 'resource blob is not valid base64' WHEN 3 THEN 'resource bytes are not valid UTF-8'
-        WHEN 4 THEN 'empty resource; an empty read is an error'
-        WHEN 5 THEN 'resource blocks carry no content; a link is a pointer, not a document'
-        WHEN 6 THEN 'several content-bearing resources; a read is one document in, one out'
-        WHEN 8 THEN 'read response carried no content' WHEN 10 THEN 'read response key ''content'' holds no document body'
-        WHEN 11 THEN 'read response has no ''content'' key' WHEN 13 THEN 'the read failed'
-        WHEN 14 THEN 'no response for the requested document' END AS reject_reason,
+        WHEN 2 THEN 'blob cannot be decoded as base64' WHEN 3 THEN 'blob is no UTF-8 text'
+        WHEN 4 THEN 'the resource has no text'
+        WHEN 5 THEN 'only links came back, and no text'
+        WHEN 6 THEN 'more than one document came back for one id'
+        WHEN 8 THEN 'the response is empty' WHEN 10 THEN '''content'' of the response is no text'
+        WHEN 11 THEN 'response lacks ''content''' WHEN 13 THEN 'reading this id failed'
+        WHEN 14 THEN 'nothing was returned for this id' END AS reject_reason,
       CASE WHEN s = 0 THEN 'text/html' WHEN s IN (1, 7, 9, 12) THEN 'text/plain' END AS media_type,
       sha256(CASE WHEN s IN (0, 1, 9) THEN html WHEN s = 7 THEN replace(html, '<p>', chr(10) || chr(10) || '<p>')
         WHEN s = 12 THEN '0' END) AS body_hash FROM shaped""",

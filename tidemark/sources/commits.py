@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.instants import aware_instant
 from tidemark.operators.changes import canonical_documents
+from tidemark.operators.numbering import numbered
+from tidemark.session import settled
 
 SYSTEM = "git_commits"
 
@@ -26,7 +30,20 @@ def config_problems(config: dict) -> list[str]:
     return problems
 
 
-def fetch(log: DataFrame, last_seq: int | None = None, max_commits: int | None = None) -> DataFrame:
+def newest(log: DataFrame, count: int, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The `count` records of the largest `seq`, by rank; ranges are sorted by a task each.
+
+    Only sequence numbers are sorted, and records are read again for the ones that stay.
+    """
+    keys = log.select("seq", F.lit(0).alias("__all"), (-F.col("seq")).alias("__age"))
+    chosen = numbered(keys, ["__age"], "__all", settle).where(F.col("rank") < count).select("seq")
+    return log.join(chosen, "seq", "left_semi")
+
+
+def fetch(
+    log: DataFrame, last_seq: int | None = None, max_commits: int | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Records after the watermark, newest first when a first load is bounded.
 
     `log` holds (seq, record). The bound applies to the first load only, never to a
@@ -36,7 +53,7 @@ def fetch(log: DataFrame, last_seq: int | None = None, max_commits: int | None =
     if last_seq is not None:
         rows = rows.where(F.col("seq") > last_seq)
     elif max_commits is not None:
-        rows = rows.orderBy(F.desc("seq")).limit(max_commits)
+        rows = newest(rows, max_commits, settle or settled)
     parts = F.split(F.col("record"), FIELD_SEPARATOR)
     return (
         rows.where(text.strip(F.col("record")) != "")

@@ -40,6 +40,7 @@ def run_stream(
     config: dict,
     state_root: str,
     checkpoint: str,
+    replays: tuple[list[str], str, str] | None = None,
     **options: object,
 ) -> StreamingQuery:
     """Every micro-batch is a run; what is available is processed, then it stops.
@@ -48,8 +49,16 @@ def run_stream(
     query and itself in the cursor; one that failed before is simply run again, and the
     diff drops what is already there (T2). A new checkpoint is a new query: its batches
     count from 0 again and are all run. Each batch is a run with an id of its own.
+
+    With `replays`, that is key columns, a stamp and a delay, records that come again within the delay
+    are dropped before a batch sees them, also across batches and restarts (T2).
     """
     options.pop("run_id", None)
+    if replays is not None:
+        keys, ts, delay = replays
+        # the source's own column stays as it is
+        stamped = records.withColumn("__stamp", F.col(ts))
+        records = without_replays(stamped, keys, "__stamp", delay).drop("__stamp")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
