@@ -18,6 +18,8 @@ from tidemark.llm.components import band, components, cross_pairs, ordered, star
 #: corpus grows, until it has as much as a task may hold (64 MB).
 ORDER_BITS = (16, 24)
 CELL_BYTES = 256
+#: Bits of a shingle's order below the level that says how common it is.
+LEVEL_SHIFT = 57
 #: Longs of a prefix's bit marks, and of the bit marks of a whole set.
 MARKS = 2
 SKETCH = 8
@@ -87,17 +89,19 @@ def similar_documents(
     scratch.discard(classes)
     # one id may head several groups of one size: each of its prefixes is posted
     heads = members.where("cid = gid").select("gid", "n", "prefix", "size").distinct()
+    # the base of a family has its common shingles, a copy of its own has rare ones in their place;
+    # how common a shingle is stands in the highest bits of its order
+    strength = F.aggregate("prefix", F.lit(0).cast("long"), lambda s, x: s + F.shiftright(x, LEVEL_SHIFT))
     posted = heads.select(
-        "gid", "n", F.posexplode("prefix").alias("at", "token"), "size", band(F.col("n"), percent).alias("band")
+        "gid", "n", F.posexplode("prefix").alias("at", "token"), "size",
+        band(F.col("n"), percent).alias("band"), strength.cast("int").alias("strength"),
     )
     # classes of one group meet by the first shingle of their prefix, also where no other group has it
     weight = F.when(F.col("at") == 0, F.col("size")).otherwise(1)
-    posted = posted.groupBy("gid", "n", "token", "band").agg(F.sum(weight).alias("weight"))
-    shared = posted.groupBy("token").agg(F.sum("weight").alias("c")).where("c > 1")
+    posted = posted.select("gid", "n", "token", "band", "strength", weight.alias("weight"))
+    shared = posted.groupBy("token").agg(F.sum("weight").alias("c")).where("c > 1").select("token")
     posted = scratch.settle(posted.drop("weight").join(shared, "token"))
-    # the base of a family has its common shingles, a copy of its own has rare ones in their place
-    strength = posted.groupBy("gid", "n").agg(F.sum(F.log2("c")).cast("long").alias("strength"))
-    strong = posted.join(strength, ["gid", "n"]).select("token", "band", F.col("gid").alias("node"), "strength")
+    strong = posted.select("token", "band", F.col("gid").alias("node"), F.col("strength").cast("long").alias("strength"))
 
     inside = members.where("size > 1").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     tried = scratch.settle(ordered(star_pairs(strong).union(inside)))
@@ -148,7 +152,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int) -> DataFrame:
             keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
             if n:
                 mixed = mix(found)
-                order = levels.value[(mixed >> shift).astype(np.int64)] << np.uint64(57) | mixed >> np.uint64(7)
+                order = levels.value[(mixed >> shift).astype(np.int64)] << np.uint64(LEVEL_SHIFT) | mixed >> np.uint64(64 - LEVEL_SHIFT)
                 p = n - -(-percent * n // 100) + 1
                 heads.append(np.sort(np.partition(order, p - 1)[:p] if p < n else order).astype(np.int64))
             else:
