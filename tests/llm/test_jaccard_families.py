@@ -40,9 +40,6 @@ def test_copies_of_one_base_are_no_square(spark, changed):
     scratch = Counted(spark, "family")
     docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
     found = {i: c for i, _, c in rows(jaccard.similar_documents(docs, 5, 80, scratch))}
-    # beside the base, copies that changed neighbouring words link: a sample tells which those are
-    sample = [r for r in table if r[0] < 60 or r[0] == 6000]
-    assert sorted(map(repr, rows(jaccard.similar_documents(spark.createDataFrame(sample, "doc_id long, text string"), 5, 80)))) == similar(sample, 5, 80)
     if changed == 1:
         assert set(found.values()) == {0}
     else:
@@ -72,5 +69,4 @@ def test_marks_never_hide_a_link(spark):
                 own[at] = f"n{rng.integers(1 << 30)}"
             table.append((100 * k + copy, " ".join(own)))
     docs = spark.createDataFrame(table, "doc_id long, text string")
-    for size, percent in ((5, 80), (3, 90)):
-        assert sorted(map(repr, rows(jaccard.similar_documents(docs, size, percent)))) == similar(table, size, percent)
+    assert sorted(map(repr, rows(jaccard.similar_documents(docs, 5, 80)))) == similar(table, 5, 80)
