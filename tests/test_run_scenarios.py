@@ -47,7 +47,7 @@ def test_tombstone_removes_file_and_keeps_referrers_other_links(spark, tmp_path)
     assert isinstance(outcome, Published)
     assert kept.last["removed"] == [path("gone")]
     assert kept.last["concepts"][path("ref")].links == [path("other")]
-    assert any(path("ref") in n and "drop links" in n for n in kept.notes)
+    assert any(path("ref") in n and "this run removes" in n for n in kept.notes)
     assert ids(spark, tmp_path) == ["sys:other.md", "sys:ref.md"]
 
 
@@ -80,9 +80,9 @@ def test_failed_publisher_moves_nothing(spark, tmp_path):
 
 def test_path_collision_across_systems_aborts(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("readme")))
-    outcome, kept = go(spark, tmp_path, Rows(doc("readme", system="other")))
+    outcome, kept = go(spark, tmp_path, Rows(doc("readme", system="plant")))
     assert isinstance(outcome, Aborted) and kept.last is None
-    assert any(law == "bundle-path-collision" and "other:readme" in m for _, law, m in outcome.failures)
+    assert any(law == "bundle-path-collision" and "plant:readme" in m for _, law, m in outcome.failures)
     assert ids(spark, tmp_path) == ["sys:readme"]
 
 
@@ -93,16 +93,15 @@ def test_removing_and_adding_one_path_in_one_run_aborts(spark, tmp_path):
     assert isinstance(outcome, Aborted)
 
 
-@pytest.mark.slow
 def test_cross_system_relation_aborts(spark, tmp_path):
-    outcome, _ = go(spark, tmp_path, Rows(doc("a", relations=["other:b"])))
+    outcome, _ = go(spark, tmp_path, Rows(doc("a", relations=["plant:b"])))
     assert isinstance(outcome, Aborted)
-    assert any(law == "cross-system-relation" and "other:b" in m for _, law, m in outcome.failures)
+    assert any(law == "cross-system-relation" and "plant:b" in m for _, law, m in outcome.failures)
 
 
 @pytest.mark.slow
 def test_link_is_not_rescued_by_another_system(spark, tmp_path):
-    go(spark, tmp_path, Rows(doc("b", system="other")))
+    go(spark, tmp_path, Rows(doc("b", system="plant")))
     _, kept = go(spark, tmp_path, Rows(doc("a", relations=["sys:b"])))
     assert kept.last["concepts"][path("a")].links == []
 
@@ -110,7 +109,7 @@ def test_link_is_not_rescued_by_another_system(spark, tmp_path):
 @pytest.mark.slow
 def test_other_systems_referrer_stays_out(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("gone"), doc("ref", relations=["sys:gone"])))
-    go(spark, tmp_path, Rows(doc("x", system="other", text="x")))
+    go(spark, tmp_path, Rows(doc("x", system="plant", text="x")))
     _, kept = go(spark, tmp_path, Rows(doc("gone", deleted=True)))
     assert list(kept.last["files"]) == [path("ref")]
     assert kept.last["branch"] == "sync/sys"
@@ -119,40 +118,38 @@ def test_other_systems_referrer_stays_out(spark, tmp_path):
 # ---------------------------------------------------------------- grounding
 
 
-def _ground(spark, root, generator=GROUNDING, text="ticket"):
-    go(spark, root, Rows(doc("SVC1", system="other", text=text)))
-    return go(spark, root, Rows(doc("a")), generator=generator, grounding={"sys:a": ["other:SVC1"]})
+def _ground(spark, root, generator=GROUNDING, text="manual"):
+    go(spark, root, Rows(doc("pump-7", system="plant", text=text)))
+    return go(spark, root, Rows(doc("a")), generator=generator, grounding={"sys:a": ["plant:pump-7"]})
 
 
 def test_grounded_concept_cites_owner_first_and_replay_is_noop(spark, tmp_path):
     _, kept = _ground(spark, tmp_path)
-    assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "other:SVC1"]
-    assert list(lineage(spark, tmp_path)["sys:a"]) == ["other:SVC1"]
-    outcome, _ = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding={"sys:a": ["other:SVC1"]})
+    assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "plant:pump-7"]
+    assert list(lineage(spark, tmp_path)["sys:a"]) == ["plant:pump-7"]
+    outcome, _ = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding={"sys:a": ["plant:pump-7"]})
     assert isinstance(outcome, NoOp)
 
 
 def test_drift_reopens_the_owner_on_its_own_next_run(spark, tmp_path):
     _ground(spark, tmp_path)
-    _, kept_b = go(spark, tmp_path, Rows(doc("SVC1", system="other", text="v2")), generator=GROUNDING,
-                   grounding={"sys:a": ["other:SVC1"]})
+    _, kept_b = go(spark, tmp_path, Rows(doc("pump-7", system="plant", text="v2")), generator=GROUNDING,
+                   grounding={"sys:a": ["plant:pump-7"]})
     assert path("a") not in kept_b.last["files"]
-    outcome, kept = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding={"sys:a": ["other:SVC1"]})
+    outcome, kept = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding={"sys:a": ["plant:pump-7"]})
     assert isinstance(outcome, Published) and path("a") in kept.last["files"]
     assert any("another system" in n for n in kept.notes)
 
 
-@pytest.mark.slow
 def test_drift_is_found_when_the_fetch_is_empty(spark, tmp_path):
     _ground(spark, tmp_path)
-    go(spark, tmp_path, Rows(doc("SVC1", system="other", text="v2"), name="b"))
-    outcome, kept = go(spark, tmp_path, Rows(), generator=GROUNDING, grounding={"sys:a": ["other:SVC1"]})
+    go(spark, tmp_path, Rows(doc("pump-7", system="plant", text="v2"), name="b"))
+    outcome, kept = go(spark, tmp_path, Rows(), generator=GROUNDING, grounding={"sys:a": ["plant:pump-7"]})
     assert isinstance(outcome, Published) and list(kept.last["files"]) == [path("a")]
     state = State(spark, str(tmp_path))
     assert state.cursor(state.current(), "rows", {}).systems == ["sys"]
 
 
-@pytest.mark.slow
 def test_emptied_grounding_settles_after_one_rebuild(spark, tmp_path):
     _ground(spark, tmp_path)
     rebuilt, kept = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING)
@@ -164,28 +161,28 @@ def test_emptied_grounding_settles_after_one_rebuild(spark, tmp_path):
 
 @pytest.mark.slow
 def test_unresolvable_id_is_recorded_empty_and_picked_up_later(spark, tmp_path):
-    gmap = {"sys:a": ["other:SVC1"]}
+    gmap = {"sys:a": ["plant:pump-7"]}
     _, kept = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding=gmap)
     assert any("names no document here" in n for n in kept.notes)
     assert lineage(spark, tmp_path) == {"sys:a": {}}
     again, _ = go(spark, tmp_path, Rows(doc("a")), generator=GROUNDING, grounding=gmap)
     assert isinstance(again, NoOp)
-    go(spark, tmp_path, Rows(doc("SVC1", system="other", text="s"), name="b"))
+    go(spark, tmp_path, Rows(doc("pump-7", system="plant", text="s"), name="b"))
     found, kept = go(spark, tmp_path, Rows(), generator=GROUNDING)
     assert isinstance(found, NoOp)  # without the map nothing is declared
     found, kept = go(spark, tmp_path, Rows(), generator=GROUNDING, grounding=gmap)
     assert isinstance(found, Published)
-    assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "other:SVC1"]
+    assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "plant:pump-7"]
 
 
 @pytest.mark.slow
 def test_grounded_by_edit_alone_rebuilds(spark, tmp_path):
-    go(spark, tmp_path, Rows(doc("SVC1", system="other", text="s")))
+    go(spark, tmp_path, Rows(doc("pump-7", system="plant", text="s")))
     go(spark, tmp_path, Rows(doc("a"), doc("b", text="b")), generator=GROUNDING)
-    edited = Rows(doc("a", grounded_by=["other:SVC1"]))
+    edited = Rows(doc("a", grounded_by=["plant:pump-7"]))
     outcome, kept = go(spark, tmp_path, edited, generator=GROUNDING)
     assert isinstance(outcome, Published)
-    assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "other:SVC1"]
+    assert [s.id for s in kept.last["concepts"][path("a")].sources] == ["sys:a", "plant:pump-7"]
     settled, _ = go(spark, tmp_path, edited, generator=GROUNDING)
     assert isinstance(settled, NoOp)
 
@@ -193,11 +190,10 @@ def test_grounded_by_edit_alone_rebuilds(spark, tmp_path):
 @pytest.mark.slow
 def test_tombstoned_owner_leaves_no_lineage(spark, tmp_path):
     _ground(spark, tmp_path)
-    go(spark, tmp_path, Rows(doc("a", deleted=True)), generator=GROUNDING, grounding={"sys:a": ["other:SVC1"]})
+    go(spark, tmp_path, Rows(doc("a", deleted=True)), generator=GROUNDING, grounding={"sys:a": ["plant:pump-7"]})
     assert lineage(spark, tmp_path) == {}
 
 
-@pytest.mark.slow
 def test_rebuild_by_a_plain_generator_clears_lineage(spark, tmp_path):
     _ground(spark, tmp_path)
     _, kept = go(spark, tmp_path, Rows(doc("a", text="v2")))
@@ -210,17 +206,17 @@ def test_document_the_generator_dropped_keeps_its_lineage(spark, tmp_path):
     _ground(spark, tmp_path)
     before = lineage(spark, tmp_path)
     outcome, kept = go(spark, tmp_path, Rows(doc("a", text="v2"), doc("b", text="b")), generator=DROPS_A,
-                       grounding={"sys:a": ["other:SVC1"]})
+                       grounding={"sys:a": ["plant:pump-7"]})
     assert isinstance(outcome, Published) and path("a") not in kept.last["files"]
     assert lineage(spark, tmp_path) == before
 
 
 @pytest.mark.slow
 def test_drift_and_referrer_render_once(spark, tmp_path):
-    gmap = {"sys:a": ["other:SVC1"]}
-    go(spark, tmp_path, Rows(doc("SVC1", system="other", text="s"), name="b"))
+    gmap = {"sys:a": ["plant:pump-7"]}
+    go(spark, tmp_path, Rows(doc("pump-7", system="plant", text="s"), name="b"))
     go(spark, tmp_path, Rows(doc("a", relations=["sys:gone"]), doc("gone", text="g")), generator=GROUNDING, grounding=gmap)
-    go(spark, tmp_path, Rows(doc("SVC1", system="other", text="v2"), name="b"))
+    go(spark, tmp_path, Rows(doc("pump-7", system="plant", text="v2"), name="b"))
     _, kept = go(spark, tmp_path, Rows(doc("gone", deleted=True)), generator=GROUNDING, grounding=gmap)
     assert kept.last["sources"].count("sys:a") == 1
     assert len(kept.notes) == 2
@@ -229,10 +225,9 @@ def test_drift_and_referrer_render_once(spark, tmp_path):
 # ---------------------------------------------------------------- state
 
 
-@pytest.mark.slow
 def test_two_configurations_keep_two_cursors(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("a"), payload={"at": 1}), config={"which": "one"})
-    second = Rows(doc("x", system="other"), payload={"at": 2})
+    second = Rows(doc("x", system="plant"), payload={"at": 2})
     go(spark, tmp_path, second, config={"which": "two"})
     assert second.seen_cursor is None
     third = Rows(doc("a"))
@@ -240,7 +235,6 @@ def test_two_configurations_keep_two_cursors(spark, tmp_path):
     assert third.seen_cursor.payload == {"at": 1} and third.seen_cursor.systems == ["sys"]
 
 
-@pytest.mark.slow
 def test_noop_discards_its_cursor(spark, tmp_path):
     go(spark, tmp_path, Rows(doc("a"), payload={"at": 1}))
     go(spark, tmp_path, Rows(doc("a"), payload={"at": 2}))

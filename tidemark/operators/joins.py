@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SALT = "__salt"
 _SALTS = "__salts"
@@ -15,9 +16,25 @@ BROADCAST_ROWS = 500_000
 MAX_SLICES = 10_000
 
 
+# Bytes a hinted side may come to, by what a value of each type is taken to need at most in the mean.
+BROADCAST_BYTES = 64 << 20
+_STRING, _MANY = 128, 4096
+
+
+def _width(kind: T.DataType) -> int:
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return _MANY
+    return _STRING if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
 def guarded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
-    """Hint a side whose row count is known to be small; otherwise leave it to shuffle."""
-    if rows is not None and rows <= BROADCAST_ROWS:
+    """Hint a side whose row count is known to be small; otherwise leave it to shuffle.
+
+    How many rows are few depends on their columns: half a million ids, some thousands with arrays.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS and rows * _width(df.schema) <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df
 

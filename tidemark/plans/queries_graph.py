@@ -74,6 +74,21 @@ def links(spark, sf_dir):
     return found.select("doc_id", F.array_join("links", ",").alias("links"))
 
 
+@query(
+    "J7_dropped_links",
+    with_states(
+        f"""SELECT did AS doc_id, array_to_string(list_sort(list(DISTINCT path)), ',') AS dropped FROM (
+          SELECT did, {sql_path('target')} AS path FROM (SELECT did, unnest(relations) AS target FROM live))
+        WHERE path NOT IN (SELECT path FROM known) GROUP BY did"""
+    ),
+)
+def dropped_links(spark, sf_dir):
+    """J7 as a run asks it: the few links that lead nowhere, for assembly to leave out."""
+    st = corpus.states(spark, sf_dir)
+    found = cn.dropped_links(st.live, st.known)
+    return found.select("doc_id", F.array_join(F.array_sort("dropped"), ",").alias("dropped"))
+
+
 def _linked_concepts(st):
     return st.live.select(
         identity.concept_path(F.col("doc_id")).alias("path"),

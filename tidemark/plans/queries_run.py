@@ -215,6 +215,21 @@ def state_mirror(spark, sf_dir):
     return state.mirror(state.current()).select("doc_id", "content_hash")
 
 
+@query(
+    "S14_state_cursors",
+    with_states(
+        """SELECT source, left(sha256('{}'), 8) AS instance_key, string_agg(system, ',' ORDER BY system) AS systems FROM (
+          SELECT DISTINCT 'cited' AS source, system FROM fetched WHERE n % 5 <> 0
+          UNION SELECT 'owners', system FROM owner_docs) GROUP BY source""",
+        _FINAL,
+    ),
+)
+def state_cursors(spark, sf_dir):
+    """What each source's cursor names; the run that fetched nothing kept its systems."""
+    _, _, state = grounded_runs(spark, sf_dir)
+    return state.cursors(state.current()).select("source", "instance_key", F.array_join("systems", ",").alias("systems"))
+
+
 @query(
     "U4_inverse_state",
     with_states(
