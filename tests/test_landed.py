@@ -133,6 +133,28 @@ def test_review_tree_shares_untouched_buckets_with_its_base(spark, tmp_path, mon
     assert other == tree | {"p1": "z"} and {r.path: r.content for r in review.tree("one").collect()} == tree
 
 
+def test_a_plan_asks_for_a_whole_listing(spark, tmp_path):
+    """A listing that says it is partial stops the plan; a whole one says what is an update."""
+    from tidemark.operators import publish as pb
+    from tidemark.plans.publishers import ReviewBranches
+    from tidemark.plans.run import Proposal
+
+    review = ReviewBranches(spark, str(tmp_path))
+    none = spark.createDataFrame([], "section string, item string")
+    files = spark.createDataFrame([("a", "x"), ("b", "y")], "path string, content string")
+    gone = spark.createDataFrame([("c",), ("d",)], "path string")
+    proposal = Proposal("r", "work", files, gone, none, none, none)
+    for schema, rows in (("branch string, complete boolean", [("main", False)]), ("branch string, path string, complete boolean", [("main", "a", False)])):
+        with pytest.raises(pb.PartialListingError):
+            review.publish(proposal, {"listing": spark.createDataFrame(rows, schema)})
+    assert review.store.current().number == 0
+    whole = spark.createDataFrame([("main", "a", True), ("main", "c", True), ("other", "d", False)], "branch string, path string, complete boolean")
+    plan = pb.action_plan(files, gone, review.listing(review.tree("main"), "main", {"listing": whole}))
+    assert sorted((r.path, r.action) for r in plan.collect()) == [("a", "update"), ("b", "create"), ("c", "delete")]
+    review.publish(proposal, {"listing": whole})
+    assert sorted(r.path for r in review.tree("work").collect()) == ["a", "b"]
+
+
 def test_unsafe_paths_are_all_kept(spark):
     from tidemark.operators import publish as pb
 

@@ -66,6 +66,21 @@ class ReviewBranches:
     def tree(self, branch: str):
         return self._read(self.store.current(), branch)
 
+    def listing(self, tree: DataFrame, base: str, config: dict) -> DataFrame:
+        """K8: `(branch, path, complete)` of the base, asked for before every plan.
+
+        A reviewer's own listing may be passed, with or without paths. Ours is complete, as a commit
+        names every bucket of a tree.
+        """
+        ours = tree.select("branch", "path", F.lit(True).alias("complete"))
+        given = config.get("listing")
+        if given is None:
+            return ours
+        if "path" in given.columns:
+            return given.select("branch", "path", "complete").where(F.col("branch") == base)
+        marks = given.select("branch", F.lit(None).cast("string").alias("path"), "complete")
+        return ours.unionByName(marks)
+
     def proposals(self):
         version = self.store.current()
         return self.store.read(version.tables.get("proposals"), self._schema(_PROPOSALS))
@@ -75,9 +90,6 @@ class ReviewBranches:
 
     def publish(self, proposal: Proposal, config: dict) -> str:
         pb.require_safe_paths(proposal.files, proposal.removed)
-        if config.get("listing") is not None:
-            # a plan against half a listing would write what is there and miss what is not
-            pb.require_complete_listing(config["listing"])
         attempt = f"{proposal.run_id}-{new_run_id()}"
         version = self.store.current()
         branch = config.get("branch") or proposal.branch
@@ -98,7 +110,10 @@ class ReviewBranches:
         # a tree that grows is dealt anew; else only buckets with a path of this proposal are read
         old = None if buckets != before else touched
         tree = self._read(version, base, old)
-        plan = pb.action_plan(proposal.files, proposal.removed, tree, config.get("base_path", ""))
+        # a plan against half a listing would write what is there and miss what is not
+        listing = self.listing(tree, base, config)
+        pb.require_complete_listing(listing)
+        plan = pb.action_plan(proposal.files, proposal.removed, listing, config.get("base_path", ""))
         url = f"{self.store.root}#{branch}"
         if pb.nothing_to_do(plan, base, branch):
             return url
