@@ -47,7 +47,9 @@ def classify_log(log: DataFrame, width: str = "day") -> DataFrame:
     return joined.withColumn("previous", previous).select("key", "event_id", kind.alias("kind"))
 
 
+_KEY = T.StructType([T.StructField("key", T.StringType())])
 _CONTENT = T.StructType([T.StructField("content", T.StringType())])
+_HELD = T.StructType([*_KEY.fields, *_CONTENT.fields])
 
 SLICED = T.StructType(
     [
@@ -61,62 +63,80 @@ SLICED = T.StructType(
 )
 
 
-def _contents(frame: pd.DataFrame, column: str) -> list[str | None]:
-    return [None if pd.isna(c) else c for c in frame[column]]
+def _contents(column: pd.Series) -> pd.Series:
+    """With None for NULL, whatever pandas made of it."""
+    column = column.astype(object)
+    return column.where(column.notna(), None)
 
 
-class _Slice(StatefulProcessor):
-    """First stage, by key and slice: rows are classified by the row before them in the slice."""
+class _Slices(StatefulProcessor):
+    """First stage, by slice and lane of keys: a row is classified by its key's row before in the slice."""
 
     def __init__(self, keep: int | None) -> None:
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _CONTENT, self.keep)
+        # read and written as one list: a call to the state for each key costs more than the key's rows
+        self.held = handle.getListState("held", _HELD, self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # rows of one slice come in no order; a slice and a micro-batch bound them
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
-        known = self.last.get()
-        contents = _contents(frame, "content")
-        before = [known[0] if known is not None else None, *contents[:-1]]
-        kind = ["unchanged" if a == b else "modified" for a, b in zip(before, contents, strict=True)]
-        ids = [int(i) for i in frame["event_id"]]
-        self.last.update((contents[-1],))
-        skip = 0 if known is not None else 1
-        inside = pd.DataFrame({"key": str(key[0]), "event_id": ids[skip:], "kind": kind[skip:]})
-        border = pd.DataFrame(
-            {"key": [str(key[0])], "event_id": [ids[0]], "kind": [None], "slice": [key[1]],
-             "opens": [known is None], "first": [contents[0]], "last": [contents[-1]]}
-        )
-        yield pd.concat([inside.reindex(columns=SLICED.names), border[SLICED.names]], ignore_index=True).astype(object)
+        # rows of one lane come in no order; the lane of a slice and a micro-batch bound them
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["key", "ts", "event_id"], ignore_index=True)
+        held = {k: None if pd.isna(c) else c for k, c in self.held.get()}
+        keys, content = frame["key"], _contents(frame["content"])
+        first, last = keys.ne(keys.shift()), keys.ne(keys.shift(-1))
+        before = _contents(content.shift())
+        before[first] = pd.Series([held.get(k) for k in keys[first]], index=keys.index[first], dtype=object)
+        opens = first & ~keys.isin(held.keys())
+        same = (content == before) | (content.isna() & before.isna())
+        kind = same.map({True: "unchanged", False: "modified"})
+        inside = pd.DataFrame({"key": keys, "event_id": frame["event_id"], "kind": kind})[~opens]
+        yield inside.reindex(columns=SLICED.names).astype(object)
+        yield pd.DataFrame(
+            {
+                "key": keys[first].to_numpy(), "event_id": frame["event_id"][first].to_numpy(), "kind": None, "slice": key[0],
+                "opens": opens[first].to_numpy(), "first": content[first].to_numpy(), "last": content[last].to_numpy(),
+            }
+        )[SLICED.names].astype(object)
+        held.update(zip(keys[last], content[last], strict=True))
+        self.held.put(list(held.items()))
 
     def close(self) -> None:
         pass
 
 
 class _Borders(StatefulProcessor):
-    """Second stage, by key: the first row of a slice against the last content of the slices before."""
+    """Second stage, by lane of keys: the first row of a slice against the last content of the slices before.
+
+    Rows that the first stage has classified come in lanes below 0 and pass without state.
+    """
 
     def __init__(self, forget_after: int | None) -> None:
         self.forget_after = forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _CONTENT, self.forget_after)
+        self.last = handle.getMapState("last", _KEY, _CONTENT, self.forget_after)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one row for each slice that the micro-batch touches
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("slice")
-        known = self.last.get()
-        known = None if known is None else (known[0],)
-        ids, kinds = [], []
-        for event_id, opens, first, last in zip(frame["event_id"], frame["opens"], _contents(frame, "first"), _contents(frame, "last"), strict=True):
-            if opens:
-                ids.append(int(event_id))
-                kinds.append("added" if known is None else "unchanged" if known[0] == first else "modified")
-            known = (last,)
-        self.last.update(known)
-        yield pd.DataFrame({"key": str(key[0]), "event_id": pd.Series(ids, dtype="int64"), "kind": pd.Series(kinds, dtype="object")})
+        if key[0] < 0:
+            yield from (frame[OUTPUT.names] for frame in rows)
+            return
+        # one row for each key and slice that the micro-batch touches
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["key", "slice"], ignore_index=True)
+        keys, first, last = frame["key"], _contents(frame["first"]), _contents(frame["last"])
+        known: tuple | None = None
+        kinds: list[str | None] = []
+        starts, ends = keys.ne(keys.shift()), keys.ne(keys.shift(-1))
+        for k, start, end, opens, a, b in zip(keys, starts, ends, frame["opens"], first, last, strict=True):
+            if start:
+                known = self.last.getValue((k,))
+                known = None if known is None else (None if pd.isna(known[0]) else known[0],)
+            kinds.append(None if not opens else "added" if known is None else "unchanged" if known[0] == a else "modified")
+            known = (b,)
+            if end:
+                self.last.updateValue((k,), known)
+        out = pd.DataFrame({"key": keys, "event_id": frame["event_id"], "kind": pd.Series(kinds, dtype=object)})
+        yield out[out["kind"].notna()]
 
     def close(self) -> None:
         pass
@@ -126,38 +146,42 @@ def _time(ttl: int | None) -> str:
     return "None" if ttl is None else "ProcessingTime"
 
 
-def sliced_log(log: DataFrame, width: str = "day", keep: int | None = None) -> DataFrame:
-    """First stage: classified rows, and for each slice touched one row that says how it opens and ends."""
+def sliced_log(log: DataFrame, width: str = "day", keep: int | None = None, lanes: int = 256) -> DataFrame:
+    """First stage: classified rows, and for each key and slice touched one row that says how it opens and ends."""
+    key = F.col("key").cast("string")
     return (
-        log.select(F.col("key").cast("string").alias("key"), F.date_trunc(width, "ts").alias("slice"), "ts", "event_id", "content")
-        .groupBy("key", "slice")
+        log.select(
+            key.alias("key"), F.date_trunc(width, "ts").alias("slice"), F.pmod(F.xxhash64(key), F.lit(lanes)).alias("lane"),
+            "ts", "event_id", "content",
+        )
+        .groupBy("slice", "lane")
         .transformWithStateInPandas(
-            statefulProcessor=_Slice(keep), outputStructType=SLICED, outputMode="Append", timeMode=_time(keep)
+            statefulProcessor=_Slices(keep), outputStructType=SLICED, outputMode="Append", timeMode=_time(keep)
         )
     )
 
 
 def classify_stream(
-    log: DataFrame, width: str = "day", keep_slices: int | None = None, forget_after: int | None = None
+    log: DataFrame, width: str = "day", keep_slices: int | None = None, forget_after: int | None = None, lanes: int = 256
 ) -> DataFrame:
     """Stateful form of the keyed diff in two stages; needs the RocksDB state store.
 
-    A key is cut into time slices that classify inside themselves, each a state of its own, so that a
-    key with a third of the log is worked on by many tasks. Only one small row for each slice goes
-    on to the key's own state, which says what the slice's first row is. Rows come in about the order
-    of time; a slice may go on in a later micro-batch. `forget_after` milliseconds without a row, a
-    key is forgotten and its next row counts as added; by default none is.
+    A key is cut into time slices that classify inside themselves, so that a key with a third of the
+    log is worked on by many tasks. Only one small row for each slice goes on to the key's own state,
+    which says what the slice's first row is. Keys share `lanes` by hash: Python is called, and a slice's
+    state read, once for a lane and not once for a key. Rows come in about the order of time; a slice may
+    go on in a later micro-batch. `forget_after` milliseconds without a row, a key is forgotten and
+    its next row counts as added; by default none is. `lanes` can't change under one checkpoint.
 
-    Bound a micro-batch with `maxFilesPerTrigger` or `maxBytesPerTrigger` at the source: a slice's
-    rows of one micro-batch are ordered together in one task.
+    Bound a micro-batch with `maxFilesPerTrigger` or `maxBytesPerTrigger` at the source: a lane's
+    rows of one slice and micro-batch are ordered together in one task.
     """
-    sliced = sliced_log(log, width, keep_slices)
-    opened = (
-        sliced.where(F.col("slice").isNotNull())
-        .groupBy("key")
-        .transformWithStateInPandas(
-            statefulProcessor=_Borders(forget_after), outputStructType=OUTPUT, outputMode="Append",
-            timeMode=_time(forget_after),
-        )
+    dealt = sliced_log(log, width, keep_slices, lanes).withColumn(
+        "lane",
+        F.when(F.col("slice").isNull(), -1 - F.pmod(F.xxhash64("event_id"), F.lit(lanes)))
+        .otherwise(F.pmod(F.xxhash64("key"), F.lit(lanes))),
+    )
+    return dealt.groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=_Borders(forget_after), outputStructType=OUTPUT, outputMode="Append",
+        timeMode=_time(forget_after),
     )
-    return sliced_log(log, width, keep_slices).where(F.col("slice").isNull()).select(*OUTPUT.names).unionByName(opened)
