@@ -492,7 +492,14 @@ def _reads(spark, sf_dir):
         .when(shape == 12, '{"content":0}')
     )
     return corpus.table(spark, sf_dir, "pages").where(shape != 14).select(
-        url.alias("raw_id"), (shape == 13).alias("failed"), structured.alias("structured"), content.alias("content")
+        k.alias("request"), url.alias("raw_id"), (shape == 13).alias("failed"), structured.alias("structured"), content.alias("content")
+    )
+
+
+def _requests(spark, sf_dir):
+    """A request for each page; several pages may have one URL, and each is a request of its own."""
+    return responses.enumerated(
+        corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("request"), F.col("url").alias("raw_id"))
     )
 
 
@@ -513,8 +520,7 @@ def _reads(spark, sf_dir):
 )
 def response_mapping(spark, sf_dir):
     """Three tiers and all reject reasons; a missing response is a reject, not a gap."""
-    refs = enumerated(spark, sf_dir)
-    got = responses.read_records(refs, _reads(spark, sf_dir), "content")
+    got = responses.read_records(_requests(spark, sf_dir), _reads(spark, sf_dir), "content")
     return got.select(
         "raw_id", "native_id", "reject_reason", "media_type", F.sha2("body", 256).alias("body_hash")
     )
