@@ -173,7 +173,7 @@ def unstable_documents(spark, sf_dir):
         "grounded_by", F.when(n % 41 == 0, F.array(F.lit("ghost:x"))).otherwise(F.col("grounded_by"))
     ).where(n % 43 != 0)
     second = second.unionByName(second.where(n % 47 == 0))
-    return ch.stability_failures(ch.canonical_documents(rows), ch.canonical_documents(second.repartition(5, "title")))
+    return ch.stability_failures(ch.canonical_documents(rows), ch.canonical_documents(second.hint("rebalance", "title")))
 
 
 @query(
