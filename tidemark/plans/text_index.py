@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,7 @@ BLOCKS = T.StructType(
         T.StructField("postings", _POSTINGS),
     ]
 )
+PLACED = T.StructType([T.StructField("segment", T.IntegerType()), *BLOCKS.fields])
 PATHS = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType())])
 
 
@@ -40,6 +44,55 @@ def terms(body: Column) -> Column:
     return F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return table[name].combine_chunks() if table.num_rows else pa.array([], table.schema.field(name).type)
+
+
+def _counts(paths: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms, rows of their documents, and how often each is in it."""
+    doc = pc.list_parent_indices(words).to_numpy()
+    flat = pc.list_flatten(words).dictionary_encode()
+    # codes of a term and its document in one number
+    pair, tf = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(paths), 1) + doc, return_counts=True)
+    term, doc = np.divmod(pair, max(len(paths), 1))
+    return flat.dictionary.take(pa.array(term)), doc, tf.astype(np.int64)
+
+
+def _block(key: tuple, fresh: pa.Table, kept: pa.Table) -> pa.Table:
+    """One row for each term of a block, which has `BLOCK_DOCS` documents at most.
+
+    `fresh` has the words of its new documents, `kept` a row for each other document and each of its terms.
+    """
+    new = _column(fresh, "path")
+    new_terms, new_doc, new_tf = _counts(new, _column(fresh, "words"))
+    old = _column(kept, "path").dictionary_encode()
+    old_doc = old.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(new)
+    paths = pa.concat_arrays([new, old.dictionary])
+    terms = pa.concat_arrays([new_terms, _column(kept, "term")]).dictionary_encode()
+    term = terms.indices.to_numpy(zero_copy_only=False)
+    doc = np.r_[new_doc, old_doc]
+    tf = np.r_[new_tf, _column(kept, "tf").to_numpy()]
+    # by term, and in it by path
+    rank = np.empty(len(paths), np.int64)
+    rank[pc.array_sort_indices(paths).to_numpy()] = np.arange(len(paths))
+    order = np.lexsort((rank[doc], term))
+    term, doc, tf = term[order], doc[order], tf[order]
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    each = pa.StructArray.from_arrays([paths.take(pa.array(doc)), pa.array(tf)], ["path", "tf"])
+    ends = np.r_[starts, len(term)]
+    n = len(starts)
+    return pa.table(
+        {
+            "segment": pa.array(np.full(n, key[0].as_py(), np.int32)),
+            "block": pa.array(np.full(n, key[1].as_py(), np.int32)),
+            "term": terms.dictionary.take(pa.array(term[starts])),
+            "n": pa.array(np.diff(ends).astype(np.int64)),
+            "most": pa.array(np.maximum.reduceat(tf, starts) if n else tf),
+            "postings": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each),
+        }
+    )
+
+
 @dataclass(frozen=True)
 class Found:
     """The answer, how many blocks hold a query term, and how many of them were read."""
@@ -105,19 +158,16 @@ class TextIndex(Snapshots):
             paths.withColumn("segment", home(segments))
             .withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK_DOCS).cast("int"))
         )
-        kept = self._read(version, "blocks", BLOCKS, old).select("term", F.explode("postings").alias("p"))
-        postings = (
-            kept.select("p.path", "term", "p.tf").join(ids, "path", "left_anti")
-            .unionByName(live.select("path", F.explode("words").alias("term")).groupBy("path", "term").agg(F.count(F.lit(1)).alias("tf")))
-        )
+        def at() -> DataFrame:
+            # aliased, as both sides of the cogroup read the one table
+            return placed.select("path", *(F.col(c).alias(c) for c in ("segment", "block")))
+
+        kept = self._read(version, "blocks", BLOCKS, old).select(F.explode("postings").alias("p"), "term")
+        kept = kept.select("p.path", "term", "p.tf").join(ids, "path", "left_anti").join(at(), "path")
+        # new words and kept counts of a block meet in one task: no posting of a new document is shuffled by itself
         blocks = (
-            postings.join(placed.select("path", "segment", "block"), "path")
-            .groupBy("segment", "block", "term")
-            # at most one posting for each document of a block
-            .agg(
-                F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"),
-                F.array_sort(F.collect_list(F.struct("path", "tf"))).alias("postings"),
-            )
+            live.join(at(), "path").groupBy("segment", "block")
+            .cogroup(kept.groupBy("segment", "block")).applyInArrow(_block, PLACED)
         )
         run = new_run_id()
         folders = {}
@@ -125,7 +175,7 @@ class TextIndex(Snapshots):
             folders[kind] = f"{kind}/run={run}"
             # sorted by term, so that a reader skips row groups of other terms
             (
-                df.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+                df.hint("rebalance", "segment").sortWithinPartitions(*order)
                 .write.mode("error").partitionBy("segment").parquet(f"{self.root}/{folders[kind]}")
             )
         counts = {r["segment"]: r["count"] for r in placed.groupBy("segment").count().collect()}
