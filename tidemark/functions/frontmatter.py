@@ -86,16 +86,12 @@ def parse_head(heads: pd.Series) -> pd.DataFrame:
             return {}
         return data if isinstance(data, dict) else {}
 
-    parsed = [load(h) for h in heads]
-    return pd.DataFrame(
-        {
-            "front": [
-                json.dumps(_plain(p), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-                for p in parsed
-            ],
-            "opaque": [sorted(str(k) for k, v in p.items() if _dated(v)) for p in parsed],
-        }
-    )
+    # parsed one by one: the objects of a whole batch take many times the memory of its text
+    front, opaque = [], []
+    for p in map(load, heads):
+        front.append(json.dumps(_plain(p), sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+        opaque.append(sorted(str(k) for k, v in p.items() if _dated(v)))
+    return pd.DataFrame({"front": front, "opaque": opaque})
 
 
 def without_keys(front: Column, keys: Iterable[str]) -> Column:
