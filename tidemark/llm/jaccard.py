@@ -98,7 +98,7 @@ def similar_documents(
     )
     # classes of one group meet by the first shingle of their prefix, also where no other group has it
     weight = F.when(F.col("at") == 0, F.col("size")).otherwise(1)
-    posted = posted.select("gid", "n", "token", "band", "strength", weight.alias("weight"))
+    posted = posted.select("gid", "n", "at", "token", "band", "strength", weight.alias("weight"))
     shared = posted.groupBy("token").agg(F.sum("weight").alias("c")).where("c > 1").select("token")
     posted = scratch.settle(posted.drop("weight").join(shared, "token"))
     strong = posted.select("token", "band", F.col("gid").alias("node"), F.col("strength").cast("long").alias("strength"))
@@ -110,8 +110,10 @@ def similar_documents(
     detail = members.select(
         F.col("cid").alias("node"), "n", "marks", "sketch", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")
     )
-    nodes = posted.join(members.select("gid", "n", F.col("cid").alias("node")).distinct(), ["gid", "n"]).select("token", "band", "node")
-    more = cross_pairs(nodes, detail.distinct(), found, tried, percent, lambda a, b: _room(a, b, percent), scratch)
+    nodes = posted.join(members.select("gid", "n", F.col("cid").alias("node")).distinct(), ["gid", "n"]).select("token", "band", "node", "at")
+    more = cross_pairs(
+        nodes, detail.distinct(), found, tried, percent, lambda a, b: _placed(a, b, percent) & _room(a, b, percent), scratch
+    )
     more = _bounded(scratch.settle(more), members, percent, scratch)
     if not more.isEmpty():
         links = links.union(_verified(more, rows, size, percent, scratch))
@@ -188,6 +190,15 @@ def _room(a, b, percent: int):
     return (common + rest >= need) & (whole >= need)
 
 
+def _placed(a, b, percent: int):
+    """Whether two sets may overlap enough if the shingle they meet by is their first common one.
+
+    What stands before it is then in one set alone. Every pair has a first common shingle, so none that
+    links is lost, and the places a pair meets at grow fewer.
+    """
+    return F.least(a("n") - a("at"), b("n") - b("at")) >= least_overlap(a("n"), b("n"), percent)
+
+
 def _sides(pairs: DataFrame, side: DataFrame) -> DataFrame:
     left = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns)).withColumnRenamed("cid_a", "a")
     right = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns)).withColumnRenamed("cid_b", "b")
