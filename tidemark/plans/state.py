@@ -24,6 +24,9 @@ from tidemark.schema import (
 )
 
 
+CODEC = "zstd"
+
+
 class ConcurrentRunError(RuntimeError):
     """Another run committed first; this one changed nothing and may be repeated."""
 
@@ -117,13 +120,17 @@ class Snapshots:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
 
     def write(self, folder: str, df: DataFrame, *partition_by: str) -> str:
-        """Write a new folder, never over an old one. A hot partition value is split over tasks."""
+        """Write a new folder, never over an old one. A hot partition value is split over tasks.
+
+        A run writes each text several times, so the codec is one that makes texts small.
+        """
         if not partition_by:
-            df.write.mode("error").parquet(f"{self.root}/{folder}")
+            df.write.mode("error").option("compression", CODEC).parquet(f"{self.root}/{folder}")
         else:
             (
                 df.hint("rebalance", *partition_by)
                 .write.mode("error")
+                .option("compression", CODEC)
                 .partitionBy(*partition_by)
                 .parquet(f"{self.root}/{folder}")
             )
