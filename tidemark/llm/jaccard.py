@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, binary, cell_counts, grams, joined, mapper, mix, texts, words
+from tidemark.llm.common import Scratch, binary, cell_counts, cells_used, grams, joined, mapper, mix, texts, words
 from tidemark.llm.components import band, components, cross_pairs, ordered, star_pairs
 
 #: Least and most bits of the sketch that orders shingles: common ones come last. Any order is
@@ -242,8 +242,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int, scratc
         known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         return (mix(known + np.uint64(0x1234567)) >> shift).astype(np.int64)
 
-    counts = cell_counts(needed, lambda part: cells_of(part["doc_id"]), ["doc_id"], PICK_BITS)
-    picked = rows.sparkSession.sparkContext.broadcast(np.packbits(counts > 0))
+    used = cells_used(needed, lambda part: cells_of(part["doc_id"]), ["doc_id"], PICK_BITS)
+    picked = rows.sparkSession.sparkContext.broadcast(used)
 
     def whole(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = cells_of(part["doc_id"])
