@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -16,7 +17,8 @@ from pyspark.sql.functions import pandas_udf
 from tidemark.functions.facets import json_string
 from tidemark.functions.instants import iso
 
-_FENCED = r"(?s)^---(.*?)\n---(.*)\z"
+_FENCE = "---"
+_CLOSING = "\n---"
 
 # Characters that a YAML reader refuses or folds, though JSON allows them
 # raw: C1 controls, the Unicode line separators, the byte-order mark, non-characters.
@@ -25,12 +27,13 @@ _YAML_UNSAFE = "[\\x7f-\\x9f\\u2028\\u2029\\ufeff\\ufffe\\uffff]"
 
 def split_front_matter(text: Column) -> Column:
     """STRUCT<head, body>; `head` is NULL when there is no closed fence."""
-    fenced = text.rlike(_FENCED)
+    # found by position: a pattern would walk whole texts for a few lines at their start
+    at = F.locate(_CLOSING, text, len(_FENCE) + 1)
+    fenced = text.startswith(_FENCE) & (at > 0)
+    rest = F.substring(text, at + len(_CLOSING), F.length(text))
     return F.struct(
-        F.when(fenced, F.regexp_extract(text, _FENCED, 1)).alias("head"),
-        F.when(fenced, F.ltrim(F.regexp_extract(text, _FENCED, 2), F.lit("\n")))
-        .otherwise(text)
-        .alias("body"),
+        F.when(fenced, F.substring(text, F.lit(len(_FENCE) + 1), at - len(_FENCE) - 1)).alias("head"),
+        F.when(fenced, F.ltrim(rest, F.lit("\n"))).otherwise(text).alias("body"),
     )
 
 
@@ -55,6 +58,53 @@ def _dated(value: object) -> bool:
     return isinstance(value, (dt.date, bytes))
 
 
+# a string without escapes or characters that YAML folds or refuses, or a plain number
+_TEXT = r'"[^"\\\x00-\x1f\x7f-\x9f\u2028\u2029\ufeff\ud800-\udfff\ufffe\uffff]*"'
+_VALUE = rf"(?:{_TEXT}|0|[1-9][0-9]{{0,17}})"
+_KEY = rf"(type|title|description|generated|by|at|sources|id|resource|content_hash|links|{_TEXT[:-2]}{{1,200}}\")"
+_LINE = re.compile(rf"(- |  )?(?:{_KEY}:(?: ({_VALUE}|\[\]))?|({_VALUE}))")
+
+
+def rendered_head(head: str) -> dict | None:
+    """A head as `head` writes it: what YAML gives for it, or None where YAML has to be asked."""
+
+    def value(token: str) -> str | int:
+        return token[1:-1] if token[0] == '"' else int(token)
+
+    out: dict = {}
+    open_ = None
+    for line in head.strip("\n").split("\n"):
+        found = _LINE.fullmatch(line)
+        if not found:
+            return None
+        lead, key, given, item = found.groups()
+        if key and key[0] == '"':
+            key = key[1:-1]
+        if not lead:
+            if key is None:
+                return None
+            open_ = key if given is None else None
+            out[key] = None if given is None else [] if given == "[]" else value(given)
+            continue
+        if open_ is None or (key is not None and given in (None, "[]")):
+            return None
+        block = out[open_]
+        if lead == "- ":
+            if block is None:
+                block = out[open_] = []
+            if not isinstance(block, list):
+                return None
+            block.append(value(item) if key is None else {key: value(given)})
+            continue
+        if block is None:
+            block = out[open_] = {}
+        entry = block[-1] if isinstance(block, list) else block
+        if key is None or not isinstance(entry, dict):
+            return None
+        entry[key] = value(given)
+    return out
+
+
 _PARSED = T.StructType(
     [
         T.StructField("front", T.StringType()),
@@ -68,7 +118,8 @@ def parse_head(heads: pd.Series) -> pd.DataFrame:
     """YAML head to canonical JSON, plus the keys whose value was a date.
 
     Malformed YAML and a head that is not a mapping both give an empty object. This is
-    the one Python function on the ingest path, and it only sees the head.
+    the one Python function on the ingest path, and it only sees the head. A head in the form
+    that this package renders is read line by line, every other one by the YAML parser.
     """
     try:
         import yaml
@@ -88,7 +139,13 @@ def parse_head(heads: pd.Series) -> pd.DataFrame:
 
     # parsed one by one: the objects of a whole batch take many times the memory of its text
     front, opaque = [], []
-    for p in map(load, heads):
+    for head in heads:
+        known = rendered_head(head) if isinstance(head, str) else None
+        if known is not None:
+            front.append(json.dumps(known, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+            opaque.append([])
+            continue
+        p = load(head)
         front.append(json.dumps(_plain(p), sort_keys=True, ensure_ascii=False, separators=(",", ":")))
         opaque.append(sorted(str(k) for k, v in p.items() if _dated(v)))
     return pd.DataFrame({"front": front, "opaque": opaque})
